@@ -126,9 +126,13 @@ def previous_value(
 
 
 def number_rows(
-    df: DataFrame, levels: Sequence[Column], order: Sequence[str], name: str
+    df: DataFrame,
+    levels: Sequence[Column],
+    order: Sequence[str],
+    name: str,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Number all rows 1, 2, 3, … in one global order, without one global window.
+    """Number rows 1, 2, 3, … in one order, per ``within`` if given, without one big window.
 
     ``levels`` cut the order into ranges from coarse to fine: rows of an earlier
     range come first in ``order``. The first level has to have few values (days,
@@ -137,24 +141,22 @@ def number_rows(
     """
     marks = [f"__l{i}" for i in range(len(levels))]
     rows = df.withColumns(dict(zip(marks, levels, strict=True)))
-    offsets = rows.groupBy(*marks).agg(F.count(F.lit(1)).alias("__n"))
-    table = offsets
-    for depth in range(len(marks), 0, -1):
-        upper, here = marks[: depth - 1], marks[depth - 1]
-        sizes = offsets.groupBy(*marks[:depth]).agg(F.sum("__n").alias("__n"))
-        before = Window.partitionBy(*upper) if upper else Window.partitionBy()
-        shifted = sizes.select(
-            *marks[:depth],
-            F.coalesce(F.sum("__n").over(before.orderBy(here).rowsBetween(*_BEFORE)), F.lit(0))
-            .alias(f"__o{depth}"),
+    counts = rows.groupBy(*within, *marks).agg(F.count(F.lit(1)).alias("__n"))
+    table = counts
+    for depth in range(1, len(marks) + 1):
+        outer, here = [*within, *marks[: depth - 1]], marks[depth - 1]
+        sizes = counts.groupBy(*outer, here).agg(F.sum("__n").alias("__n"))
+        earlier = Window.partitionBy(*outer).orderBy(here).rowsBetween(*_BEFORE)
+        offsets = sizes.select(
+            *outer, here, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(f"__o{depth}")
         )
-        table = left_join(table, shifted, marks[:depth])
+        table = left_join(table, offsets, [*outer, here])
     shift = reduce(lambda a, b: a + b, (F.col(f"__o{d}") for d in range(1, len(marks) + 1)))
-    table = table.select(*marks, shift.alias("__shift"))
-    inside = Window.partitionBy(*marks).orderBy(*order)
+    table = table.select(*within, *marks, shift.alias("__shift"))
+    inside = Window.partitionBy(*within, *marks).orderBy(*order)
     local = rows.withColumn("__at", F.row_number().over(inside))
     return (
-        left_join(local, table, marks)
+        left_join(local, table, [*within, *marks])
         .withColumn(name, (F.col("__at") + F.col("__shift")).cast("bigint"))
         .select(*df.columns, name)
     )

@@ -7,6 +7,7 @@ Everything below the "fixed values" marks has to equal the public data model
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -317,10 +318,12 @@ DOMAINS: dict[str, dict[str, tuple[str, ...]]] = {
 }
 
 
+@cache
 def table_schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(TABLE_DDL[name])
 
 
+@cache
 def movement_schema() -> T.StructType:
     return T.StructType.fromDDL(MOVEMENT_DDL)
 

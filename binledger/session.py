@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,7 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("binledger")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.extraJavaOptions", "-Duser.timezone=UTC")
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -47,3 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="binledger-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def cut(df, label: str = "step"):
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The result has no lineage to recompute, survives lost executors, and later
+    steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
