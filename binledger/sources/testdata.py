@@ -572,3 +572,46 @@ class DerivedTables:
                 "employee_id": F.lit(1).cast("bigint"),
             }
         )
+
+
+class UncleanTables(DerivedTables):
+    """The same tables with faults of every kind, as input for the integrity jobs.
+
+    Inactive products are gone though rows still refer to them, sales lines keep the
+    source's repeating line numbers, and inventory is a raw load of movement rows.
+    """
+
+    @cached_property
+    def product(self) -> DataFrame:
+        return super().product.where(F.col("is_active") == "Y")
+
+    @cached_property
+    def so_line(self) -> DataFrame:
+        price = F.lit(1).cast("decimal(12,2)")
+        quantity = _quantity(F.col("l_quantity"))
+        return self._typed(
+            "so_line",
+            self.raw("lineitem").select(
+                (F.col("l_orderkey") * LINES_PER_HEADER + F.col("l_linenumber")).alias("so_line_id"),
+                F.col("l_orderkey").alias("so_id"),
+                F.col("l_linenumber").alias("line_number"),
+                F.col("l_partkey").alias("product_id"),
+                quantity.alias("qty_ordered"),
+                quantity.alias("qty_shipped"),
+                price.alias("unit_price"),
+                (quantity * price).alias("line_total"),
+            ),
+        )
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return self._typed(
+            "inventory",
+            self.movement_command.select(
+                F.col("seq").alias("inventory_id"),
+                "product_id", "warehouse_id", "location_id",
+                F.col("qty").alias("qty_on_hand"),
+                F.lit(0).alias("qty_reserved"),
+                F.lit(_START).alias("updated_at"),
+            ),
+        )
