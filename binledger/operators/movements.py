@@ -21,11 +21,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binledger import schemas
+from binledger.functions import fold
 from binledger.functions.fold import CODE, FIELDS, KINDS, REASONS, fold_sorted
 from binledger.functions.scan import (
     HOT_ROWS,
@@ -38,6 +40,9 @@ from binledger.operators.keys import highest
 from binledger.session import cut
 from binledger.sources.tables import Tables
 
+# The helper travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(fold)
+
 BOUND_ROUNDS = 2
 _SLOT = ["product_id", "warehouse_id", "location_id"]
 
