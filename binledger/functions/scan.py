@@ -1,10 +1,11 @@
 """Ordered scans over keyed rows that stay parallel when one key is huge.
 
-A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here a
-key with more than ``limit`` rows is cut into chunks of consecutive positions;
-each chunk is scanned on its own and a small table of per-chunk totals carries
-the result of the earlier chunks forward. A usual key keeps one chunk, so usual
-data pays one pre-aggregated count, not a second full shuffle.
+A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Each scan
+here first looks, with one pre-aggregated count, whether any key has more than
+``limit`` rows. If none has, the plain window is used. Otherwise the hot keys, and
+only they, are cut into chunks of consecutive positions; each chunk is scanned on
+its own and a small table of per-chunk totals carries the result of the earlier
+chunks forward.
 """
 
 from __future__ import annotations
@@ -47,15 +48,21 @@ def with_chunks(
     position: Column,
     limit: int = HOT_ROWS,
     span: int | None = None,
-) -> DataFrame:
-    """Add a chunk number: 0 for a usual key, ``1 + position div span`` for a hot one."""
-    hot = hot_keys(df, keys, limit).withColumn("__hot", F.lit(True))
+) -> tuple[DataFrame, bool]:
+    """Add a chunk number: 0 for a usual key, ``1 + position div span`` for a hot one.
+
+    Also tells whether there is a hot key at all, which takes a small job.
+    """
+    hot = hot_keys(df, keys, limit)
+    if hot.isEmpty():
+        return df.withColumn(_CHUNK, F.lit(0).cast("bigint")), False
     chunk = F.when(F.col("__hot"), F.lit(1) + whole_quotient(position, span or limit))
-    return (
-        left_join(df, hot, keys)
+    marked = (
+        left_join(df, hot.withColumn("__hot", F.lit(True)), keys)
         .withColumn(_CHUNK, F.coalesce(chunk, F.lit(0)).cast("bigint"))
         .drop("__hot")
     )
+    return marked, True
 
 
 def running_sums(
@@ -75,7 +82,11 @@ def running_sums(
     """
     at = F.col(order[0]) if position is None else position
     names = list(sums)
-    rows = with_chunks(df, keys, at, limit, span).withColumns({f"__v_{n}": sums[n] for n in names})
+    rows, any_hot = with_chunks(df, keys, at, limit, span)
+    if not any_hot:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_UP_TO_HERE)
+        return df.withColumns({n: F.sum(sums[n]).over(plain) for n in names})
+    rows = rows.withColumns({f"__v_{n}": sums[n] for n in names})
     totals = (
         rows.where(F.col(_CHUNK) > 0)
         .groupBy(*keys, _CHUNK)
@@ -103,7 +114,9 @@ def previous_value(
 
     ``order`` is a unique bigint column.
     """
-    rows = with_chunks(df, keys, F.col(order), limit)
+    rows, any_hot = with_chunks(df, keys, F.col(order), limit)
+    if not any_hot:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
     last = (
         rows.where(F.col(_CHUNK) > 0)
         .groupBy(*keys, _CHUNK)
@@ -113,11 +126,7 @@ def previous_value(
         "__last", F.lag("__last").over(Window.partitionBy(*keys).orderBy(_CHUNK))
     )
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(order)
-    local = rows.withColumns(
-        {
-            "__lagged": F.lag(F.struct(F.col(value))).over(inside),
-        }
-    )
+    local = rows.withColumn("__lagged", F.lag(F.struct(F.col(value))).over(inside))
     return (
         left_join(local, carried, [*keys, _CHUNK])
         .withColumn(name, F.coalesce("__lagged", "__last")[value])

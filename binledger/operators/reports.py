@@ -153,10 +153,12 @@ def nest_lines(
     five-digit line numbers can be, continues on further rows with ``page`` > 0.
     """
     rest = [c for c in lines.columns if c != order]
-    pages = with_chunks(lines, [key], F.col(order), page_rows)
-    nested = pages.groupBy(key, F.col("__chunk").alias("page")).agg(
-        F.sort_array(F.collect_list(F.struct(order, *rest))).alias("lines")
-    )
+    pages, any_long = with_chunks(lines, [key], F.col(order), page_rows)
+    listed = F.sort_array(F.collect_list(F.struct(order, *rest))).alias("lines")
+    if any_long:
+        nested = pages.groupBy(key, F.col("__chunk").alias("page")).agg(listed)
+    else:
+        nested = lines.groupBy(key).agg(listed).withColumn("page", F.lit(0))
     return left_join(headers, nested, [key]).withColumns(
         {"page": F.coalesce("page", F.lit(0)), "lines": F.coalesce("lines", F.array())}
     )

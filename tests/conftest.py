@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def seeded(spark):
-    return {name: df.cache() for name, df in seed_tables(spark).items()}
+    return {name: df.coalesce(1).cache() for name, df in seed_tables(spark).items()}
 
 
 @pytest.fixture(scope="session")
