@@ -48,13 +48,15 @@ def with_chunks(
     position: Column,
     limit: int = HOT_ROWS,
     span: int | None = None,
+    at_most: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """Add a chunk number: 0 for a usual key, ``1 + position div span`` for a hot one.
 
-    Also tells whether there is a hot key at all, which takes a small job.
+    Also tells whether there is a hot key at all. That takes a small job, unless
+    ``at_most`` gives a known bound on the rows of ``df`` that rules one out.
     """
     hot = hot_keys(df, keys, limit)
-    if hot.isEmpty():
+    if (at_most is not None and at_most <= limit) or hot.isEmpty():
         return df.withColumn(_CHUNK, F.lit(0).cast("bigint")), False
     chunk = F.when(F.col("__hot"), F.lit(1) + whole_quotient(position, span or limit))
     marked = (
@@ -73,6 +75,7 @@ def running_sums(
     position: Column | None = None,
     limit: int = HOT_ROWS,
     span: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add running sums per key, the current row included.
 
@@ -82,7 +85,7 @@ def running_sums(
     """
     at = F.col(order[0]) if position is None else position
     names = list(sums)
-    rows, any_hot = with_chunks(df, keys, at, limit, span)
+    rows, any_hot = with_chunks(df, keys, at, limit, span, at_most)
     if not any_hot:
         plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_UP_TO_HERE)
         return df.withColumns({n: F.sum(sums[n]).over(plain) for n in names})
@@ -146,7 +149,8 @@ def number_rows(
     ``levels`` cut the order into ranges from coarse to fine: rows of an earlier
     range come first in ``order``. The first level has to have few values (days,
     or id ranges); only its table of counts meets in one task. The rows themselves
-    are sorted per finest range.
+    are sorted per finest range. Neither ``levels`` nor ``within`` may be NULL: plain
+    equality lets the join and the window share one shuffle.
     """
     marks = [f"__l{i}" for i in range(len(levels))]
     rows = df.withColumns(dict(zip(marks, levels, strict=True)))
@@ -154,18 +158,18 @@ def number_rows(
     table = counts
     for depth in range(1, len(marks) + 1):
         outer, here = [*within, *marks[: depth - 1]], marks[depth - 1]
-        sizes = counts.groupBy(*outer, here).agg(F.sum("__n").alias("__n"))
+        finest = depth == len(marks)
+        sizes = counts if finest else counts.groupBy(*outer, here).agg(F.sum("__n").alias("__n"))
         earlier = Window.partitionBy(*outer).orderBy(here).rowsBetween(*_BEFORE)
         offsets = sizes.select(
             *outer, here, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(f"__o{depth}")
         )
-        table = left_join(table, offsets, [*outer, here])
+        table = offsets if len(marks) == 1 else table.join(offsets, [*outer, here])
     shift = reduce(lambda a, b: a + b, (F.col(f"__o{d}") for d in range(1, len(marks) + 1)))
     table = table.select(*within, *marks, shift.alias("__shift"))
     inside = Window.partitionBy(*within, *marks).orderBy(*order)
-    local = rows.withColumn("__at", F.row_number().over(inside))
     return (
-        left_join(local, table, [*within, *marks])
-        .withColumn(name, (F.col("__at") + F.col("__shift")).cast("bigint"))
+        rows.join(table, [*within, *marks])
+        .withColumn(name, (F.row_number().over(inside) + F.col("__shift")).cast("bigint"))
         .select(*df.columns, name)
     )

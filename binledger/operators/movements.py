@@ -31,7 +31,6 @@ from binledger.functions import fold
 from binledger.functions.fold import CODE, FIELDS, KINDS, REASONS, fold_sorted
 from binledger.functions.scan import (
     HOT_ROWS,
-    left_join,
     number_rows,
     running_sums,
     whole_quotient,
@@ -122,7 +121,7 @@ def prepare(commands: DataFrame, t: Tables) -> DataFrame:
             ),
         }
     )
-    c = left_join(c, order_lines(t), ["cmd", "line_key"])
+    c = c.join(order_lines(t), ["cmd", "line_key"], "left")
     c = c.withColumns(
         {
             "product_id": F.when(on_line, F.col("line_product")).otherwise(F.col("product_id")),

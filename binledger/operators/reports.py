@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binledger import schemas
-from binledger.functions.scan import HOT_ROWS, left_join, with_chunks
+from binledger.functions.scan import HOT_ROWS, with_chunks
 from binledger.operators import views
 from binledger.sources.tables import Tables
 
@@ -159,7 +159,7 @@ def nest_lines(
         nested = pages.groupBy(key, F.col("__chunk").alias("page")).agg(listed)
     else:
         nested = lines.groupBy(key).agg(listed).withColumn("page", F.lit(0))
-    return left_join(headers, nested, [key]).withColumns(
+    return headers.join(nested, key, "left").withColumns(
         {"page": F.coalesce("page", F.lit(0)), "lines": F.coalesce("lines", F.array())}
     )
 

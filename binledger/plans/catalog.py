@@ -292,19 +292,19 @@ def queries() -> dict[str, Query]:
         "q_active_locations": _on(reports.active_locations),
         "q_purchase_orders_nested": _on(
             lambda t: _exploded(
-                reports.purchase_orders_nested(t), "po_line_id", "line_number", "product_id",
+                reports.purchase_orders_nested(t, ordered=False), "po_line_id", "line_number", "product_id",
                 "qty_ordered", "qty_received", "unit_cost", "line_total", *_LINE,
             )
         ),
         "q_sales_orders_nested": _on(
             lambda t: _exploded(
-                reports.sales_orders_nested(t), "so_line_id", "line_number", "product_id",
+                reports.sales_orders_nested(t, ordered=False), "so_line_id", "line_number", "product_id",
                 "qty_ordered", "qty_shipped", "unit_price", "line_total", *_LINE,
             )
         ),
         "q_transfers_nested": _on(
             lambda t: _exploded(
-                reports.transfers_nested(t), "transfer_line_id", "product_id", "from_location_id",
+                reports.transfers_nested(t, ordered=False), "transfer_line_id", "product_id", "from_location_id",
                 "to_location_id", "qty_requested", "sku", "product_name", "from_location_code",
                 "to_location_code",
             )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from datetime import date, datetime
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from binledger import schemas
 
@@ -164,7 +166,14 @@ def _rows(name: str) -> list[tuple]:
 
 
 def seed_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame(_rows(name), schemas.table_schema(name))
+    schema = schemas.table_schema(name)
+    # A local relation has a known size, so joins with it are broadcast.
+    columns = [list(c) for c in zip(*_rows(name), strict=True)] or [[] for _ in schema.fields]
+    kinds = to_arrow_schema(schema)
+    return spark.createDataFrame(
+        pa.table([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds),
+        schema,
+    )
 
 
 def seed_tables(spark: SparkSession) -> dict[str, DataFrame]:

@@ -25,6 +25,27 @@ _LINE_ORDER = [
 ]
 _START = "1995-01-01 00:00:00"
 
+# --- fixed values: columns of the source files --------------------------------
+RAW_DDL = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING",
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+        "p_retailprice DOUBLE"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+        "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+}
+
 
 def _pad(column: str, width: int) -> Column:
     return F.lpad(F.col(column).cast("string"), width, "0")
@@ -51,7 +72,12 @@ class DerivedTables:
         self.folder = folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(RAW_DDL[name]).parquet(f"{self.folder}/{name}.parquet")
+
+    @cached_property
+    def line_count(self) -> int:
+        """Rows of the largest source, from the file footers; bounds every scan below."""
+        return self.raw("lineitem").count()
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in schemas.TABLE_DDL:
@@ -232,6 +258,7 @@ class DerivedTables:
             _LINE_ORDER,
             {"line_number": F.lit(1).cast("bigint")},
             span=PART_SPAN,
+            at_most=self.line_count,
         )
         quantity = F.col("l_quantity").cast("bigint")
         cents = (F.col("l_extendedprice").cast("decimal(14,2)") * 100).cast("bigint")
@@ -501,7 +528,8 @@ class DerivedTables:
             F.col("ship_day").cast("timestamp").alias("transaction_date"),
         )
         balanced = running_sums(
-            log, ["product_id", "location_id"], ["transaction_id"], {"balance": F.col("change")}
+            log, ["product_id", "location_id"], ["transaction_id"], {"balance": F.col("change")},
+            at_most=self.line_count,
         )
         return self._typed(
             "stock_transaction",
