@@ -84,34 +84,35 @@ def _references(t: Tables, table: str) -> DataFrame:
 def foreign_key_violations(t: Tables, tables: Sequence[str] | None = None) -> DataFrame:
     """Rows that refer to a parent row that is not there.
 
-    The distinct referenced values, not the rows, are matched with the parents.
-    What remains are the dangling values, and only they meet the rows again.
+    The distinct referenced values of all rules, not the rows, are matched with the
+    keys of all parents, in one anti join. What remains are the dangling values, and
+    only they meet the rows again.
     """
     chosen = _chosen(tables, schemas.FOREIGN_KEYS)
-    by_parent: dict[str, list[DataFrame]] = defaultdict(list)
-    for table in chosen:
-        for parent in sorted({p for _, p in schemas.FOREIGN_KEYS[table]}):
-            by_parent[parent].append(_references(t, table).where(F.col("parent") == parent))
-    dangling = _stack(
+    parents = sorted({p for n in chosen for _, p in schemas.FOREIGN_KEYS[n]})
+    keys = _stack(
         [
-            _stack(refs)
-            .select("rule_id", "value")
-            .distinct()
-            .join(
-                t[parent].select(F.col(schemas.PRIMARY_KEY[parent]).cast("string").alias("value")),
-                "value",
-                "left_anti",
+            t[p].select(
+                F.lit(p).alias("parent"),
+                F.col(schemas.PRIMARY_KEY[p]).cast("string").alias("value"),
             )
-            .select("rule_id", "value")
-            for parent, refs in sorted(by_parent.items())
+            for p in parents
         ]
     )
     rows = _stack(
         [
-            _references(t, n).select(F.lit(n).alias("table_name"), "row_key", "rule_id", "value")
+            _references(t, n).select(
+                F.lit(n).alias("table_name"), "row_key", "rule_id", "parent", "value"
+            )
             for n in chosen
         ]
     )
+    dangling = (
+        rows.select("rule_id", "parent", "value")
+        .distinct()
+        .join(keys, ["parent", "value"], "left_anti")
+        .select("rule_id", "value")
+    )
     return rows.join(dangling, ["rule_id", "value"], "left_semi").select(
         "rule_id", "table_name", "row_key", "value"
     )
