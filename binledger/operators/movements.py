@@ -102,6 +102,26 @@ def _with_flag(df: DataFrame, keys: dict[str, str], parent: DataFrame, flag: str
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def _with_document_flag(c: DataFrame, commands: DataFrame, t: Tables) -> DataFrame:
+    """Tell whether a given receipt or shipment exists.
+
+    Commands usually open a document of their own. A look at the pushed-down filter
+    saves a batch without given documents the join; a stream cannot look ahead.
+    """
+    if not commands.isStreaming and commands.where(F.col("header_id").isNotNull()).isEmpty():
+        return c.withColumn("header_ok", F.lit(True))
+    documents = (
+        t["goods_receipt"]
+        .select(F.lit("RECEIVE").alias("cmd"), F.col("receipt_id").alias("header_id"))
+        .unionAll(
+            t["shipment"].select(F.lit("SHIP").alias("cmd"), F.col("shipment_id").alias("header_id"))
+        )
+    )
+    # NULL would send all of them to one task; the spread keys match nothing.
+    c = c.withColumn("__header", F.coalesce("header_id", -F.col("seq") - 1))
+    return _with_flag(c, {"cmd": "cmd", "__header": "header_id"}, documents, "header_ok")
+
+
 def prepare(commands: DataFrame, t: Tables) -> DataFrame:
     """Commands with their order line, slots and all checks that no stock level affects.
 
@@ -134,16 +154,7 @@ def prepare(commands: DataFrame, t: Tables) -> DataFrame:
     c = _with_flag(c, {"location_id": "location_id"}, t["warehouse_location"], "bin_ok")
     c = _with_flag(c, {"to_location_id": "location_id"}, t["warehouse_location"], "to_bin_ok")
     c = _with_flag(c, {"product_id": "product_id"}, t["product"], "product_ok")
-    documents = (
-        t["goods_receipt"]
-        .select(F.lit("RECEIVE").alias("cmd"), F.col("receipt_id").alias("header_id"))
-        .unionAll(
-            t["shipment"].select(F.lit("SHIP").alias("cmd"), F.col("shipment_id").alias("header_id"))
-        )
-    )
-    # Most commands open a document of their own; the spread keys match nothing.
-    c = c.withColumn("__header", F.coalesce("header_id", -F.col("seq") - 1))
-    c = _with_flag(c, {"cmd": "cmd", "__header": "header_id"}, documents, "header_ok")
+    c = _with_document_flag(c, commands, t)
     header_ok = F.col("header_ok") | F.col("header_id").isNull()
 
     transfer, adjust = F.col("cmd") == "TRANSFER", F.col("cmd") == "ADJUST"
