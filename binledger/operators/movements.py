@@ -452,18 +452,20 @@ def _explained(legs: DataFrame) -> DataFrame:
 def outcomes(
     commands: DataFrame,
     t: Tables,
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
     rounds: int = BOUND_ROUNDS,
     chunk_rows: int = HOT_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Decide every command: ``code`` 0 or a reject reason, and the balances before it.
 
-    With ``hot_rows`` the prepared commands are written to the shared folder once
-    and products with more commands than that are decided by bounds. Without it the
-    plan stays lazy and every product is folded.
+    The prepared commands are written to the shared folder once, and products with
+    more than ``hot_rows`` of them are decided by bounds. Where ``at_most``, a known
+    bound on the number of commands, rules such products out (or ``hot_rows`` is
+    None) the plan stays lazy and every product is folded.
     """
     prepared = prepare(commands, t)
-    if hot_rows is None:
+    if hot_rows is None or (at_most is not None and at_most <= hot_rows):
         return _decide_in_order(prepared, t["inventory"], written=False)
     prepared = cut(prepared, "movement-commands")
     per_product = prepared.groupBy("product_id").count()
@@ -855,12 +857,11 @@ def replay(
     commands: DataFrame,
     t: Tables,
     now: Column | None = None,
-    hot_rows: int | None = None,
     **options,
 ) -> Replay:
     """Decide a batch, write the decisions to the shared folder, derive all changes."""
     stamp = F.current_timestamp() if now is None else now
-    decided = cut(outcomes(commands, t, hot_rows, **options), "movement-outcomes")
+    decided = cut(outcomes(commands, t, **options), "movement-outcomes")
     return Replay(decided, t, stamp)
 
 
