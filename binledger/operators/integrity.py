@@ -128,7 +128,7 @@ def _flagged(t: Tables, table: str, flags: Sequence) -> DataFrame:
 
 
 def check_violations(
-    t: Tables, profile: str = "oracle", tables: Sequence[str] | None = None
+    t: Tables, profile: str = "database", tables: Sequence[str] | None = None
 ) -> DataFrame:
     """Rows for which a row rule of the profile is false; NULL breaks no rule."""
     flags: dict[str, list] = defaultdict(list)

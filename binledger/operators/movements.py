@@ -554,7 +554,7 @@ class Replay:
         text = F.regexp_extract("transfer_number", r"^XFR-2025-(\d{4,18})$", 1)
         used = (
             stored.where(text != "")
-            .select("transfer_number", text.cast("bigint").alias("number"))
+            .select("transfer_number", text.try_cast("bigint").alias("number"))
             .where(
                 (F.col("number") > top)
                 & (F.format_string("XFR-2025-%04d", "number") == F.col("transfer_number"))

@@ -126,6 +126,15 @@ def _ingested(t: DerivedTables, part: int) -> DataFrame:
     return result
 
 
+def _line_totals(t: DerivedTables) -> DataFrame:
+    def side(kind: str, table: str, unit: str) -> DataFrame:
+        lines = loading.with_line_total(t[table].drop("line_total"), unit)
+        key = schemas.PRIMARY_KEY[table]
+        return lines.select(F.lit(kind).alias("kind"), F.col(key).alias("line_id"), "line_total")
+
+    return side("PURCHASE", "po_line", "unit_cost").unionAll(side("SALES", "so_line", "unit_price"))
+
+
 def _keyed(t: DerivedTables) -> DataFrame:
     key = F.col("o_orderkey")
     rows = t.raw("orders").select(
@@ -274,6 +283,7 @@ def queries() -> dict[str, Query]:
         "q_movement_script": _on(
             lambda t: t.movement_command.select(*schemas.movement_schema().fieldNames()[:10])
         ),
+        "q_line_totals": _on(_line_totals),
         "q_ingest_products": _on(lambda t: _ingested(t, 0)),
         "q_ingest_rejects": _on(lambda t: _ingested(t, 1)),
         "q_user_sql": _user_sql,
@@ -338,8 +348,8 @@ def queries() -> dict[str, Query]:
         "q_unique_violations": _on(integrity.unique_key_violations, UncleanTables),
         "q_fk_violations": _on(integrity.foreign_key_violations, UncleanTables),
         "q_check_violations": _on(integrity.check_violations, UncleanTables),
-        "q_check_violations_runtime": _on(
-            lambda t: integrity.check_violations(t, "runtime"), UncleanTables
+        "q_check_violations_application": _on(
+            lambda t: integrity.check_violations(t, "application"), UncleanTables
         ),
         "q_not_null_violations": _on(integrity.not_null_violations, UncleanTables),
         "q_cascade_delete": _on(_cascade),

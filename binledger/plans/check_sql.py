@@ -507,7 +507,7 @@ _PROGRESS = """
 
 # rule -> (table, condition a row must not make false)
 _ROW_RULES = {
-    "oracle": {
+    "database": {
         "K-01": ("employee", "is_active IN ('Y', 'N')"),
         "K-02": ("product", "is_active IN ('Y', 'N')"),
         "K-03": ("product", "unit_cost >= 0 AND unit_price >= 0 AND reorder_level >= 0"),
@@ -542,9 +542,9 @@ _ROW_RULES = {
                                       "'TRANSFER_IN', 'TRANSFER_OUT', 'RETURN')"),
     },
 }
-_ROW_RULES["runtime"] = {
+_ROW_RULES["application"] = {
     k: v
-    for k, v in _ROW_RULES["oracle"].items()
+    for k, v in _ROW_RULES["database"].items()
     if k not in ("K-03", "K-12", "K-14", "K-17", "K-20", "K-22", "K-26")
 } | {
     "K-07": ("warehouse_location", "zone_type IN ('STORAGE', 'RECEIVING', 'SHIPPING', 'STAGING', "
@@ -613,8 +613,8 @@ def _integrity() -> dict[str, str]:
         "q_pk_violations": _shown(f"{rules} n_rows", pk, unclean),
         "q_unique_violations": _shown(f"{rules} n_rows", unique, unclean),
         "q_fk_violations": _shown(f"{rules} value", foreign, unclean),
-        "q_check_violations": _shown(rules, _row_rules("oracle"), unclean),
-        "q_check_violations_runtime": _shown(rules, _row_rules("runtime"), unclean),
+        "q_check_violations": _shown(rules, _row_rules("database"), unclean),
+        "q_check_violations_application": _shown(rules, _row_rules("application"), unclean),
         "q_not_null_violations": _shown(rules, missing, unclean),
     }
 
@@ -805,6 +805,13 @@ def statements() -> dict[str, str]:
             "qty employee_id",
             "SELECT * FROM w_script",
         ),
+        "q_line_totals": _shown(
+            "kind line_id line_total",
+            """
+            SELECT 'PURCHASE' AS kind, po_line_id AS line_id, total_cents / 100.0 AS line_total
+            FROM w_po_line
+            UNION ALL SELECT 'SALES', so_line_id, total_cents / 100.0 FROM w_so_line""",
+        ),
         "q_ingest_products": _shown(
             _columns("product"),
             f"""

@@ -294,7 +294,7 @@ TOUCHED_TABLES = (
 
 # --- fixed values: status and code domains per rule profile --------------------
 DOMAINS: dict[str, dict[str, tuple[str, ...]]] = {
-    "oracle": {
+    "database": {
         "flag": ("Y", "N"),
         "zone": ("STORAGE", "PICKING", "RECEIVING", "SHIPPING", "QUARANTINE"),
         "po_status": ("DRAFT", "SUBMITTED", "APPROVED", "PARTIAL", "RECEIVED", "CANCELLED"),
@@ -307,7 +307,7 @@ DOMAINS: dict[str, dict[str, tuple[str, ...]]] = {
             "RECEIPT", "ISSUE", "ADJUSTMENT", "TRANSFER_IN", "TRANSFER_OUT", "RETURN",
         ),
     },
-    "runtime": {
+    "application": {
         "flag": ("Y", "N"),
         "zone": ("STORAGE", "RECEIVING", "SHIPPING", "STAGING", "QC", "CROSS_DOCK"),
         "po_status": ("DRAFT", "SUBMITTED", "APPROVED", "PARTIAL", "RECEIVED", "CANCELLED"),
@@ -341,10 +341,10 @@ class Check:
     holds: Column
 
 
-def check_rules(profile: str = "oracle") -> list[Check]:
+def check_rules(profile: str = "database") -> list[Check]:
     """The row rules of a profile."""
     domains = DOMAINS[profile]
-    full = profile == "oracle"
+    full = profile == "database"
 
     def among(column: str, domain: str) -> Column:
         return F.col(column).isin(*domains[domain])
