@@ -10,9 +10,10 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry_point  # noqa: E402
+from binledger.plans import catalog, check_sql  # noqa: E402
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-QUERIES, CHECKS = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, CHECKS = catalog.queries(), check_sql.statements()
 
 
 def chosen():
