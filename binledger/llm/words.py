@@ -146,13 +146,14 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
 
 
 def map_slices(
-    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str
+    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str,
+    size: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply ``work`` to pieces of a few megabytes of text, in Arrow batches."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, size):
                 made = work(piece)
                 if made is not None and made.num_rows:
                     yield made
