@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from binledger.llm import mixing, neardup, packing, quality, secrets
+from binledger.llm import mixing, neardup, packing, quality, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), k=4)
 
 
+def op4_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_read(spark, sf_dir, "pages"))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_read(spark, sf_dir, "documents"))
 
@@ -34,8 +38,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op4_warc_capture_index, op6_mixing_sources, op7_secret_scans, op8_best_fit_packing, op10_quality_rules)}
 
 
 def statements() -> dict[str, str]:
-    return {"op6_mixing_sources": mixing.CHECK_SQL}
+    return {"op4_warc_capture_index": warc.CHECK_SQL, "op6_mixing_sources": mixing.CHECK_SQL}
