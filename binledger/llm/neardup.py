@@ -166,6 +166,13 @@ def _joined_to_roots(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return df.join(named, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows ``(bucket, u, ...)`` of buckets that hold more than one component, with ``u_root``."""
+    placed = _joined_to_roots(members, roots, "u")
+    several = placed.groupBy("bucket").agg(F.min("u_root").alias("a"), F.max("u_root").alias("z")).where("a < z")
+    return cut(placed.join(several.select("bucket"), "bucket", "left_semi"), "mixed")
+
+
 def _links(reps: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """Components of the representatives ``(rep, n, bands)``: ``(node, root)``."""
     spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
@@ -180,27 +187,23 @@ def _links(reps: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     def fits(a: str, b: str):
         return F.expr(f"100L * least({a}, {b}) >= {SIMILAR_PERCENT}L * greatest({a}, {b})")
 
-    tried = cut(
-        members.where("rep <> head").where(fits("n", "head_n"))
-        .groupBy(F.col("rep").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("shared")),
-        "tried",
-    )
-    best = tried.groupBy("u").agg(F.max(F.struct("shared", (-F.col("v")).alias("v"))).alias("b"))
-    best = cut(best.select("u", (-F.col("b.v")).alias("v")), "best")
-    links = _verified(best, documents, k)
-    roots = cut(connected_components(links), "roots")
+    shared = members.where("rep <> head").where(fits("n", "head_n"))
+    shared = shared.groupBy(F.col("rep").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("shared"))
+    best = shared.groupBy("u").agg(F.max(F.struct("shared", (-F.col("v")).alias("v"))).alias("b"))
+    tried = cut(best.select("u", (-F.col("b.v")).alias("v")), "best")
+    roots = cut(connected_components(_verified(tried, documents, k)), "roots")
 
-    rest = _joined_to_roots(_joined_to_roots(tried.join(best, ["u", "v"], "left_anti"), roots, "u"), roots, "v")
-    more = _verified(rest.where("u_root <> v_root"), documents, k)
+    open_ = _mixed(members.select("bucket", F.col("rep").alias("u"), "n", F.col("head").alias("v"), "head_n"), roots)
+    rest = _joined_to_roots(open_, roots, "v").where("u_root <> v_root").where(fits("n", "head_n"))
+    rest = cut(rest.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "rest")
+    more = _verified(rest, documents, k)
     if not more.isEmpty():
         roots = cut(connected_components(_edges(roots).unionByName(more)), "roots")
 
-    placed = _joined_to_roots(members.select("bucket", F.col("rep").alias("u"), "n"), roots, "u")
-    mixed = placed.groupBy("bucket").agg(F.min("u_root").alias("a"), F.max("u_root").alias("z"), F.count("*").alias("size"))
-    placed = cut(placed.join(mixed.where("a < z AND size > 2").select("bucket"), "bucket", "left_semi"), "mixed")
-    other = placed.select("bucket", F.col("u").alias("v"), F.col("n").alias("v_n"), F.col("u_root").alias("v_root"))
-    across = placed.join(other, "bucket").where("u_root <> v_root AND u > v").where(fits("n", "v_n"))
-    across = across.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+    open_ = _mixed(open_.select("bucket", "u", "n"), roots)
+    other = open_.select("bucket", F.col("u").alias("v"), F.col("n").alias("v_n"), F.col("u_root").alias("v_root"))
+    across = open_.join(other, "bucket").where("u_root <> v_root AND u > v").where(fits("n", "v_n"))
+    across = across.select("u", "v").distinct().join(tried.unionByName(rest), ["u", "v"], "left_anti")
     more = _verified(across, documents, k)
     if not more.isEmpty():
         roots = cut(connected_components(_edges(roots).unionByName(more)), "roots")
