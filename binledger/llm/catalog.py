@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from binledger.llm import mixing, neardup, packing, quality, secrets, warc
+from binledger.llm import language, mixing, neardup, packing, quality, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), k=4)
 
@@ -37,8 +41,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+_QUERIES = (
+    op1_language_id,
+    op3_minhash_near_dedup,
+    op4_warc_capture_index,
+    op6_mixing_sources,
+    op7_secret_scans,
+    op8_best_fit_packing,
+    op10_quality_rules,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op4_warc_capture_index, op6_mixing_sources, op7_secret_scans, op8_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def statements() -> dict[str, str]:
