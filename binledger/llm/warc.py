@@ -106,6 +106,13 @@ def _gzip(raw: bytes) -> bytes:
     return squeeze.compress(raw) + squeeze.flush()
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads compressed where they are read, so that both shuffles carry fewer bytes."""
+    for batch in batches:
+        bodies = pa.array([zlib.compress(b.as_py(), 1) for b in batch.column("html")], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], bodies], schema=pa.schema([*list(batch.schema)[:-1], ("html", pa.binary())]))
+
+
 def _place(key: str, page_id: int | None) -> tuple[bytes, bool, int]:
     """What captures are ordered by: like Spark, keys by bytes and null first."""
     return key.encode(), page_id is not None, page_id or 0
@@ -124,7 +131,9 @@ def write_archive(pages: DataFrame, parts: int | None = None) -> Archive:
         .groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("head"), F.count("*").alias("held"))
         .where("held > 1").select("digest", "head")
     )
-    rows = rows.join(heads, "digest", "left")
+    rows = rows.select("page_id", "url", "key", "digest", "html").mapInArrow(
+        _squeezed, "page_id long, url string, key string, digest string, html binary"
+    ).join(heads, "digest", "left")
     again = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head.page_id"))
     rows = rows.select(
         "key", "page_id", "url", "digest", F.when(again, F.lit(b"")).otherwise(F.col("html")).alias("html"),
@@ -153,7 +162,8 @@ def write_archive(pages: DataFrame, parts: int | None = None) -> Archive:
                     archive = files.open_output_stream(f"{base}/{name}.warc.gz", compression=None)
                     index = files.open_output_stream(f"{base}/{name}.cdx.gz", compression=None)
                     first = (row["key"], row["page_id"])
-                raw = _gzip(record(row["page_id"], row["url"], row["html"], row["digest"], row["refers_to"], row["refers_url"]))
+                payload = zlib.decompress(row["html"]) if row["html"] else b""
+                raw = _gzip(record(row["page_id"], row["url"], payload, row["digest"], row["refers_to"], row["refers_url"]))
                 archive.write(raw)
                 block.append([row["key"], row["page_id"], at, len(raw)])
                 at, n = at + len(raw), n + 1
