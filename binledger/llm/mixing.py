@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binledger.llm.ranges import hex_key, running_totals
+from binledger.llm.ranges import hex_key, per_group, running_totals
 from binledger.llm.words import find_words, map_slices
 from binledger.session import cut
 
@@ -66,7 +66,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """``documents(doc_id, source, size, ...)`` with source_size, target and taken (words, repeats counted)."""
     keyed = documents.withColumn("_group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))
     keyed = keyed.withColumn("_key", hex_key("doc_id", salt=SALT))
-    goal = targets(keyed.select("_group", "size"), weights)
+    goal = per_group(targets(keyed.select("_group", "size"), weights), "targets")
     placed = running_totals(keyed, "_group", "_key", "size", ["doc_id", "size"], "_before")
     budget = F.floor("target")
     total = F.greatest(F.col("source_size"), F.lit(1))

@@ -10,7 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binledger.session import cut
+
 RANGE_ROWS = 2000
+#: A table of one narrow row per group is broadcast up to this many groups, and joined by sorting beyond.
+BROADCAST_GROUPS = 50_000
+
+
+def per_group(table: DataFrame, label: str) -> DataFrame:
+    """A written table of one narrow row per group, to be broadcast if its counted size allows it."""
+    table = cut(table, label)
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
 
 
 def hex_key(*parts: Column | str, salt: str) -> Column:
@@ -26,7 +36,7 @@ def running_totals(rows: DataFrame, group: str, key: str, value: str, ties: list
     so it should be a written table or cheap to compute.
     """
     at = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(RANGE_ROWS)).alias("_ranges"))
+    counts = per_group(rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(RANGE_ROWS)).alias("_ranges")), "ranges")
     placed = rows.join(counts, group).withColumn("_range", F.floor(at * F.col("_ranges"))).drop("_ranges")
     sums = placed.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
