@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from binledger.llm import language, mixing, neardup, packing, quality, secrets, warc
+from binledger.llm import language, mixing, neardup, neighbours, packing, quality, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op4_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_read(spark, sf_dir, "pages"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_read(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ _QUERIES = (
     op1_language_id,
     op3_minhash_near_dedup,
     op4_warc_capture_index,
+    op5_nearest_neighbours,
     op6_mixing_sources,
     op7_secret_scans,
     op8_best_fit_packing,
