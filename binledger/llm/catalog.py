@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binledger.llm import language, mixing, neardup, neighbours, packing, quality, secrets, warc, wrappers
+from binledger.llm import language, mixing, neardup, neighbours, packing, passages, quality, secrets, warc, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ _QUERIES = (
     op6_mixing_sources,
     op7_secret_scans,
     op8_best_fit_packing,
+    op9_substring_dedup,
     op10_quality_rules,
 )
 
