@@ -240,4 +240,6 @@ def keep_first(documents: DataFrame, k: int = 5) -> DataFrame:
     Rows that repeat one doc_id all stay or all go.
     """
     gone = near_duplicates(documents, k).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
