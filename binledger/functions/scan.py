@@ -1,11 +1,10 @@
 """Ordered scans over keyed rows that stay parallel when one key is huge.
 
-A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Each scan
-here first looks, with one pre-aggregated count, whether any key has more than
-``limit`` rows. If none has, the plain window is used. Otherwise the hot keys, and
-only they, are cut into chunks of consecutive positions; each chunk is scanned on
-its own and a small table of per-chunk totals carries the result of the earlier
-chunks forward.
+A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here the rows of
+every key are cut into chunks of consecutive positions; each chunk is scanned on its
+own and a small table of per-chunk totals carries the result of the earlier chunks
+forward. There is one plan for all sizes: a key with few positions simply has one chunk.
+Keys and chunk form one struct, in which NULLs are equal, so scan and join share a shuffle.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1 << 20
-_CHUNK = "__chunk"
+CHUNK_ROWS = 1 << 20
+_AT = "__at"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -36,35 +35,18 @@ def left_join(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Data
     return left.join(renamed, same, "left").drop(*[f"__r_{c}" for c in columns])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows: at most ``rows / limit`` of them."""
-    counted = df.select(*[F.col(k).alias(k) for k in keys]).groupBy(*keys).count()
-    return counted.where(F.col("count") > limit).select(*keys)
+def id_levels(value: Column, span: int = CHUNK_ROWS) -> list[Column]:
+    """Levels for ``number_rows`` over any bigint, however sparse: no level has over 2^19 values in a range."""
+    return [whole_quotient(value, 1 << 44), whole_quotient(value, 1 << 32), whole_quotient(value, span)]
 
 
-def with_chunks(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: Column,
-    limit: int = HOT_ROWS,
-    span: int | None = None,
-    at_most: int | None = None,
-) -> tuple[DataFrame, bool]:
-    """Add a chunk number: 0 for a usual key, ``1 + position div span`` for a hot one.
-
-    Also tells whether there is a hot key at all. That takes a small job, unless
-    ``at_most`` gives a known bound on the rows of ``df`` that rules one out.
-    """
-    hot = hot_keys(df, keys, limit)
-    if (at_most is not None and at_most <= limit) or hot.isEmpty():
-        return df.withColumn(_CHUNK, F.lit(0).cast("bigint")), False
-    chunk = F.when(F.col("__hot"), F.lit(1) + whole_quotient(position, span or limit))
-    marked = (
-        left_join(df, hot.withColumn("__hot", F.lit(True)), keys)
-        .withColumn(_CHUNK, F.coalesce(chunk, F.lit(0)).cast("bigint"))
-        .drop("__hot")
-    )
-    return marked, True
+def _placed(df: DataFrame, keys: Sequence[str], position: Column, span: int) -> DataFrame:
+    parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    return df.withColumn(_AT, F.struct(*parts, whole_quotient(position, span).alias("chunk")))
+
+
+def _over_chunks(keys: Sequence[str]):
+    return Window.partitionBy(*[F.col(_AT)[f"k{i}"] for i in range(len(keys))]).orderBy(F.col(_AT)["chunk"])
 
 
 def running_sums(
@@ -73,68 +55,39 @@ def running_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     position: Column | None = None,
-    limit: int = HOT_ROWS,
-    span: int | None = None,
-    at_most: int | None = None,
+    span: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add running sums per key, the current row included.
 
     ``sums`` maps each new column to the non-null expression added up. ``position``
     (default: the first order column) is a bigint that never falls along ``order``;
-    a chunk of a hot key holds ``span`` (default: ``limit``) consecutive positions.
+    a chunk holds ``span`` consecutive positions.
     """
-    at = F.col(order[0]) if position is None else position
     names = list(sums)
-    rows, any_hot = with_chunks(df, keys, at, limit, span, at_most)
-    if not any_hot:
-        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_UP_TO_HERE)
-        return df.withColumns({n: F.sum(sums[n]).over(plain) for n in names})
-    rows = rows.withColumns({f"__v_{n}": sums[n] for n in names})
-    totals = (
-        rows.where(F.col(_CHUNK) > 0)
-        .groupBy(*keys, _CHUNK)
-        .agg(*[F.sum(f"__v_{n}").alias(f"__o_{n}") for n in names])
-    )
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(*_BEFORE)
-    carried = totals.withColumns({f"__o_{n}": F.sum(f"__o_{n}").over(earlier) for n in names})
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(*_UP_TO_HERE)
+    at = F.col(order[0]) if position is None else position
+    rows = _placed(df, keys, at, span).withColumns({f"__v_{n}": sums[n] for n in names})
+    totals = rows.groupBy(_AT).agg(*[F.sum(f"__v_{n}").alias(f"__o_{n}") for n in names])
+    earlier = _over_chunks(keys).rowsBetween(*_BEFORE)
+    carried = totals.withColumns({f"__o_{n}": F.coalesce(F.sum(f"__o_{n}").over(earlier), F.lit(0)) for n in names})
+    inside = Window.partitionBy(_AT).orderBy(*order).rowsBetween(*_UP_TO_HERE)
     local = rows.withColumns({n: F.sum(f"__v_{n}").over(inside) for n in names})
-    joined = left_join(local, carried, [*keys, _CHUNK])
-    return joined.withColumns(
-        {n: F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)) for n in names}
-    ).select(*df.columns, *names)
+    return local.join(carried, _AT).withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in names}).select(*df.columns, *names)
 
 
 def previous_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: str,
-    name: str,
-    limit: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, span: int = CHUNK_ROWS
 ) -> DataFrame:
     """Add the ``value`` of the preceding row of the key, NULL on its first row.
 
     ``order`` is a unique bigint column.
     """
-    rows, any_hot = with_chunks(df, keys, F.col(order), limit)
-    if not any_hot:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
-    last = (
-        rows.where(F.col(_CHUNK) > 0)
-        .groupBy(*keys, _CHUNK)
-        .agg(F.max_by(F.struct(F.col(value)), F.col(order)).alias("__last"))
-    )
-    carried = last.withColumn(
-        "__last", F.lag("__last").over(Window.partitionBy(*keys).orderBy(_CHUNK))
-    )
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(order)
+    rows = _placed(df, keys, F.col(order), span)
+    last = rows.groupBy(_AT).agg(F.max_by(F.struct(F.col(value)), F.col(order)).alias("__last"))
+    carried = last.withColumn("__last", F.lag("__last").over(_over_chunks(keys)))
+    inside = Window.partitionBy(_AT).orderBy(order)
     local = rows.withColumn("__lagged", F.lag(F.struct(F.col(value))).over(inside))
-    return (
-        left_join(local, carried, [*keys, _CHUNK])
-        .withColumn(name, F.coalesce("__lagged", "__last")[value])
-        .select(*df.columns, name)
-    )
+    joined = local.join(carried, _AT)
+    return joined.withColumn(name, F.coalesce("__lagged", "__last")[value]).select(*df.columns, name)
 
 
 def number_rows(
@@ -147,29 +100,25 @@ def number_rows(
     """Number rows 1, 2, 3, … in one order, per ``within`` if given, without one big window.
 
     ``levels`` cut the order into ranges from coarse to fine: rows of an earlier
-    range come first in ``order``. The first level has to have few values (days,
-    or id ranges); only its table of counts meets in one task. The rows themselves
-    are sorted per finest range. Neither ``levels`` nor ``within`` may be NULL: plain
-    equality lets the join and the window share one shuffle.
+    range come first in ``order``. Only the counts of one range's parts meet in one task;
+    the rows themselves are sorted per finest range. NULLs come last, in levels and order.
     """
-    marks = [f"__l{i}" for i in range(len(levels))]
-    rows = df.withColumns(dict(zip(marks, levels, strict=True)))
-    counts = rows.groupBy(*within, *marks).agg(F.count(F.lit(1)).alias("__n"))
-    table = counts
+    groups, marks = [f"w{i}" for i in range(len(within))], [f"l{i}" for i in range(len(levels))]
+    parts = [F.col(c).alias(g) for c, g in zip(within, groups)] + [v.alias(m) for v, m in zip(levels, marks, strict=True)]
+    rows = df.withColumn(_AT, F.struct(*parts))
+    table = rows.groupBy(_AT).agg(F.count(F.lit(1)).alias("__n")).withColumn("__shift", F.lit(0).cast("bigint"))
     for depth in range(1, len(marks) + 1):
-        outer, here = [*within, *marks[: depth - 1]], marks[depth - 1]
-        finest = depth == len(marks)
-        sizes = counts if finest else counts.groupBy(*outer, here).agg(F.sum("__n").alias("__n"))
-        earlier = Window.partitionBy(*outer).orderBy(here).rowsBetween(*_BEFORE)
-        offsets = sizes.select(
-            *outer, here, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(f"__o{depth}")
-        )
-        table = offsets if len(marks) == 1 else table.join(offsets, [*outer, here])
-    shift = reduce(lambda a, b: a + b, (F.col(f"__o{d}") for d in range(1, len(marks) + 1)))
-    table = table.select(*within, *marks, shift.alias("__shift"))
-    inside = Window.partitionBy(*within, *marks).orderBy(*order)
+        names = [*groups, *marks[:depth]]
+        key = F.struct(*[F.col(_AT)[n].alias(n) for n in names])
+        table = table.withColumn("__k", key)
+        sizes = table.groupBy("__k").agg(F.sum("__n").alias("__size"))
+        fields = [F.col("__k")[n] for n in names]
+        earlier = Window.partitionBy(*fields[:-1]).orderBy(fields[-1].asc_nulls_last()).rowsBetween(*_BEFORE)
+        offsets = sizes.select("__k", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__o"))
+        table = table.join(offsets, "__k").withColumn("__shift", F.col("__shift") + F.col("__o")).select(_AT, "__n", "__shift")
+    inside = Window.partitionBy(_AT).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     return (
-        rows.join(table, [*within, *marks])
+        rows.join(table.select(_AT, "__shift"), _AT)
         .withColumn(name, (F.row_number().over(inside) + F.col("__shift")).cast("bigint"))
         .select(*df.columns, name)
     )

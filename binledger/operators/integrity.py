@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binledger import schemas
-from binledger.functions.scan import HOT_ROWS, previous_value
+from binledger.functions.scan import CHUNK_ROWS, previous_value
 from binledger.sources.tables import Tables
 
 
@@ -191,12 +191,12 @@ def cascade_delete(t: Tables, header: str, ids: DataFrame) -> dict[str, DataFram
     }
 
 
-def ledger_chain_check(log: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def ledger_chain_check(log: DataFrame, span: int = CHUNK_ROWS) -> DataFrame:
     """Log rows that do not add up, or do not start where their slot's last row ended."""
     slot = ["product_id", "warehouse_id", "location_id"]
     chained = previous_value(
         log.select("transaction_id", *slot, "qty_change", "qty_before", "qty_after"),
-        slot, "transaction_id", "qty_after", "previous_after", limit,
+        slot, "transaction_id", "qty_after", "previous_after", span,
     )
     fault = F.when(
         F.col("qty_before") + F.col("qty_change") != F.col("qty_after"), "ARITHMETIC"

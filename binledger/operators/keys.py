@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binledger import schemas
-from binledger.functions.scan import HOT_ROWS, number_rows, whole_quotient
+from binledger.functions.scan import CHUNK_ROWS, id_levels, number_rows
 from binledger.sources.tables import Tables
 
 
@@ -18,17 +18,17 @@ def highest(df: DataFrame, column: str) -> Column:
 
 
 def assign_surrogate_keys(
-    rows: DataFrame, key: str, order: str, floor: Column | None = None, span: int = HOT_ROWS
+    rows: DataFrame, key: str, order: str, floor: Column | None = None, span: int = CHUNK_ROWS
 ) -> DataFrame:
     """Fill missing ids above every id in use, in ``order``; given ids stay.
 
-    ``order`` is a bigint load position. ``floor`` is the largest id already stored.
+    ``order`` is a bigint load position; rows without one come last. ``floor`` is the largest id already stored.
     """
     top = highest(rows, key)
     start = top if floor is None else F.greatest(top, floor)
     given = rows.where(F.col(key).isNotNull())
     missing = number_rows(
-        rows.where(F.col(key).isNull()), [whole_quotient(F.col(order), span)], [order], "__n"
+        rows.where(F.col(key).isNull()), id_levels(F.col(order), span), [order], "__n"
     )
     filled = missing.withColumn(key, F.col("__n") + start).select(*rows.columns)
     return given.unionByName(filled)

@@ -4,12 +4,16 @@ A movement touches slots and order lines of one product only, so products are
 independent of each other. Within a product the order of ``seq`` decides: a
 rejected movement leaves no trace for the later ones.
 
-Products of usual size are shuffled once by product and folded in order. A
-product with more than ``hot_rows`` movements would keep one task busy for long.
-Its movements are first decided by bounds: running sums, cut into chunks, give the
+All movements are first decided by bounds: running sums, cut into chunks, give the
 lowest and highest balance a movement can meet whatever happens to the undecided
-ones before it. Where both bounds agree the movement is decided. Only the few that
-stay undecided are folded.
+ones before it. Where both bounds agree the movement is decided, which narrows the
+bounds of others, so this is repeated while it settles a fair share. What stays undecided
+hangs together in order through the slots and lines it touches; it is dealt by connected
+slots and folded. There is one route for all sizes, so a product that holds a third
+of all movements is no single task.
+
+``seq`` has to be given and unique: movements without one, and all that share one, are
+rejected as MALFORMED.
 
 The input snapshot has to satisfy the integrity rules (reserved within on-hand,
 order lines with existing products). A given ``header_id`` has to exist in the
@@ -28,12 +32,13 @@ from pyspark.sql import types as T
 
 from binledger import schemas
 from binledger.functions import fold
+from binledger.functions.components import connected_components
 from binledger.functions.fold import CODE, FIELDS, KINDS, REASONS, fold_sorted
 from binledger.functions.scan import (
-    HOT_ROWS,
+    CHUNK_ROWS,
+    id_levels,
     number_rows,
     running_sums,
-    whole_quotient,
 )
 from binledger.operators.keys import highest
 from binledger.session import cut
@@ -42,7 +47,8 @@ from binledger.sources.tables import Tables
 # The helper travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(fold)
 
-BOUND_ROUNDS = 2
+#: Bounds are tightened again while a round settles at least this share of the undecided.
+SETTLES = 0.1
 _SLOT = ["product_id", "warehouse_id", "location_id"]
 
 
@@ -63,15 +69,24 @@ def _first_code(*cases: tuple[Column, str]) -> Column:
     return result.cast("bigint")
 
 
-def order_lines(t: Tables) -> DataFrame:
-    """Purchase and sales lines with what a movement needs of their header."""
+def order_lines(t: Tables, wanted: DataFrame | None = None) -> DataFrame:
+    """Purchase and sales lines with what a movement needs of their header.
+
+    ``wanted(cmd, line_id)``, if given, names the lines; only they meet their headers.
+    """
+
+    def lines_of(kind: str, line: str) -> DataFrame:
+        if wanted is None:
+            return t[line]
+        ids = wanted.where(F.col("cmd") == kind).select(F.col("line_id").alias(schemas.PRIMARY_KEY[line])).distinct()
+        return t[line].join(ids, schemas.PRIMARY_KEY[line], "left_semi")
 
     def side(kind: str, line: str, header: str, key: str, number: str, done: str) -> DataFrame:
         headers = t[header].select(
             key, F.col("warehouse_id").alias("line_wh"), F.col(number).alias("order_number")
         )
         return (
-            t[line]
+            lines_of(kind, line)
             .join(headers, key)
             .select(
                 F.lit(kind).alias("cmd"),
@@ -122,13 +137,15 @@ def _with_document_flag(c: DataFrame, commands: DataFrame, t: Tables) -> DataFra
     return _with_flag(c, {"cmd": "cmd", "__header": "header_id"}, documents, "header_ok")
 
 
-def prepare(commands: DataFrame, t: Tables) -> DataFrame:
+def prepare(commands: DataFrame, t: Tables, faulty: Column | None = None) -> DataFrame:
     """Commands with their order line, slots and all checks that no stock level affects.
 
     Works on a stream of commands too. ``early``, ``middle`` and ``late`` are the
     codes of static faults by when they count: before the check of the open
-    quantity, between it and the stock checks, and after them.
+    quantity, between it and the stock checks, and after them. ``faulty`` marks commands
+    that are malformed for reasons of their own.
     """
+    faulty = F.lit(False) if faulty is None else faulty
     kinds = F.create_map(*[x for i, k in enumerate(KINDS[1:], 1) for x in (F.lit(k), F.lit(i))])
     on_line = F.col("cmd").isin("RECEIVE", "SHIP")
     c = commands.withColumns(
@@ -141,7 +158,8 @@ def prepare(commands: DataFrame, t: Tables) -> DataFrame:
             ),
         }
     )
-    c = c.join(order_lines(t), ["cmd", "line_key"], "left")
+    wanted = None if commands.isStreaming else commands.where(on_line)
+    c = c.join(order_lines(t, wanted), ["cmd", "line_key"], "left")
     c = c.withColumns(
         {
             "product_id": F.when(on_line, F.col("line_product")).otherwise(F.col("product_id")),
@@ -172,7 +190,7 @@ def prepare(commands: DataFrame, t: Tables) -> DataFrame:
     )
     same_bin = F.col("location_id") == F.col("to_location_id")
     early = _first_code(
-        (~complete, "MALFORMED"),
+        (faulty | ~complete, "MALFORMED"),
         (transfer & same_bin & (F.col("warehouse_id") == F.col("to_warehouse_id")), "SAME_BIN"),
         ((on_line | transfer) & (F.col("qty") <= 0), "NONPOSITIVE_QTY"),
         (adjust & (F.col("qty") == 0), "ZERO_QTY"),
@@ -215,7 +233,7 @@ def prepare(commands: DataFrame, t: Tables) -> DataFrame:
     return c.select(
         *carried,
         # Faulty rows without a product are spread out; no state depends on them.
-        F.coalesce("product_id", -F.col("seq") - 1).alias("product_id"),
+        F.coalesce("product_id", -F.col("seq") - 1, F.lit(-1)).cast("bigint").alias("product_id"),
         *[work[n].alias(n) for n in FIELDS],
     )
 
@@ -252,17 +270,7 @@ def _fold(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(fold_sorted, T.StructType([*rows.schema.fields, *_DECISION]))
 
 
-def _decide_in_order(prepared: DataFrame, inventory: DataFrame, written: bool) -> DataFrame:
-    """Fold whole products: one shuffle of the commands and of their opening balances."""
-    if written:
-        touched = prepared.select("product_id").distinct()
-        inventory = inventory.join(touched, "product_id", "left_semi")
-    return _fold(prepared.unionByName(_as_rows(inventory, prepared.schema))).where(
-        F.col("cmd") != "OPEN"
-    )
-
-
-# -- hot products ----------------------------------------------------------------
+# -- deciding by bounds ------------------------------------------------------------
 
 _ACCEPTED, _REJECTED, _UNDECIDED = 0, 1, 2
 
@@ -306,12 +314,12 @@ _BALANCES = (
 )
 
 
-def _with_balances(rows: DataFrame, opening: DataFrame, limit: int) -> DataFrame:
+def _with_balances(rows: DataFrame, opening: DataFrame, span: int) -> DataFrame:
     """Commands as legs, with what lies before each: settled sums and possible ones."""
     on_line = rows.where(_kind("RECEIVE", "SHIP"))
     q = F.col("milli")
     sums = {"line_settled": _counted(_is(_ACCEPTED), q), "line_may": _counted(_is(_UNDECIDED), q)}
-    lines = running_sums(on_line, ["cmd", "line"], ["seq"], sums, limit=limit).withColumns(
+    lines = running_sums(on_line, ["cmd", "line"], ["seq"], sums, span=span).withColumns(
         {name: F.col(name) - own for name, own in sums.items()}
     )
     others = rows.where(~_kind("RECEIVE", "SHIP")).withColumns(
@@ -334,7 +342,7 @@ def _with_balances(rows: DataFrame, opening: DataFrame, limit: int) -> DataFrame
         "exists": _counted(_is(_ACCEPTED) & ((change > 0) | _kind("OPEN")), F.lit(1)),
     }
     scanned = running_sums(
-        legs, ["product_id", "wh", "loc"], ["seq", "leg"], own, limit=limit
+        legs, ["product_id", "wh", "loc"], ["seq", "leg"], own, span=span
     )
     return scanned.withColumns({n: F.col(n) - own[n] for n in _BALANCES}).where(~_kind("OPEN"))
 
@@ -375,41 +383,57 @@ def _bounded(legs: DataFrame) -> DataFrame:
     )
 
 
-def _decide_by_bounds(
-    prepared: DataFrame, inventory: DataFrame, rounds: int, limit: int
-) -> DataFrame:
-    """Decide the commands of hot products without one task per product."""
+def _connected(undecided: DataFrame) -> DataFrame:
+    """The undecided with a key that slots and lines coupled by them share, in place of the product."""
+
+    def slot(wh: str, loc: str) -> Column:
+        return F.concat_ws("/", "product_id", wh, loc)
+
+    own = slot("src_wh", "src_loc")
+    far = F.when(_kind("TRANSFER"), slot("dst_wh", "dst_loc")).otherwise(F.concat_ws("/", F.lit("line"), "kind", "line"))
+    coupled = undecided.where(_kind("TRANSFER", "RECEIVE", "SHIP"))
+    roots = connected_components(coupled.select(own.alias("u"), far.alias("v")))
+    roots = roots.select(F.col("node").alias("__slot"), "root")
+    keyed = undecided.withColumn("__slot", own).join(roots, "__slot", "left")
+    return keyed.withColumn("product_id", F.xxhash64(F.coalesce("root", "__slot"))).select(*undecided.columns)
+
+
+def _decide(prepared: DataFrame, inventory: DataFrame, span: int) -> DataFrame:
     products = prepared.select("product_id").distinct()
-    opening = inventory.join(products, "product_id", "left_semi")
+    opening = cut(inventory.join(products, "product_id", "left_semi"), "movement-opening")
     faulty = (F.col("early") > 0) | (F.col("middle") > 0) | (F.col("late") > 0)
     rows = prepared.withColumn(
         "status", F.when(faulty, F.lit(_REJECTED)).otherwise(F.lit(_UNDECIDED))
     )
     columns = rows.columns
-    for _ in range(rounds):
+    left, before = None, None
+    while left is None or left and (before is None or left <= (1 - SETTLES) * before):
         rows = cut(
-            _bounded(_with_balances(rows, opening, limit)).select(*columns), "movement-bounds"
+            _bounded(_with_balances(rows, opening, span)).select(*columns), "movement-bounds"
         )
-    legs = _with_balances(rows, opening, limit).where(F.col("leg") == 0)
-    undecided = legs.where(_is(_UNDECIDED)).withColumns(
-        {
-            "src_on_hand": F.col("settled"),
-            "src_shipped": F.col("settled_shipped"),
-            "src_reserved": F.col("at_start"),
-            "src_exists": (F.col("exists") > 0).cast("bigint"),
-            "line_done": F.col("line_done") + F.col("line_settled"),
-        }
-    )
-    decided = _fold(undecided.select(*prepared.columns)).select(
-        "seq", F.when(F.col("code") == 0, _ACCEPTED).otherwise(_REJECTED).alias("folded")
-    )
-    final = cut(
-        rows.join(decided, "seq", "left")
-        .withColumn("status", F.coalesce("folded", "status"))
-        .select(*columns),
-        "movement-final",
-    )
-    return _explained(_with_balances(final, opening, limit)).select(
+        before, left = left, rows.where(_is(_UNDECIDED)).count()
+    if left:
+        legs = _with_balances(rows, opening, span).where(F.col("leg") == 0)
+        undecided = legs.where(_is(_UNDECIDED)).withColumns(
+            {
+                "src_on_hand": F.col("settled"),
+                "src_shipped": F.col("settled_shipped"),
+                "src_reserved": F.col("at_start"),
+                "src_exists": (F.col("exists") > 0).cast("bigint"),
+                "line_done": F.col("line_done") + F.col("line_settled"),
+            }
+        )
+        undecided = cut(undecided.select(*prepared.columns), "movement-undecided")
+        decided = _fold(_connected(undecided)).select(
+            "seq", F.when(F.col("code") == 0, _ACCEPTED).otherwise(_REJECTED).alias("folded")
+        )
+        rows = cut(
+            rows.join(decided, "seq", "left")
+            .withColumn("status", F.coalesce("folded", "status"))
+            .select(*columns),
+            "movement-final",
+        )
+    return _explained(_with_balances(rows, opening, span)).select(
         *prepared.columns, "code", "src_before", "dst_before"
     )
 
@@ -449,36 +473,18 @@ def _explained(legs: DataFrame) -> DataFrame:
 # -- the operator ------------------------------------------------------------------
 
 
-def outcomes(
-    commands: DataFrame,
-    t: Tables,
-    hot_rows: int | None = HOT_ROWS,
-    rounds: int = BOUND_ROUNDS,
-    chunk_rows: int = HOT_ROWS,
-    at_most: int | None = None,
-) -> DataFrame:
+def outcomes(commands: DataFrame, t: Tables, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Decide every command: ``code`` 0 or a reject reason, and the balances before it.
 
-    The prepared commands are written to the shared folder once, and products with
-    more than ``hot_rows`` of them are decided by bounds. Where ``at_most``, a known
-    bound on the number of commands, rules such products out (or ``hot_rows`` is
-    None) the plan stays lazy and every product is folded.
+    Commands, prepared commands and every round of bounds are written to the shared
+    folder. ``chunk_rows`` is the span of a scan's chunk.
     """
-    prepared = prepare(commands, t)
-    if hot_rows is None or (at_most is not None and at_most <= hot_rows):
-        return _decide_in_order(prepared, t["inventory"], written=False)
-    prepared = cut(prepared, "movement-commands")
-    per_product = prepared.groupBy("product_id").count()
-    hot = cut(per_product.where(F.col("count") > hot_rows).select("product_id"), "movement-hot")
-    if hot.isEmpty():
-        return _decide_in_order(prepared, t["inventory"], written=True)
-    usual = _decide_in_order(
-        prepared.join(hot, "product_id", "left_anti"), t["inventory"], written=True
-    )
-    heavy = _decide_by_bounds(
-        prepared.join(hot, "product_id", "left_semi"), t["inventory"], rounds, chunk_rows
-    )
-    return usual.unionByName(heavy)
+    commands = cut(commands, "movement-commands")
+    again = commands.groupBy("seq").count().where("count > 1").select(F.col("seq").alias("__again"))
+    marked = commands.join(again, F.col("seq") == F.col("__again"), "left")
+    faulty = F.col("seq").isNull() | F.col("__again").isNotNull()
+    prepared = cut(prepare(marked, t, faulty), "movement-prepared")
+    return _decide(prepared, t["inventory"], chunk_rows)
 
 
 def reason_name() -> Column:
@@ -496,7 +502,7 @@ class Replay:
     outcomes: DataFrame
     tables: Tables
     now: Column
-    span: int = HOT_ROWS
+    span: int = CHUNK_ROWS
 
     # -- accepted commands and their documents --
 
@@ -509,7 +515,7 @@ class Replay:
         return self.outcomes.where(F.col("code") == 0)
 
     def _numbered(self, df: DataFrame, order: list[str], name: str, within=()) -> DataFrame:
-        return number_rows(df, [whole_quotient(F.col("seq"), self.span)], order, name, within)
+        return number_rows(df, id_levels(F.col("seq"), self.span), order, name, within)
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -562,7 +568,7 @@ class Replay:
             .select("number")
             .distinct()
         )
-        ranked = number_rows(used, [whole_quotient(F.col("number"), self.span)], ["number"], "j")
+        ranked = number_rows(used, id_levels(F.col("number"), self.span), ["number"], "j")
         steps = ranked.select(
             (F.col("number") - top - F.col("j") + 1).alias("at"),
             F.lit(0).alias("turn"),
@@ -575,7 +581,7 @@ class Replay:
         )
         scanned = running_sums(
             steps.unionAll(wanted).withColumn("all", F.lit(1)),
-            ["all"], ["at", "turn"], {"skipped": F.col("step")}, limit=self.span,
+            ["all"], ["at", "turn"], {"skipped": F.col("step")}, span=self.span,
         ).where(F.col("turn") == 1)
         return scanned.select(
             "seq",

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binledger import schemas
-from binledger.functions.scan import HOT_ROWS, with_chunks
+from binledger.functions.scan import running_sums, whole_quotient
 from binledger.operators import views
 from binledger.sources.tables import Tables
 
 QTY, VALUE = views.QTY, views.VALUE
 
+#: Lines on one row of a nested order.
+PAGE_LINES = 10_000
+
 
 def dashboard_metrics(t: Tables, as_of: str | Column | None = None) -> DataFrame:
     """One row of headline figures; sums over nothing are 0.
@@ -53,12 +56,11 @@ def _employee_names(t: Tables, key: str, name: str) -> DataFrame:
 
 
 def _latest(t: Tables, n: int) -> DataFrame:
-    """The newest ``n`` log rows; they are cut before any join.
-
-    Product and warehouse are required foreign keys, so the inner joins that
-    follow drop none of them.
-    """
-    return t["stock_transaction"].orderBy(F.desc("transaction_id")).limit(n)
+    """The newest ``n`` log rows whose product and warehouse exist; names are joined to these alone."""
+    log = t["stock_transaction"]
+    for table, key in (("product", "product_id"), ("warehouse", "warehouse_id")):
+        log = log.join(t[table].select(key), key, "left_semi")
+    return log.select(*_log_columns()).orderBy(F.desc("transaction_id")).limit(n)
 
 
 def _log_columns() -> list[str]:
@@ -88,7 +90,7 @@ def transactions(t: Tables, n: int = 100) -> DataFrame:
 
 
 def latest_audit(t: Tables, n: int = 20) -> DataFrame:
-    return _latest(t, n)
+    return t["stock_transaction"].orderBy(F.desc("transaction_id")).limit(n)
 
 
 def audit_by_date(t: Tables) -> DataFrame:
@@ -145,20 +147,18 @@ def active_employees(t: Tables) -> DataFrame:
 
 
 def nest_lines(
-    headers: DataFrame, lines: DataFrame, key: str, order: str, page_rows: int = HOT_ROWS
+    headers: DataFrame, lines: DataFrame, key: str, order: str, page_rows: int = PAGE_LINES
 ) -> DataFrame:
-    """Headers with their lines as an array sorted by ``order``; no lines give [].
+    """Headers with their lines as arrays sorted by ``order``, a page a row.
 
-    One row holds at most ``page_rows`` lines. A longer header, which no order with
-    five-digit line numbers can be, continues on further rows with ``page`` > 0.
+    Page p holds the lines at positions ``p * page_rows + 1`` to ``(p + 1) * page_rows`` of
+    their header; every header has a page 0, which is [] without lines. One rule for all sizes.
     """
     rest = [c for c in lines.columns if c != order]
-    pages, any_long = with_chunks(lines, [key], F.col(order), page_rows)
+    placed = running_sums(lines, [key], [order, *rest], {"__place": F.lit(1).cast("bigint")}, F.col(order).cast("bigint"))
+    page = whole_quotient(F.col("__place") - 1, page_rows).cast("int").alias("page")
     listed = F.sort_array(F.collect_list(F.struct(order, *rest))).alias("lines")
-    if any_long:
-        nested = pages.groupBy(key, F.col("__chunk").alias("page")).agg(listed)
-    else:
-        nested = lines.groupBy(key).agg(listed).withColumn("page", F.lit(0))
+    nested = placed.groupBy(key, page).agg(listed)
     return headers.join(nested, key, "left").withColumns(
         {"page": F.coalesce("page", F.lit(0)), "lines": F.coalesce("lines", F.array())}
     )

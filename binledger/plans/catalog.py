@@ -66,13 +66,13 @@ def _exploded(nested: DataFrame, *line_columns: str) -> DataFrame:
 
 def _replayed(t: DerivedTables) -> movements.Replay:
     return movements.replay(
-        t.movement_command, t, F.lit(NOW).cast("timestamp"), at_most=t.line_count
+        t.movement_command, t, F.lit(NOW).cast("timestamp")
     )
 
 
 def _outcomes(t: DerivedTables) -> DataFrame:
     accepted = F.col("code") == 0
-    return movements.outcomes(t.movement_command, t, at_most=t.line_count).select(
+    return movements.outcomes(t.movement_command, t).select(
         "seq", "cmd", movements.reason_name().alias("outcome"),
         F.when(accepted, F.col("src_before") / 1000).alias("qty_before"),
     )
@@ -80,7 +80,7 @@ def _outcomes(t: DerivedTables) -> DataFrame:
 
 def _inbound_ledger(t: DerivedTables) -> DataFrame:
     result = movements.replay(
-        t.inbound_command, t, F.lit(NOW).cast("timestamp"), at_most=t.line_count
+        t.inbound_command, t, F.lit(NOW).cast("timestamp")
     )
     return result.ledger().select(
         "transaction_id", "product_id", "warehouse_id", "location_id", "transaction_type",

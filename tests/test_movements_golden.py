@@ -72,14 +72,11 @@ def result(commands, seeded):
     return movements.replay(commands, seeded, F.lit("2025-05-01 00:00:00").cast("timestamp"))
 
 
-@pytest.mark.parametrize(
-    "options",
-    [{"hot_rows": None}, {"hot_rows": 3, "chunk_rows": 3}, {"hot_rows": 0, "rounds": 0}],
-    ids=["lazy", "by bounds", "no rounds"],
-)
-def test_routes_agree(commands, seeded, result, options):
+@pytest.mark.parametrize("settles", [0.0, 1.0], ids=["until nothing settles", "two rounds"])
+def test_chunks_and_rounds_change_nothing(commands, seeded, result, settles, monkeypatch):
+    monkeypatch.setattr(movements, "SETTLES", settles)
     columns = ("seq", "code", "src_before", "dst_before")
-    other = movements.outcomes(commands, seeded, **options).select(*columns).collect()
+    other = movements.outcomes(commands, seeded, chunk_rows=3).select(*columns).collect()
     assert sorted(other) == sorted(result.outcomes.select(*columns).collect())
 
 

@@ -150,11 +150,23 @@ def test_folded(spark, case, seeded):
         assert moved.get(slot, 0) == hand - START.get(slot, [0])[0]
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_by_bounds(case, seeded, rounds):
+@pytest.mark.parametrize("settles", [0.01, 1.0])
+def test_small_chunks(case, seeded, settles, monkeypatch):
+    monkeypatch.setattr(movements, "SETTLES", settles)
     commands, verdicts, _ = case
-    decided = movements.outcomes(commands, seeded, hot_rows=60, rounds=rounds, chunk_rows=64)
-    assert names(decided) == verdicts
+    assert names(movements.outcomes(commands, seeded, chunk_rows=64)) == verdicts
+
+
+def test_repeated_and_missing_positions_are_rejected(spark, seeded):
+    row = {"cmd": "ADJUST", "product_id": 1, "warehouse_id": 1, "location_id": 1, "qty": Decimal(1), "employee_id": 1}
+    rows = [tuple({**row, "seq": s}.get(c) for c in COLUMNS) for s in (5, 5, None, 7)]
+    free = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.movement_schema().fields)
+    result = movements.replay(spark.createDataFrame(rows, free), seeded, F.current_timestamp())
+    codes = sorted((r.seq or 0, r.name) for r in result.outcomes.select("seq", movements.reason_name().alias("name")).collect())
+    assert codes == [(0, "MALFORMED"), (5, "MALFORMED"), (5, "MALFORMED"), (7, "ACCEPTED")]
+    assert result.ledger().count() == 1
+    hand = {(r.product_id, r.warehouse_id, r.location_id): r.qty_on_hand for r in result.inventory().collect()}
+    assert hand[(1, 1, 1)] == START.get((1, 1, 1), [0])[0] + 1
 
 
 def test_used_transfer_numbers_are_skipped(spark, seeded):

@@ -17,17 +17,17 @@ def rows(spark):
     ).cache()
 
 
-@pytest.mark.parametrize("limit", [64, 10_000])
-def test_running_sums(rows, limit):
-    got = scan.running_sums(rows, ["key"], ["seq"], {"total": F.col("value")}, limit=limit)
+@pytest.mark.parametrize("span", [64, 10_000])
+def test_running_sums(rows, span):
+    got = scan.running_sums(rows, ["key"], ["seq"], {"total": F.col("value")}, span=span)
     window = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     want = rows.withColumn("total", F.sum("value").over(window))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-@pytest.mark.parametrize("limit", [64, 10_000])
-def test_previous_value(rows, limit):
-    got = scan.previous_value(rows, ["key"], "seq", "value", "before", limit)
+@pytest.mark.parametrize("span", [64, 10_000])
+def test_previous_value(rows, span):
+    got = scan.previous_value(rows, ["key"], "seq", "value", "before", span)
     want = rows.withColumn("before", F.lag("value").over(Window.partitionBy("key").orderBy("seq")))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
@@ -48,3 +48,9 @@ def test_number_rows_within(rows):
     window = Window.partitionBy("kind").orderBy("seq")
     want = some.withColumn("n", F.row_number().over(window).cast("bigint"))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_number_rows_keeps_null_and_sparse_positions(spark):
+    rows = spark.createDataFrame([(None, 9), (5, 1), (1 << 62, 3), (-7, 0), (1 << 40, 2)], "seq long, want int")
+    got = scan.number_rows(rows, scan.id_levels(F.col("seq")), ["seq"], "n").collect()
+    assert [r.want for r in sorted(got, key=lambda r: r.n)] == [0, 1, 2, 3, 9] and len(got) == 5
