@@ -5,7 +5,7 @@ TF-IDF and normalised. Each language has ``CLUSTERS`` centroids, found by spheri
 vectors; the nearest by cosine names the language. A text farther from it than nearly all labelled texts of
 that language were is marked as rejected.
 
-Fitting uses at most ``FIT_ROWS`` labelled documents a language (those with the smallest hash of their doc_id), a
+Fitting uses at most ``FIT_ROWS`` labelled documents a language (those with the smallest hash of their doc_id among about twice as many), a
 bounded sample whose bound is a parameter. Documents with crc32(doc_id) mod 4 = 2 are held out:
 neither their text nor their lang is learned from. Prediction sees the text alone, the whole of it.
 
@@ -138,8 +138,13 @@ def fit(documents: DataFrame, fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS
     """Centroids of at most ``fit_rows`` labelled documents a language; None if there are none."""
     told = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     told = told.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = told.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit_rows).select("doc_id", "lang").distinct()
+    # the smallest hashes lie below a share of the range that holds about twice as many rows as are wanted
+    counts = told.groupBy("lang").agg(F.count("*").alias("held"))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(1 << 53))
+    told = told.withColumn("draw", draw).join(F.broadcast(counts), "lang")  # one row a language
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    chosen = told.where(F.col("draw") * F.col("held") <= 2 * fit_rows).withColumn("n", F.row_number().over(order))
+    chosen = chosen.where(F.col("n") <= fit_rows).select("doc_id", "lang").distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     rows = (
         texts.join(F.broadcast(chosen), "doc_id")  # at most fit_rows narrow rows a language

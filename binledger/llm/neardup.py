@@ -12,7 +12,9 @@
 * **Verification** on full shingle sets, in three rounds that test every candidate pair
   whose ends are not yet in one component, without listing all pairs of a bucket: each
   document with its most frequent bucket head; with its other heads; and pairs across
-  different components of a bucket. Within a component further links change nothing.
+  different components of a bucket. Within a component further links change nothing. For the
+  last two rounds shingles that only one of the remaining documents holds are counted: they are in no intersection,
+  so pairs that can't reach the threshold without them are left out, which is exact.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a
 row without doc_id is linked with nothing, has no component and is kept; rows that repeat
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binledger.llm.components import connected_components
+from binledger.functions.components import connected_components
 from binledger.llm.words import _PLACE, find_words, map_slices, mix, windows
 from binledger.session import cut
 
@@ -136,14 +138,39 @@ def _sign(piece: pa.RecordBatch, k: int) -> pa.RecordBatch:
     })
 
 
+def _texts(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents with these ids."""
+    ids = cut(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _own_shingles(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """``u, own``: how many shingles of each document no other of them has."""
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        parts = []
+        for i in range(0, piece.num_rows, _SLICE_ROWS):
+            part = piece.slice(i, _SLICE_ROWS)
+            keys, _ = shingle_keys(part.column("text"), k)
+            parts.append(pa.RecordBatch.from_pydict({
+                "shingle": pa.array((keys << _ROW_BITS).view(np.int64)),
+                "doc_id": part.column("doc_id").take(pa.array((keys >> _KEY_BITS).astype(np.int64))),
+            }))
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()
+        return whole[0] if whole else parts[0]
+
+    found = map_slices(_texts(ids, documents), "text", work, "shingle long, doc_id long")
+    held = found.groupBy("shingle").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n = 1")
+    return cut(held.groupBy("u").agg(F.count("*").alias("own")), "own-shingles")
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full shingle sets are similar enough, as a written table."""
     pairs = cut(pairs.select("u", "v").distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    ids = cut(ids, "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = cut(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+    texts = cut(_texts(ids, documents), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text")), "u")
     both = both.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("other")), "v")
 
@@ -193,16 +220,27 @@ def _links(reps: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     tried = cut(best.select("u", (-F.col("b.v")).alias("v")), "best")
     roots = cut(connected_components(_verified(tried, documents, k)), "roots")
 
-    open_ = _mixed(members.select("bucket", F.col("rep").alias("u"), "n", F.col("head").alias("v"), "head_n"), roots)
-    rest = _joined_to_roots(open_, roots, "v").where("u_root <> v_root").where(fits("n", "head_n"))
+    # Only buckets with several components are left. A document's links hold no shingle that is its own among
+    # them, which bounds every intersection, exactly.
+    open_ = _mixed(members.select("bucket", F.col("rep").alias("u"), "n"), roots)
+    own = _own_shingles(open_.select(F.col("u").alias("doc_id")).distinct(), documents, k)
+    open_ = open_.join(own, "u", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "u_root")
+    open_ = _mixed(open_.where(f"100L * most >= {SIMILAR_PERCENT}L * n"), roots)
+
+    def may_link(a: str, b: str) -> str:
+        return f"{100 + SIMILAR_PERCENT}L * least(u_most, v_most) >= {SIMILAR_PERCENT}L * ({a} + {b})"
+
+    head = F.min(F.struct(F.col("u").alias("v"), F.col("u_root").alias("v_root"), F.col("n").alias("v_n"), F.col("most").alias("v_most")))
+    first = open_.join(open_.groupBy("bucket").agg(head.alias("h")), "bucket").select("u", "u_root", "n", F.col("most").alias("u_most"), "h.*")
+    rest = first.where("u_root <> v_root").where(fits("n", "v_n")).where(may_link("n", "v_n"))
     rest = cut(rest.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "rest")
     more = _verified(rest, documents, k)
     if not more.isEmpty():
         roots = cut(connected_components(_edges(roots).unionByName(more)), "roots")
 
-    open_ = _mixed(open_.select("bucket", "u", "n"), roots)
-    other = open_.select("bucket", F.col("u").alias("v"), F.col("n").alias("v_n"), F.col("u_root").alias("v_root"))
-    across = open_.join(other, "bucket").where("u_root <> v_root AND u > v").where(fits("n", "v_n"))
+    open_ = _mixed(open_.drop("u_root"), roots).withColumnRenamed("most", "u_most")
+    other = open_.select("bucket", F.col("u").alias("v"), F.col("n").alias("v_n"), F.col("u_root").alias("v_root"), F.col("u_most").alias("v_most"))
+    across = open_.join(other, "bucket").where("u_root <> v_root AND u > v").where(fits("n", "v_n")).where(may_link("n", "v_n"))
     across = across.select("u", "v").distinct().join(tried.unionByName(rest), ["u", "v"], "left_anti")
     more = _verified(across, documents, k)
     if not more.isEmpty():
