@@ -33,15 +33,19 @@ TABLES: dict[str, str] = {
         SELECT *, row_number() OVER (ORDER BY ship_day, l_orderkey, line_number) AS seq
         FROM w_lines""",
     "w_employee": f"""
-        SELECT * FROM (VALUES
-            (1, 1, 'E001', 'Maria', 'Chen', 'Warehouse Manager'),
-            (2, 2, 'E002', 'James', 'Wilson', 'Procurement Specialist'),
-            (3, 1, 'E003', 'Aisha', 'Patel', 'Inventory Clerk'))
-        AS e(employee_id, department_id, employee_code, first_name, last_name, job_title)""",
-    "w_department": "SELECT * FROM (VALUES (1, 'OPS'), (2, 'PROC')) AS d(department_id, department_code)",
+        SELECT c_custkey + 1 AS employee_id, c_nationkey + 1 AS department_id, 'E' || c_custkey AS employee_code,
+               upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS first_name,
+               split_part(c_name, '#', 2) AS last_name, 'e' || c_custkey || '@example.test' AS email, NULL AS phone,
+               ['Clerk', 'Buyer', 'Manager'][c_custkey % 3 + 1] AS job_title,
+               DATE '1990-01-01' + CAST(c_custkey % 1000 AS INTEGER) AS hire_date,
+               CASE WHEN c_custkey % 11 = 5 THEN 'N' ELSE 'Y' END AS is_active, {_STAMP} AS created_at
+        FROM customer""",
+    "w_department": f"""
+        SELECT n_nationkey + 1 AS department_id, n_name AS department_code,
+               'Department ' || n_name AS department_name, {_STAMP} AS created_at
+        FROM nation""",
     "w_uom_lookup": """
-        SELECT * FROM (VALUES ('EA'), ('KG'), ('LTR'), ('BOX'), ('PLT'), ('MTR'), ('PKT'))
-        AS u(uom_code)""",
+        SELECT p_type[1:3] AS uom_code, min(p_type) AS uom_description FROM part GROUP BY ALL""",
     "w_product_category": """
         SELECT row_number() OVER (ORDER BY p_type) AS category_id, p_type AS category_code,
                p_type AS category_name, NULL AS description
@@ -49,7 +53,7 @@ TABLES: dict[str, str] = {
     "w_product": f"""
         SELECT p_partkey AS product_id, category_id,
                'SKU-' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS sku, p_name AS product_name,
-               p_brand AS description, 'EA' AS unit_of_measure,
+               p_brand AS description, p_type[1:3] AS unit_of_measure,
                CAST(p_size AS DECIMAL(12,2)) AS unit_cost,
                CAST(p_retailprice AS DECIMAL(12,2)) AS unit_price,
                CAST(p_size * 4 AS DECIMAL(10,3)) AS reorder_level,
@@ -214,7 +218,7 @@ TABLES: dict[str, str] = {
                          ELSE (l_orderkey + 1) % 5 END + l_suppkey % 5 * 5 END AS to_location_id,
                CASE WHEN l_orderkey % 97 = 0 THEN 0 WHEN cmd = 'ADJUST' THEN -quantity
                     ELSE quantity END AS qty,
-               CASE WHEN l_orderkey % 101 = 0 THEN 99 ELSE l_orderkey % 3 + 1 END AS employee_id
+               CASE WHEN l_orderkey % 101 = 0 THEN -1 ELSE l_orderkey % 3 + 1 END AS employee_id
         FROM w_script0""",
     # the script replayed: static faults, then step k of every product at once
     "w_steps0": """
@@ -231,7 +235,7 @@ TABLES: dict[str, str] = {
                     WHEN s.cmd = 'ADJUST' AND s.qty = 0 THEN 'ZERO_QTY'
                     WHEN s.cmd <> 'ADJUST' AND s.qty <= 0 THEN 'NONPOSITIVE_QTY'
                     WHEN s.line_id = -1 THEN 'LINE_NOT_FOUND'
-                    WHEN s.cmd = 'TRANSFER' AND s.employee_id = 99 THEN 'UNKNOWN_REFERENCE'
+                    WHEN s.cmd = 'TRANSFER' AND s.employee_id = -1 THEN 'UNKNOWN_REFERENCE'
                     WHEN s.cmd = 'TRANSFER' AND s.location_id = s.to_location_id
                          THEN 'SAME_LOCATION_ID' END AS early
         FROM w_script s
@@ -274,11 +278,11 @@ TABLES: dict[str, str] = {
                 WHEN early IS NOT NULL THEN early
                 WHEN cmd IN ('RECEIVE', 'SHIP') AND done + already + qty > ordered
                      THEN 'EXCEEDS_OUTSTANDING'
-                WHEN cmd IN ('RECEIVE', 'SHIP') AND employee_id = 99 THEN 'UNKNOWN_REFERENCE'
+                WHEN cmd IN ('RECEIVE', 'SHIP') AND employee_id = -1 THEN 'UNKNOWN_REFERENCE'
                 WHEN change < 0 AND slot IS NULL THEN 'NO_INVENTORY_ROW'
                 WHEN before + change < 0 THEN 'INSUFFICIENT_STOCK'
                 WHEN cmd <> 'SHIP' AND reserved > before + change THEN 'BELOW_RESERVED'
-                WHEN cmd = 'ADJUST' AND employee_id = 99 THEN 'UNKNOWN_REFERENCE'
+                WHEN cmd = 'ADJUST' AND employee_id = -1 THEN 'UNKNOWN_REFERENCE'
                 ELSE 'ACCEPTED' END AS outcome
             FROM (
                 SELECT r.product_id, r.hand, r.held, r.taken, s.* EXCLUDE (product_id, qty),
@@ -602,7 +606,7 @@ _ROW_RULES = {
 _ROW_RULES["application"] = {
     k: v
     for k, v in _ROW_RULES["database"].items()
-    if k not in ("K-03", "K-12", "K-14", "K-17", "K-20", "K-22", "K-26")
+    if k not in ("K-03", "K-09", "K-12", "K-14", "K-17", "K-20", "K-22", "K-26")
 } | {
     "K-07": ("warehouse_location", "zone_type IN ('STORAGE', 'RECEIVING', 'SHIPPING', 'STAGING', "
                                    "'QC', 'CROSS_DOCK')"),
@@ -627,14 +631,9 @@ def _row_rules(profile: str) -> str:
         f"CAST({schemas.PRIMARY_KEY[table]} AS VARCHAR) AS row_key FROM w_{table} "
         f"WHERE NOT ({test})"
         for rule, (table, test) in _ROW_RULES[profile].items()
-        if table != "employee"
     )
 
 
-def _seeded(table: str) -> bool:
-    return table in ("employee", "department", "uom_lookup")
-
-
 def _integrity() -> dict[str, str]:
     rules = "rule_id table_name row_key"
     pk = _all(
@@ -662,7 +661,6 @@ def _integrity() -> dict[str, str]:
         f"SELECT 'NN {t}.{c}' AS rule_id, '{t}' AS table_name, "
         f"CAST({schemas.PRIMARY_KEY[t]} AS VARCHAR) AS row_key FROM w_{t} WHERE {c} IS NULL"
         for t in schemas.TABLE_DDL
-        if not _seeded(t)
         for c in re.findall(r"(\w+) [A-Z]+(?:\([\d,]+\))? NOT NULL", schemas.TABLE_DDL[t])
     )
     unclean = {**TABLES, **UNCLEAN}
@@ -690,13 +688,6 @@ def _lookups() -> dict[str, str]:
             tests.append(f"{path.date} >= TIMESTAMP '{dates['start']}'")
             tests.append(f"{path.date} < TIMESTAMP '{dates['end']}'")
         body = f"SELECT * FROM w_{path.table} WHERE {' AND '.join(tests)}"
-        if path.table == "employee":
-            body = (
-                f"SELECT *, lower(first_name) || '.' || lower(last_name) || '@wms.local' AS email, "
-                f"NULL AS phone, 'Y' AS is_active, {_SEED_STAMP} AS created_at, "
-                "CASE employee_id WHEN 1 THEN DATE '2020-03-15' WHEN 2 THEN DATE '2021-06-01' "
-                f"ELSE DATE '2022-01-10' END AS hire_date FROM ({body})"
-            )
         found[f"q_lookup_{name}"] = _shown(_columns(path.table), body)
     return found
 
@@ -854,7 +845,6 @@ def statements() -> dict[str, str]:
     found = {
         f"q_table_{t}": _shown(_columns(t), f"SELECT * FROM w_{t}")
         for t in schemas.TABLE_DDL
-        if not _seeded(t)
     }
     found |= {
         "q_movement_script": _shown(
@@ -990,7 +980,8 @@ def statements() -> dict[str, str]:
             _TRANSFERS,
         ),
         "q_active_employees": _shown(
-            "employee_id employee_code first_name last_name job_title", "SELECT * FROM w_employee"
+            "employee_id employee_code first_name last_name job_title",
+            "SELECT * FROM w_employee WHERE is_active = 'Y'",
         ),
         "q_inventory_search": _shown(
             stock,
@@ -1087,7 +1078,10 @@ def statements() -> dict[str, str]:
                            WHEN previous_after <> qty_before THEN 'CHAIN' END AS fault
             FROM (SELECT *, lag(qty_after) OVER (PARTITION BY product_id, warehouse_id, location_id
                             ORDER BY transaction_id) AS previous_after
-                  FROM w_stock_transaction WHERE transaction_type <> 'ADJUSTMENT')
+                  FROM (SELECT * REPLACE (
+                            qty_after + CASE transaction_id % 97 WHEN 11 THEN 5 ELSE 0 END AS qty_after,
+                            qty_before - CASE transaction_id % 89 WHEN 7 THEN 2 ELSE 0 END AS qty_before)
+                        FROM w_stock_transaction))
             WHERE fault IS NOT NULL""",
         ),
         "q_assign_surrogate_keys": _shown(

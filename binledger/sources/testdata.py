@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from binledger import schemas
 from binledger.functions.scan import number_rows, running_sums, whole_quotient
-from binledger.sources import seed
 
 LINES_PER_HEADER = 100_000  # line numbers have five digits
 ORDER_SPAN = 1 << 24
@@ -29,7 +28,7 @@ _START = "1995-01-01 00:00:00"
 RAW_DDL = {
     "region": "r_regionkey INT, r_name STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "customer": "c_custkey BIGINT, c_name STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING",
     "part": (
         "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
@@ -97,17 +96,45 @@ class DerivedTables:
 
     # -- dimensions ---------------------------------------------------------
 
-    @property
+    @cached_property
     def uom_lookup(self) -> DataFrame:
-        return seed.seed_table(self.spark, "uom_lookup")
+        """The units that parts are counted in: the first letters of their types."""
+        kinds = self.raw("part").select("p_type").distinct()
+        named = kinds.groupBy(F.substring("p_type", 1, 3).alias("uom_code")).agg(F.min("p_type").alias("uom_description"))
+        return self._typed("uom_lookup", named)
 
-    @property
+    @cached_property
     def department(self) -> DataFrame:
-        return seed.seed_table(self.spark, "department")
+        """A department per nation."""
+        return self._typed(
+            "department",
+            self.raw("nation").select(
+                (F.col("n_nationkey") + 1).alias("department_id"),
+                F.col("n_name").alias("department_code"),
+                F.concat(F.lit("Department "), "n_name").alias("department_name"),
+                F.lit(_START).alias("created_at"),
+            ),
+        )
 
-    @property
+    @cached_property
     def employee(self) -> DataFrame:
-        return seed.seed_table(self.spark, "employee")
+        """An employee per customer of the source, numbered from 1."""
+        key = F.col("c_custkey")
+        return self._typed(
+            "employee",
+            self.raw("customer").select(
+                (key + 1).alias("employee_id"),
+                (F.col("c_nationkey") + 1).alias("department_id"),
+                F.concat(F.lit("E"), key.cast("string")).alias("employee_code"),
+                F.initcap("c_mktsegment").alias("first_name"),
+                F.substring_index("c_name", "#", -1).alias("last_name"),
+                F.concat(F.lit("e"), key.cast("string"), F.lit("@example.test")).alias("email"),
+                _picked(key % 3, "Clerk", "Buyer", "Manager").alias("job_title"),
+                F.date_add(F.lit("1990-01-01").cast("date"), (key % 1000).cast("int")).alias("hire_date"),
+                F.when(key % 11 == 5, "N").otherwise("Y").alias("is_active"),
+                F.lit(_START).alias("created_at"),
+            ),
+        )
 
     @cached_property
     def product_category(self) -> DataFrame:
@@ -134,7 +161,7 @@ class DerivedTables:
                 F.concat(F.lit("SKU-"), _pad("p_partkey", 10)).alias("sku"),
                 F.col("p_name").alias("product_name"),
                 F.col("p_brand").alias("description"),
-                F.lit("EA").alias("unit_of_measure"),
+                F.substring("p_type", 1, 3).alias("unit_of_measure"),
                 size.alias("unit_cost"),
                 F.col("p_retailprice").alias("unit_price"),
                 (size * 4).alias("reorder_level"),
@@ -560,7 +587,7 @@ class DerivedTables:
                 "to_location_id"
             ),
             _quantity(qty).alias("qty"),
-            F.when(order % 101 == 0, F.lit(99)).otherwise(order % 3 + 1).cast("bigint").alias(
+            F.when(order % 101 == 0, F.lit(-1)).otherwise(order % 3 + 1).cast("bigint").alias(
                 "employee_id"
             ),
             F.lit(None).cast("bigint").alias("header_id"),
