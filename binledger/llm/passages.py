@@ -36,8 +36,6 @@ GAP_COST = 0.05
 MIN_IDENTITY = 0.6
 _PAD, _STEP = 48, 64
 _SKIP, _AFTER_SKIP = 12, 4
-#: Requested stretches up to this many are broadcast to the texts, more are joined by sorting.
-BROADCAST_STRETCHES = 200_000
 
 
 def seeds(documents: DataFrame) -> DataFrame:
@@ -155,9 +153,8 @@ CHAIN = "doc_id long, anchor long, lo int, hi int, at binary, anchor_lo int, anc
 def stretches(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """``doc_id, lo, hi, words``: hashes of the asked words of each text (four bytes a word), a row per ask."""
     per_doc = cut(asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked")), "asked")
-    n = per_doc.agg(F.sum(F.size("asked"))).first()[0] or 0
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    rows = rows.join(F.broadcast(per_doc) if n <= BROADCAST_STRETCHES else per_doc, "doc_id")
+    rows = rows.join(per_doc.hint("merge"), "doc_id")  # one plan for all sizes: the asks grow with the texts
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         w = find_words(piece.column("text"), lower=True)
