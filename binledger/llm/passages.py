@@ -65,6 +65,7 @@ def matches(found: DataFrame) -> DataFrame:
     """``doc_id, pos, anchor, anchor_pos``: every occurrence of a shared seed with the seed's first occurrence."""
     anchors = found.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last"))
     anchors = anchors.where("a.doc_id < last").select("seed", F.col("a.doc_id").alias("anchor"), F.col("a.pos").alias("anchor_pos"))
+    anchors = cut(anchors, "anchors")  # a plain join then, of which Spark splits the partitions of common seeds
     return found.join(anchors, "seed").where("doc_id <> anchor").select("doc_id", "pos", "anchor", "anchor_pos")
 
 
