@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {"op4_warc_capture_index": warc.CHECK_SQL, "op6_mixing_sources": mixing.CHECK_SQL}
+    return {"op3_minhash_near_dedup": neardup.CHECK_SQL, "op4_warc_capture_index": warc.CHECK_SQL, "op6_mixing_sources": mixing.CHECK_SQL}

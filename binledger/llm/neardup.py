@@ -281,3 +281,27 @@ def keep_first(documents: DataFrame, k: int = 5) -> DataFrame:
     gone = cut(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
+CHECK_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s
+  FROM split),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common
+  FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared WHERE 100 * common >= 80 * (nx + ny - common)),
+step AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  SELECT doc_id AS d, doc_id AS c FROM sets
+  UNION
+  SELECT step.y, reach.c FROM reach JOIN step ON step.x = reach.d WHERE reach.c < step.y)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(c) AS component_id, min(c) = doc_id AS kept
+FROM sets JOIN reach ON d = doc_id GROUP BY doc_id, s
+"""
