@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,18 +100,27 @@ def _altered(log: DataFrame) -> DataFrame:
     )
 
 
-def _cascade(t: DerivedTables) -> DataFrame:
-    asked = t["purchase_order"].where(F.col("status").isin("CANCELLED", "RECEIVED")).select("po_id")
-    done = integrity.cascade_delete(t, "purchase_order", asked)
+#: Headers asked to be deleted, for each of the five that cascade to lines.
+ASKED = {
+    "purchase_order": "status IN ('CANCELLED', 'RECEIVED')",
+    "sales_order": "so_id % 3 <> 0",
+    "goods_receipt": "receipt_id % 5 = 0",
+    "shipment": "status = 'PENDING'",
+    "stock_transfer": "status = 'CANCELLED'",
+}
 
-    def part(name: str, key: str) -> DataFrame:
-        return done[name].select(F.lit(name).alias("result"), F.col(key).alias("id"))
 
-    return (
-        part("refused", "po_id")
-        .unionAll(part("deleted", "po_id"))
-        .unionAll(part("deleted_lines", "po_line_id"))
-    )
+def _cascade(t: DerivedTables) -> DataFrame:
+    found = []
+    for header, test in ASKED.items():
+        line, key = schemas.CASCADES[header]
+        done = integrity.cascade_delete(t, header, t[header].where(test).select(key))
+        keys = {"refused": key, "deleted": key, "deleted_lines": schemas.PRIMARY_KEY[line]}
+        found += [
+            done[name].select(F.lit(header).alias("header"), F.lit(name).alias("result"), F.col(k).alias("id"))
+            for name, k in keys.items()
+        ]
+    return reduce(DataFrame.unionAll, found)
 
 
 def _raw_products(t: DerivedTables) -> DataFrame:

@@ -97,7 +97,7 @@ TABLES: dict[str, str] = {
                     AS DECIMAL(12,3)) AS qty_reserved,
                CAST(max(l_shipdate) AS DATE) AS last_count_date,
                CAST(CAST(max(l_shipdate) AS DATE) AS TIMESTAMP) AS updated_at
-        FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_partkey, l_suppkey % 25""",
+        FROM lineitem GROUP BY l_partkey, l_suppkey % 25""",
     "w_so_line": """
         SELECT line_id AS so_line_id, l_orderkey AS so_id, line_number, l_partkey AS product_id,
                CAST(quantity AS DECIMAL(12,3)) AS qty_ordered,
@@ -172,13 +172,13 @@ TABLES: dict[str, str] = {
                     WHEN 2 THEN 'RECEIVED' ELSE 'CANCELLED' END AS status,
                CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey % 3 + 1 END AS requested_by,
                NULL AS notes, o_orderdate AS created_at, o_orderdate AS updated_at
-        FROM orders WHERE o_orderkey % 2 = 0""",
+        FROM orders""",
     "w_stock_transfer_line": """
         SELECT line_id AS transfer_line_id, l_orderkey AS transfer_id, l_partkey AS product_id,
                l_orderkey % 5 + l_suppkey % 5 * 5 AS from_location_id,
                (l_orderkey + 1) % 5 + l_suppkey % 5 * 5 AS to_location_id,
                CAST(quantity AS DECIMAL(12,3)) AS qty_requested, 0 AS qty_shipped, 0 AS qty_received
-        FROM w_lines WHERE l_returnflag = 'R' AND l_orderkey % 2 = 0""",
+        FROM w_lines""",
     "w_log": """
         SELECT *, CASE WHEN l_returnflag = 'N' THEN -quantity ELSE quantity END AS change
         FROM w_sequenced""",
@@ -1057,18 +1057,31 @@ def statements() -> dict[str, str]:
             FROM ({_SCRIPT_REQUESTS})""",
         ),
         "q_cascade_delete": _shown(
-            "result id",
+            "header result id",
             """
-            WITH asked AS (SELECT po_id FROM w_purchase_order
-                           WHERE status IN ('CANCELLED', 'RECEIVED')),
-                 held AS (SELECT po_id FROM w_goods_receipt
-                          UNION SELECT l.po_id FROM w_po_line l
-                          JOIN w_goods_receipt_line g ON g.po_line_id = l.po_line_id)
-            SELECT CASE WHEN po_id IN (SELECT po_id FROM held) THEN 'refused' ELSE 'deleted' END
-                       AS result, po_id AS id FROM asked
+            WITH asked AS (
+                SELECT 'purchase_order' AS header, po_id AS id, EXISTS (FROM w_goods_receipt r WHERE r.po_id = a.po_id)
+                       OR po_id IN (SELECT po_id FROM w_po_line WHERE po_line_id IN
+                                    (SELECT po_line_id FROM w_goods_receipt_line)) AS held
+                FROM w_purchase_order a WHERE status = 'CANCELLED' OR status = 'RECEIVED'
+                UNION ALL
+                SELECT 'sales_order', so_id, EXISTS (FROM w_shipment r WHERE r.so_id = a.so_id)
+                       OR so_id IN (SELECT so_id FROM w_so_line WHERE so_line_id IN
+                                    (SELECT so_line_id FROM w_shipment_line))
+                FROM w_sales_order a WHERE so_id % 3 IN (1, 2)
+                UNION ALL SELECT 'goods_receipt', receipt_id, FALSE FROM w_goods_receipt WHERE receipt_id % 5 = 0
+                UNION ALL SELECT 'shipment', shipment_id, FALSE FROM w_shipment WHERE status = 'PENDING'
+                UNION ALL SELECT 'stock_transfer', transfer_id, FALSE FROM w_stock_transfer
+                          WHERE status = 'CANCELLED'),
+            part AS (
+                SELECT 'purchase_order' AS header, po_id AS id, po_line_id AS line FROM w_po_line
+                UNION ALL SELECT 'sales_order', so_id, so_line_id FROM w_so_line
+                UNION ALL SELECT 'goods_receipt', receipt_id, receipt_line_id FROM w_goods_receipt_line
+                UNION ALL SELECT 'shipment', shipment_id, shipment_line_id FROM w_shipment_line
+                UNION ALL SELECT 'stock_transfer', transfer_id, transfer_line_id FROM w_stock_transfer_line)
+            SELECT header, CASE WHEN held THEN 'refused' ELSE 'deleted' END AS result, id FROM asked
             UNION ALL
-            SELECT 'deleted_lines', po_line_id FROM w_po_line
-            WHERE po_id IN (SELECT po_id FROM asked) AND po_id NOT IN (SELECT po_id FROM held)""",
+            SELECT header, 'deleted_lines', line FROM part JOIN asked USING (header, id) WHERE NOT held""",
         ),
         "q_ledger_chain_check": _shown(
             "transaction_id product_id warehouse_id location_id qty_change qty_before qty_after "

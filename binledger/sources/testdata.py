@@ -242,7 +242,6 @@ class DerivedTables:
     def inventory(self) -> DataFrame:
         kept = (
             self.raw("lineitem")
-            .where(F.col("l_returnflag") != "R")
             .select(
                 F.col("l_partkey").alias("product_id"),
                 (F.col("l_suppkey") % 25).alias("location_id"),
@@ -483,7 +482,7 @@ class DerivedTables:
         status = whole_quotient(key, 2) % 4
         return self._typed(
             "stock_transfer",
-            self._orders.where(key % 2 == 0).select(
+            self._orders.select(
                 key.alias("transfer_id"),
                 F.concat(F.lit("XFR-"), _pad("o_orderkey", 10)).alias("transfer_number"),
                 (key % 5).alias("from_warehouse_id"),
@@ -498,13 +497,10 @@ class DerivedTables:
 
     @cached_property
     def stock_transfer_line(self) -> DataFrame:
-        moved = self._numbered_lines.where(
-            (F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 2 == 0)
-        )
         row = F.col("l_suppkey") % 5 * 5
         return self._typed(
             "stock_transfer_line",
-            moved.select(
+            self._numbered_lines.select(
                 F.col("line_id").alias("transfer_line_id"),
                 F.col("l_orderkey").alias("transfer_id"),
                 F.col("l_partkey").alias("product_id"),
