@@ -42,7 +42,7 @@ from binledger.functions.scan import (
 )
 from binledger.operators.keys import highest
 from binledger.session import cut
-from binledger.sources.tables import Tables
+from binledger.sources.tables import Tables, write_tables
 
 # The helper travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(fold)
@@ -878,17 +878,23 @@ _APPENDED = (
 _REWRITTEN = ("inventory", "po_line", "so_line", "purchase_order", "sales_order")
 
 
+def next_tables(result: Replay) -> dict[str, DataFrame]:
+    """All tables as they stand after a replay: changed, added to, or as they were."""
+    after = {name: result.tables[name] for name in schemas.TABLE_DDL}
+    for name in _REWRITTEN:
+        after[name] = getattr(result, name)()
+    for name in _APPENDED:
+        after[name] = after[name].unionByName(getattr(result, name)())
+    log = "stock_transaction"
+    columns = schemas.table_schema(log).fieldNames()
+    after[log] = after[log].select(*columns).unionByName(result.ledger().select(*columns))
+    return after
+
+
 def write_replay(result: Replay, folder: str) -> None:
-    """Write what a replay changes to a new snapshot folder.
+    """Write a replay's outcome as a new, whole snapshot that ``load_tables`` reads, and its ``rejects``.
 
-    ``inventory``, lines and headers are written whole; new documents and log rows
-    go to ``<table>_new`` and are ready to be appended.
+    ``folder`` must be another than the one the replay was read from.
     """
-    for name in _REWRITTEN:
-        getattr(result, name)().write.mode("overwrite").parquet(f"{folder}/{name}")
-    for name in _APPENDED:
-        getattr(result, name)().write.mode("overwrite").parquet(f"{folder}/{name}_new")
-    result.ledger().drop("seq", "leg").write.mode("overwrite").partitionBy(
-        "transaction_type"
-    ).parquet(f"{folder}/stock_transaction_new")
+    write_tables(next_tables(result), folder)
     result.rejects().write.mode("overwrite").parquet(f"{folder}/rejects")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from binledger import schemas
 from binledger.operators import integrity, keys, lookups, movements, picking, reports, views
 from binledger.plans.portable import portable
+from binledger.session import cut, ensure_checkpoint_dir
 from binledger.sources import tables as loading
 from binledger.sources.testdata import DerivedTables, UncleanTables
 
@@ -79,6 +81,23 @@ def _outcomes(t: DerivedTables) -> DataFrame:
     )
 
 
+def _replayed_twice(t: DerivedTables) -> DataFrame:
+    """Half the script replayed and written, the rest replayed on the snapshot read back."""
+    script = cut(t.movement_command, "script")
+    half = script.agg((F.max("seq") / 2).cast("bigint").alias("half"))
+    parts = script.crossJoin(F.broadcast(half))  # one row
+    first = movements.replay(parts.where("seq <= half").drop("half"), t, F.lit(NOW).cast("timestamp"))
+    folder = f"{ensure_checkpoint_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    movements.write_replay(first, folder)
+    rest = movements.outcomes(parts.where("seq > half").drop("half"), loading.load_tables(t.spark, folder))
+    columns = ("seq", "cmd", "code", "src_before")
+    decided = first.outcomes.select(*columns).unionAll(rest.select(*columns))
+    return decided.select(
+        "seq", "cmd", movements.reason_name().alias("outcome"),
+        F.when(F.col("code") == 0, F.col("src_before") / 1000).alias("qty_before"),
+    )
+
+
 def _inbound_ledger(t: DerivedTables) -> DataFrame:
     result = movements.replay(
         t.inbound_command, t, F.lit(NOW).cast("timestamp")
@@ -383,6 +402,7 @@ def queries() -> dict[str, Query]:
         "q_header_totals": _on(_totals),
         # movements
         "q_movement_outcomes": _on(_outcomes),
+        "q_replay_twice": _on(_replayed_twice),
         "q_movement_ledger": _on(_movement_ledger),
         "q_movement_inventory": _on(_movement_inventory),
         "q_movement_order_status": _on(_status_changes),

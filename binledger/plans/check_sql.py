@@ -699,6 +699,11 @@ def _movements() -> dict[str, str]:
             "SELECT seq, cmd, outcome, CASE WHEN outcome = 'ACCEPTED' THEN src_before END AS "
             "qty_before FROM w_decided",
         ),
+        "q_replay_twice": (
+            "seq cmd outcome qty_before",
+            "SELECT seq, cmd, outcome, CASE WHEN outcome = 'ACCEPTED' THEN src_before END AS "
+            "qty_before FROM w_decided",
+        ),
         "q_movement_documents": (
             "seq cmd document_id transfer_number", "SELECT * FROM w_documents",
         ),
