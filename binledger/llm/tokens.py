@@ -16,7 +16,7 @@ from binledger.llm.words import SEPARATOR, hash_runs, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct chunks a worker remembers before it starts anew; bounds memory, changes no result.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 
 _encoders: dict[str, "Encoder"] = {}
 

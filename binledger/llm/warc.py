@@ -30,9 +30,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from binledger.llm.words import bound_batches
 from binledger.session import cut, ensure_checkpoint_dir
 
 BLOCK_CAPTURES = 500
@@ -121,6 +122,7 @@ def _place(key: str, page_id: int | None) -> tuple[bytes, bool, int]:
 def write_archive(pages: DataFrame, parts: int | None = None) -> Archive:
     """Write every row of ``pages`` as a record. ``parts`` archives; by default Spark decides."""
     spark = pages.sparkSession
+    bound_batches(spark)
     root = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).select(

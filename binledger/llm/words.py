@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -145,11 +146,24 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
         i = j
 
 
+def bound_batches(spark) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES``, if they are larger.
+
+    The default of 10,000 rows would hold tens of megabytes of texts several times over in every worker.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key, None)
+        if held is None or not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_slices(
     df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str,
     size: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply ``work`` to pieces of a few megabytes of text, in Arrow batches."""
+    bound_batches(df.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
