@@ -183,20 +183,23 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
         .toArrow()
     )
     order = np.lexsort((rows["quality"].to_numpy(), rows["doc_id"].to_numpy()))
+    order = np.concatenate([np.delete(order, np.s_[4::5]), order[4::5]])  # a fifth, at the end, is held for calibration
     y = rows["quality"].to_numpy()[order].astype(np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    at, share = rows["at"].to_pylist(), rows["share"].to_pylist()
+    n = len(y) - len(y) // 5
+    if not 0 < y[:n].sum() < n:
+        n = len(y)
     x = np.zeros((len(y), BUCKETS), np.float32)
-    for i, j in enumerate(order):
-        x[i, np.frombuffer(at[j], np.int32)] = np.frombuffer(share[j], np.float32)
-    spread = x.std(axis=0) + 1e-3
+    at, share = rows["at"].combine_chunks(), rows["share"].combine_chunks()
+    for i, j in enumerate(order.tolist()):
+        x[i, np.frombuffer(at[j].as_buffer(), np.int32)] = np.frombuffer(share[j].as_buffer(), np.float32)
+    mean = x.mean(axis=0, dtype=np.float64)
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean**2, 0)).astype(np.float32) + np.float32(1e-3)
     x /= spread
-    held = np.arange(len(y)) % 5 == 4
-    if not 0 < y[~held].sum() < (~held).sum():
-        held[:] = False
-    weights, bias = _descend(x[~held], y[~held])
-    slope, shift = _platt((x[held] @ weights + bias).astype(float), y[held]) if held.any() else (1.0, 0.0)
+    weights, bias = _descend(x[:n], y[:n])
+    held = slice(n, None)
+    slope, shift = _platt((x[held] @ weights + bias).astype(float), y[held]) if n < len(y) else (1.0, 0.0)
     return Model((slope * weights / spread).astype(np.float64), slope * bias + shift)
 
 
