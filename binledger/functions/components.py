@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from binledger.session import cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to a node that none leads from."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    sums = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return sums.where("out > 1 OR (out = 1 AND into > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,9 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Repeated edges, loops and edges with a null end are harmless; no edges give no rows.
     """
-    edges = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,8 +39,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct(), "small-star")
-        before, state = state, _state(edges)
-        if before == state:
-            break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
