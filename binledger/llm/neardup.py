@@ -169,6 +169,8 @@ def _own_shingles(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
 def _verified(pairs: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full shingle sets are similar enough, as a written table."""
     pairs = cut(pairs.select("u", "v").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     texts = cut(_texts(ids, documents), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text")), "u")
@@ -223,9 +225,13 @@ def _links(reps: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     # Only buckets with several components are left. A document's links hold no shingle that is its own among
     # them, which bounds every intersection, exactly.
     open_ = _mixed(members.select("bucket", F.col("rep").alias("u"), "n"), roots)
+    if open_.isEmpty():
+        return roots
     own = _own_shingles(open_.select(F.col("u").alias("doc_id")).distinct(), documents, k)
     open_ = open_.join(own, "u", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "u_root")
     open_ = _mixed(open_.where(f"100L * most >= {SIMILAR_PERCENT}L * n"), roots)
+    if open_.isEmpty():
+        return roots
 
     def may_link(a: str, b: str) -> str:
         return f"{100 + SIMILAR_PERCENT}L * least(u_most, v_most) >= {SIMILAR_PERCENT}L * ({a} + {b})"
@@ -239,6 +245,8 @@ def _links(reps: DataFrame, documents: DataFrame, k: int) -> DataFrame:
         roots = cut(connected_components(_edges(roots).unionByName(more)), "roots")
 
     open_ = _mixed(open_.drop("u_root"), roots).withColumnRenamed("most", "u_most")
+    if open_.isEmpty():
+        return roots
     other = open_.select("bucket", F.col("u").alias("v"), F.col("n").alias("v_n"), F.col("u_root").alias("v_root"), F.col("u_most").alias("v_most"))
     across = open_.join(other, "bucket").where("u_root <> v_root AND u > v").where(fits("n", "v_n")).where(may_link("n", "v_n"))
     across = across.select("u", "v").distinct().join(tried.unionByName(rest), ["u", "v"], "left_anti")
