@@ -12,9 +12,9 @@
 * **Verification** on full shingle sets, in three rounds that test every candidate pair
   whose ends are not yet in one component, without listing all pairs of a bucket: each
   document with its most frequent bucket head; with its other heads; and pairs across
-  different components of a bucket. Within a component further links change nothing. For the
-  last two rounds shingles that only one of the remaining documents holds are counted: they are in no intersection,
-  so pairs that can't reach the threshold without them are left out, which is exact.
+  different components of a bucket. Within a component further links change nothing. In the
+  last two rounds bitmaps of the shingles bound what a pair can share; pairs that can't reach the
+  threshold are left out, which is exact.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a
 row without doc_id is linked with nothing, has no component and is kept; rows that repeat
@@ -35,6 +35,8 @@ from binledger.session import cut
 BANDS, ROWS = 40, 6
 PLACES = BANDS * ROWS
 SIMILAR_PERCENT = 80
+#: Bits of a document's bitmap of shingles.
+BITS = 4096
 #: More ids than this are not broadcast to filter texts, but joined by sorting.
 BROADCAST_IDS = 1_000_000
 
@@ -146,24 +148,29 @@ def _texts(ids: DataFrame, documents: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _own_shingles(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """``u, own``: how many shingles of each document no other of them has."""
+def _bitmaps(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """``u, bits, extra``: which of ``BITS`` bits a document's shingles hit, and how many shingles hit a bit again.
+
+    Shared shingles hit shared bits, so two documents share at most as many shingles as
+    bits, plus the smaller ``extra``: an exact bound that needs no texts.
+    """
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
         for i in range(0, piece.num_rows, _SLICE_ROWS):
             part = piece.slice(i, _SLICE_ROWS)
-            keys, _ = shingle_keys(part.column("text"), k)
+            keys, counts = shingle_keys(part.column("text"), k)
+            hit = np.zeros((part.num_rows, BITS), bool)
+            hit[(keys >> _KEY_BITS).astype(np.int64), (keys >> np.uint64(40)).astype(np.int64) % BITS] = True
+            bits = np.packbits(hit, axis=1).view(np.int64)
             parts.append(pa.RecordBatch.from_pydict({
-                "shingle": pa.array((keys << _ROW_BITS).view(np.int64)),
-                "doc_id": part.column("doc_id").take(pa.array((keys >> _KEY_BITS).astype(np.int64))),
+                "u": part.column("doc_id"),
+                "bits": pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.ravel())),
+                "extra": pa.array((counts - hit.sum(axis=1)).astype(np.int64)),
             }))
-        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()
-        return whole[0] if whole else parts[0]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-    found = map_slices(_texts(ids, documents), "text", work, "shingle long, doc_id long")
-    held = found.groupBy("shingle").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n = 1")
-    return cut(held.groupBy("u").agg(F.count("*").alias("own")), "own-shingles")
+    return cut(map_slices(_texts(ids, documents), "text", work, "u long, bits array<long>, extra long"), "bitmaps")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, k: int) -> DataFrame:
@@ -222,34 +229,35 @@ def _links(reps: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     tried = cut(best.select("u", (-F.col("b.v")).alias("v")), "best")
     roots = cut(connected_components(_verified(tried, documents, k)), "roots")
 
-    # Only buckets with several components are left. A document's links hold no shingle that is its own among
-    # them, which bounds every intersection, exactly.
+    # Only buckets with several components are left.
     open_ = _mixed(members.select("bucket", F.col("rep").alias("u"), "n"), roots)
     if open_.isEmpty():
         return roots
-    own = _own_shingles(open_.select(F.col("u").alias("doc_id")).distinct(), documents, k)
-    open_ = open_.join(own, "u", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "u_root")
-    open_ = _mixed(open_.where(f"100L * most >= {SIMILAR_PERCENT}L * n"), roots)
-    if open_.isEmpty():
-        return roots
-
-    def may_link(a: str, b: str) -> str:
-        return f"{100 + SIMILAR_PERCENT}L * least(u_most, v_most) >= {SIMILAR_PERCENT}L * ({a} + {b})"
-
-    head = F.min(F.struct(F.col("u").alias("v"), F.col("u_root").alias("v_root"), F.col("n").alias("v_n"), F.col("most").alias("v_most")))
-    first = open_.join(open_.groupBy("bucket").agg(head.alias("h")), "bucket").select("u", "u_root", "n", F.col("most").alias("u_most"), "h.*")
-    rest = first.where("u_root <> v_root").where(fits("n", "v_n")).where(may_link("n", "v_n"))
-    rest = cut(rest.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "rest")
+    bitmaps = _bitmaps(open_.select(F.col("u").alias("doc_id")).distinct(), documents, k)
+
+    def pairs(left: DataFrame, right: DataFrame, test: str) -> DataFrame:
+        """Pairs of one bucket, in two components, that ``test`` and the bound on shared shingles admit."""
+        most = F.expr("aggregate(zip_with(bits, v_bits, (a, b) -> bit_count(a & b)), 0, (s, x) -> s + x) + least(extra, v_extra)")
+        return (
+            left.join(bitmaps, "u").join(right, "bucket")
+            .where(f"u_root <> v_root AND {test}").where(fits("n", "v_n"))
+            .where((100 + SIMILAR_PERCENT) * most >= SIMILAR_PERCENT * (F.col("n") + F.col("v_n")))
+            .select("u", "v").distinct()
+        )
+
+    named = [F.col("u").alias("v"), F.col("u_root").alias("v_root"), F.col("n").alias("v_n")]
+    marks = bitmaps.select(F.col("u").alias("v"), F.col("bits").alias("v_bits"), F.col("extra").alias("v_extra"))
+    first = open_.groupBy("bucket").agg(F.min(F.struct(*named)).alias("h")).select("bucket", "h.*").join(marks, "v")
+    rest = cut(pairs(open_, first, "u <> v").join(tried, ["u", "v"], "left_anti"), "rest")
     more = _verified(rest, documents, k)
     if not more.isEmpty():
         roots = cut(connected_components(_edges(roots).unionByName(more)), "roots")
 
-    open_ = _mixed(open_.drop("u_root"), roots).withColumnRenamed("most", "u_most")
+    open_ = _mixed(open_.select("bucket", "u", "n"), roots)
     if open_.isEmpty():
         return roots
-    other = open_.select("bucket", F.col("u").alias("v"), F.col("n").alias("v_n"), F.col("u_root").alias("v_root"), F.col("u_most").alias("v_most"))
-    across = open_.join(other, "bucket").where("u_root <> v_root AND u > v").where(fits("n", "v_n")).where(may_link("n", "v_n"))
-    across = across.select("u", "v").distinct().join(tried.unionByName(rest), ["u", "v"], "left_anti")
+    other = open_.select("bucket", *named).join(marks, "v")
+    across = pairs(open_, other, "u > v").join(tried.unionByName(rest), ["u", "v"], "left_anti")
     more = _verified(across, documents, k)
     if not more.isEmpty():
         roots = cut(connected_components(_edges(roots).unionByName(more)), "roots")
