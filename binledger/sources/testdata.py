@@ -284,7 +284,10 @@ class DerivedTables:
         cents = (F.col("l_extendedprice").cast("decimal(14,2)") * 100).cast("bigint")
         return numbered.withColumns(
             {
-                "line_id": F.col("l_orderkey") * LINES_PER_HEADER + F.col("line_number"),
+                "line_id": F.when(
+                    F.col("line_number") < LINES_PER_HEADER,
+                    F.col("l_orderkey") * LINES_PER_HEADER + F.col("line_number"),
+                ).otherwise(F.raise_error(F.lit("an order has more lines than line numbers have digits"))),
                 "quantity": quantity,
                 "unit_cents": F.call_function("div", cents, quantity),
                 "ship_day": F.col("l_shipdate").cast("date"),
