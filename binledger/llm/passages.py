@@ -8,7 +8,8 @@
 * **Chaining.** The matches of a document with an anchor document are runs on diagonals; a Fenwick tree over anchor
   positions finds for each run the best chain before it in both texts, less a cost for the words skipped.
 * **Alignment.** Chains are laid over the words of both texts: gaps by longest common subsequence, ends by exact
-  runs over short mismatches. Chains that agree in too few words fall apart into their runs.
+  runs over short mismatches. Chains that agree in too few words are parted at their widest gaps, and each part is extended
+  to both sides.
 * **Passages.** A document's aligned stretches, on either side of a link, are united; those of
   ``MIN_WORDS`` words or more are its repeated passages. A passage whose parts have different anchors is thus found whole.
 
@@ -196,47 +197,95 @@ def _run(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _extended(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
-    """Words of x and y that go on alike, over short mismatches followed by equal words; and how many are equal."""
+def _extended(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> tuple[int, int, int]:
+    """Words of x and y that go on alike, over short mismatches followed by equal words; and how many are equal.
+
+    Goes as far as a share of ``least`` is equal.
+    """
     i = j = same = 0
+    kept = (0, 0, 0)
     while True:
         n = _run(x[i:], y[j:])
         i, j, same = i + n, j + n, same + n
+        if same >= least * max(i, j):
+            kept = (i, j, same)
         a, b = x[i : i + _SKIP + _AFTER_SKIP], y[j : j + _SKIP + _AFTER_SKIP]
         if min(len(a), len(b)) < _AFTER_SKIP:
-            return i, j, same
+            return kept
         equal = a[:, None] == b[None, :]
         runs = np.ones((len(a) - _AFTER_SKIP + 1, len(b) - _AFTER_SKIP + 1), bool)
         for k in range(_AFTER_SKIP):
             runs &= equal[k : k + runs.shape[0], k : k + runs.shape[1]]
         found = np.argwhere(runs)
         if not len(found):
-            return i, j, same
+            return kept
         di, dj = found[np.argmin(found.sum(axis=1))].tolist()
         same += _common(x[i : i + di], y[j : j + dj])
         i, j = i + di, j + dj
 
 
 def aligned(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """The stretches (start, end, start, end, equal words) that a chain stands for in both texts."""
-    di, dj, same = _extended(x[: xs[0]][::-1], y[: ys[0]][::-1])
-    start, other = int(xs[0]) - di, int(ys[0]) - dj
-    i, j, k, runs = int(xs[0]), int(ys[0]), 0, []
+    """The stretches (start, end, start, end, equal words) that a chain stands for in both texts.
+
+    A chain that agrees in too few words is parted at its widest gap, again and again; each part is
+    extended to both sides by itself, up to the far end of the run next to it.
+    """
+    runs, between, aside = [], [], []  # equal words, common words of the gaps, seeds that cross a run
+    i, j, k = int(xs[0]), int(ys[0]), 0
+    back = 0
     while True:
         n = _run(x[i:], y[j:])
-        runs.append((i, i + n, j, j + n, n))
-        i, j, same = i + n, j + n, same + n
+        runs.append((i - back, i + n, j - back, j + n))
+        diagonal, i, j = i - j, i + n, j + n
         while k < len(xs) and (xs[k] < i or ys[k] < j):
+            if xs[k] - ys[k] != diagonal:
+                aside.append((int(xs[k]), int(ys[k])))
             k += 1
         if k == len(xs):
             break
-        same += _common(x[i : xs[k]], y[j : ys[k]])
+        a, b = x[i : xs[k]], y[j : ys[k]]
+        back = _run(a[::-1], b[::-1])
+        between.append(_common(a[: len(a) - back], b[: len(b) - back]))
         i, j = int(xs[k]), int(ys[k])
-    di, dj, more = _extended(x[i:], y[j:])
-    end, other_end, same = i + di, j + dj, same + more
-    if same >= MIN_IDENTITY * max(end - start, other_end - other):
-        return [(start, end, other, other_end, same)]
-    return runs
+    r = np.array(runs)
+    equal = np.concatenate([[0], np.cumsum(r[:, 1] - r[:, 0])])
+    common = np.concatenate([[0], np.cumsum(between, dtype=np.int64)])
+    gaps = np.maximum(r[1:, 0] - r[:-1, 1], r[1:, 2] - r[:-1, 3])
+
+    def stretch(first: int, last: int, least: float) -> tuple[int, int, int, int, int]:
+        start, _, other, _ = runs[first]
+        _, end, _, other_end = runs[last]
+        x0, y0 = (runs[first - 1][0], runs[first - 1][2]) if first else (0, 0)
+        x1, y1 = (runs[last + 1][1], runs[last + 1][3]) if last + 1 < len(runs) else (len(x), len(y))
+        di, dj, before = _extended(x[x0:start][::-1], y[y0:other][::-1], least)
+        ei, ej, after = _extended(x[end:x1], y[other_end:y1], least)
+        same = int(equal[last + 1] - equal[first] + common[last] - common[first]) + before + after
+        return start - di, end + ei, other - dj, other_end + ej, same
+
+    def agrees(s: tuple[int, int, int, int, int]) -> bool:
+        return s[4] >= MIN_IDENTITY * max(s[1] - s[0], s[3] - s[2])
+
+    whole = stretch(0, len(runs) - 1, 0.0)
+    if agrees(whole):
+        return [whole]
+    out, waiting = [], [(0, len(runs) - 1)]
+    while waiting:
+        first, last = waiting.pop()
+        found = stretch(first, last, MIN_IDENTITY)
+        if first == last or agrees(found):
+            out.append(found)
+        else:
+            at = first + int(np.argmax(gaps[first:last]))
+            waiting += [(at + 1, last), (first, at)]
+    last = None
+    for i, j in aside:
+        if last and i - j == last[0] - last[1] and i < last[2]:
+            continue
+        di, dj, before = _extended(x[:i][::-1], y[:j][::-1], MIN_IDENTITY)
+        ei, ej, after = _extended(x[i:], y[j:], MIN_IDENTITY)
+        out.append((i - di, i + ei, j - dj, j + ej, before + after))
+        last = (i, j, i + _run(x[i:], y[j:]))
+    return out
 
 
 def _laid(piece: pa.RecordBatch) -> pa.RecordBatch:

@@ -84,3 +84,26 @@ def test_chains_follow_order_and_gap_costs():
     a, b = np.arange(60, dtype=np.uint32), np.arange(60, dtype=np.uint32)
     b[30] = 999
     assert passages.aligned(a, b, np.array([5, 40]), np.array([5, 40])) == [(0, 60, 0, 60, 59)]
+
+
+def test_two_passages_far_apart_are_both_found_whole(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    rows = []
+    for gap in range(50, 601, 25):
+        one, two = text(rng.randint(51, 60)), text(rng.randint(51, 60))
+        for _ in range(2):
+            apart = text(gap + rng.randint(0, 20))
+            rows.append((len(rows), " ".join(text(rng.randint(0, 90)) + one + apart + two + text(rng.randint(0, 90)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got, want = marked(passages.repeated_passages(docs).collect(), rows), covered(rows, 50)
+    for d, marks in want.items():
+        assert marks.sum() >= 102 and not (marks & ~got[d]).any(), d
+
+
+def test_chains_fall_apart_at_wide_gaps_and_extend_to_both_sides():
+    a, b = np.arange(400, dtype=np.uint32), np.arange(1000, 1420, dtype=np.uint32)
+    b[20:75], b[320:375] = a[10:65], a[300:355]
+    found = passages.aligned(a, b, np.array([20, 40, 310, 340]), np.array([30, 50, 330, 360]))
+    assert found == [(10, 65, 20, 75, 55), (300, 355, 320, 375, 55)]
