@@ -4,7 +4,8 @@
   run of K + WINDOW - 1 equal words shares a seed. Whole texts, all documents.
 * **Join.** Seeds held by several documents (pre-aggregated) have an anchor, their first occurrence. Every
   other occurrence meets its anchor only: a passage shared by n documents gives n - 1 links, not all pairs, and every
-  one of the n documents is linked.
+  one of the n documents is linked. Later occurrences inside the anchor document meet the seed's last document instead,
+  so that a second copy there is found too; a row per occurrence in any case.
 * **Chaining.** The matches of a document with an anchor document are runs on diagonals; a Fenwick tree over anchor
   positions finds for each run the best chain before it in both texts, less a cost for the words skipped.
 * **Alignment.** Chains are laid over the words of both texts: gaps by longest common subsequence, ends by exact
@@ -63,11 +64,23 @@ def seeds(documents: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """``doc_id, pos, anchor, anchor_pos``: every occurrence of a shared seed with the seed's first occurrence."""
-    anchors = found.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last"))
-    anchors = anchors.where("a.doc_id < last").select("seed", F.col("a.doc_id").alias("anchor"), F.col("a.pos").alias("anchor_pos"))
+    """``doc_id, pos, anchor, anchor_pos``: every occurrence of a shared seed with the seed's first occurrence.
+
+    Later occurrences in the anchor document itself meet the seed's first occurrence in its last document.
+    """
+    least, last = F.min(F.struct("doc_id", "pos")), F.max(F.struct("doc_id", (-F.col("pos")).alias("back")))
+    anchors = found.groupBy("seed").agg(least.alias("a"), last.alias("b")).where("a.doc_id < b.doc_id")
+    anchors = anchors.select(
+        "seed", F.col("a.doc_id").alias("first"), F.col("a.pos").alias("first_pos"),
+        F.col("b.doc_id").alias("last"), (-F.col("b.back")).alias("last_pos"),
+    )
     anchors = cut(anchors, "anchors")  # a plain join then, of which Spark splits the partitions of common seeds
-    return found.join(anchors, "seed").where("doc_id <> anchor").select("doc_id", "pos", "anchor", "anchor_pos")
+    met = found.join(anchors, "seed").where("doc_id <> first OR pos <> first_pos")
+    other = F.col("doc_id") != F.col("first")
+    return met.select(
+        "doc_id", "pos", F.when(other, F.col("first")).otherwise(F.col("last")).alias("anchor"),
+        F.when(other, F.col("first_pos")).otherwise(F.col("last_pos")).alias("anchor_pos"),
+    )
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

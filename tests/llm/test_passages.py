@@ -107,3 +107,22 @@ def test_chains_fall_apart_at_wide_gaps_and_extend_to_both_sides():
     b[20:75], b[320:375] = a[10:65], a[300:355]
     found = passages.aligned(a, b, np.array([20, 40, 310, 340]), np.array([30, 50, 330, 360]))
     assert found == [(10, 65, 20, 75, 55), (300, 355, 320, 375, 55)]
+
+
+def test_later_copies_inside_the_first_document_are_found(spark):
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    twice, quoted, thrice = text(60), text(60), text(55)
+    rows = [
+        (1, " ".join(text(20) + twice + text(300) + twice + text(40))), (2, " ".join(text(35) + twice + text(10))),
+        (11, " ".join(text(10) + quoted[:30] + text(460) + quoted + text(20))), (12, " ".join(text(70) + quoted + text(5))),
+        (21, " ".join(text(15) + thrice + text(9) + thrice + text(200) + thrice)), (22, " ".join(thrice + text(30) + thrice)),
+        (23, " ".join(text(80) + thrice[:40] + text(30))), (31, " ".join(vocabulary[:60] * 3)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got, want = marked(passages.repeated_passages(docs).collect(), rows), covered(rows, 50)
+    assert [int(want[d].sum()) for d in (1, 11, 21, 22)] == [120, 60, 165, 110]
+    for d, marks in want.items():
+        assert not (marks & ~got[d]).any(), d
+    assert not got[31].any()
