@@ -8,11 +8,12 @@ again. So a host of any size is split, and every page counts.
 
 **Choice.** In a host's wrapper, menus, headers, footers, sidebars, notices, adverts, forms and comments are marked by
 element and by words in class, id and role; so are slots outside an article that never vary over
-``CONSTANT_PAGES`` pages. The main element is the article (or main) with most free text, else the
-deepest element that holds most of the site's varying text.
+``CONSTANT_PAGES`` pages. The main elements are all articles (or mains) that are not inside one another, a main that
+has articles giving way to them if nothing else in it varies; else the deepest element beside which
+no free text of the site varies.
 
-**Extraction.** A page's tree is matched with its host's wrapper and gives the blocks under the main element. A page that
-lacks that element is read with a wrapper of its own.
+**Extraction.** A page's tree is matched with its host's wrapper and gives the blocks under the main elements. A page that
+lacks them all is read with a wrapper of its own.
 
 Defined results: a null or empty html, or one without main text, gives an empty text; a url without host falls
 in a host of its own; repeated rows are read one by one. White space is what ``str.split`` takes for it.
@@ -34,7 +35,6 @@ from binledger.session import cut
 
 SALTS = 16
 CONSTANT_PAGES = 5
-MAIN_SHARE = 0.7
 #: Wrappers are broadcast up to this many bytes in all, and joined by host beyond.
 BROADCAST_BYTES = 16 << 20
 
@@ -86,54 +86,68 @@ def _free(item: list, in_article: bool) -> tuple[float, float]:
     return sum(p[0] for p in parts), sum(p[1] for p in parts)
 
 
-def main_path(wrapper: list) -> tuple[list[str], bool]:
-    """Keys from the root to the main element, and whether it is an article (else constant slots are dropped)."""
-    best: tuple[float, list[str]] = (0.0, [])
+def _elements(item: list) -> Iterator[list]:
+    """The element items under an item, those in groups too."""
+    for child in item[3][1] if item[0] == "e" else item[3]:
+        if child[0] == "g":
+            yield from _elements(child)
+        elif child[0] == "e":
+            yield child
 
-    def elements(item: list) -> Iterator[list]:
-        for child in item[3][1] if item[0] == "e" else item[3]:
-            if child[0] == "g":
-                yield from elements(child)
-            elif child[0] == "e":
-                yield child
 
-    def seek(item: list, path: list[str]) -> None:
-        nonlocal best
-        for child in elements(item):
+def main_paths(wrapper: list) -> tuple[list[list[str]], bool]:
+    """Keys from the root to each main element, and whether they are articles (else constant slots are dropped)."""
+
+    def articles(item: list, path: list[str]) -> Iterator[tuple[list[str], list]]:
+        """Outermost article and main elements with free text."""
+        for child in _elements(item):
             key = child[3][0]
             if _is_boiler(key, False):
                 continue
-            if key.split(" ")[0] in _MAIN:
-                amount = _free(child, True)[1]
-                if amount > 0 and amount >= MAIN_SHARE * best[0]:  # an article inside main, if it has most of it
-                    best = (amount, [*path, key])
-            seek(child, [*path, key])
-
-    seek(wrapper, [])
-    if best[1]:
-        return best[1], True
+            if key.split(" ")[0] in _MAIN and _free(child, True)[1] > 0:
+                yield [*path, key], child
+            else:
+                yield from articles(child, [*path, key])
+
+    def narrowed(path: list[str], item: list) -> Iterator[list[str]]:
+        """Articles inside an article or main instead of it, if nothing beside them varies."""
+        inner = list(articles(item, path))
+        held = sum(_free(i, True)[0] for _, i in inner)
+        if held > 0 and held >= _free(item, True)[0] and not any(i[1] for _, i in inner):
+            for found in inner:
+                yield from narrowed(*found)
+        else:
+            yield path
+
+    paths = [p for found in articles(wrapper, []) for p in narrowed(*found)]
+    if paths:
+        return paths, True
     path, item = [], wrapper
     while True:
-        whole = _free(item, False)
-        amount = lambda c: _free(c, False)
-        children = [c for c in elements(item) if not _is_boiler(c[3][0], False) and c[3][0].split(" ")[0] not in ("p", "ul", "ol", "table")]
-        top = max(children, key=lambda c: amount(c), default=None)
-        if top is None or top[2] or amount(top)[1] < MAIN_SHARE * max(whole[1], 1) or not any(True for _ in elements(top)):
-            return path, False
+        children = [c for c in _elements(item) if not _is_boiler(c[3][0], False) and c[3][0].split(" ")[0] not in ("p", "ul", "ol", "table")]
+        top = max(children, key=lambda c: _free(c, False), default=None)
+        if top is None or top[2] or not any(True for _ in _elements(top)):
+            return [path], False
+        held = _free(top, False)[0]
+        if held <= 0 or held < _free(item, False)[0]:  # beside it stands text that varies
+            return [path], False
         path.append(top[3][0])
         item = top
 
 
-def _matched(node: Node, path: list[str]) -> Iterator[Node]:
-    if not path:
+def _matched(node: Node, paths: list[list[str]]) -> Iterator[Node]:
+    """The nodes at the ends of the paths, outermost only, in the order of the page."""
+    if [] in paths:
         yield node
         return
     for child in node.children:
-        if isinstance(child, Node) and child.key == path[0]:
-            yield from _matched(child, path[1:])
+        if isinstance(child, Node):
+            below = [p[1:] for p in paths if p[0] == child.key]
+            if below:
+                yield from _matched(child, below)
 
 
-def _constants(wrapper: list, path: list[str]) -> set[tuple[tuple[str, ...], str]]:
+def _constants(wrapper: list) -> set[tuple[tuple[str, ...], str]]:
     """Slots of a site that never vary, as (keys down to the slot, text)."""
     found: set = set()
 
@@ -153,12 +167,12 @@ def _constants(wrapper: list, path: list[str]) -> set[tuple[tuple[str, ...], str
 
 
 def extract(tree: Node, wrapper: list) -> str | None:
-    """The blocks of the main element, one a line; None if the page has no such element."""
-    path, article = main_path(wrapper)
-    nodes = list(_matched(tree, path))
-    if path and not nodes:
+    """The blocks of the main elements, one a line; None if the page has no such element."""
+    paths, article = main_paths(wrapper)
+    nodes = list(_matched(tree, paths))
+    if not nodes:
         return None
-    constants = set() if article else _constants(wrapper, path)
+    constants = set() if article else _constants(wrapper)
     blocks: list[str] = []
 
     def walk(node: Node, keys: tuple[str, ...]) -> None:
@@ -170,7 +184,7 @@ def extract(tree: Node, wrapper: list) -> str | None:
                 walk(child, (*keys, child.key))
 
     for node in nodes:
-        walk(node, ("#", *path))
+        walk(node, ("#", *(() if article else paths[0])))
     return "\n".join(blocks)
 
 

@@ -62,3 +62,30 @@ def test_patterns_are_union_free_and_cover_their_pages():
     assert ul[1] == 1 and ul[3][1][0][2] == 1
     assert fold([["t", 0, 0, [1, 1, 0, "a"]]]) == [["t", 0, 0, [1, 1, 0, "a"]]]
     assert align([], div[3][1])[0][1] == 1
+
+
+def texts(spark, sources, host="http://s.example/"):
+    rows = [(i, f"{host}{i}", source) for i, source in enumerate(sources)]
+    found = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_nothing_beside_the_largest_child_is_lost(spark):
+    body = [f"Long body {i} " + f"word{i} " * 80 + "end" for i in range(12)]
+    got = texts(spark, [
+        f"<body><div class=nav>Menu</div><div class=slogan>All the same</div><div class=content><h1>Title {i}</h1><div class=lead>Lead {i}</div>"
+        f"<div class=text><p>{body[i]}</p><p>More {i}</p></div></div></body>" for i in range(12)
+    ])
+    assert got == [f"Title {i}\nLead {i}\n{body[i]}\nMore {i}" for i in range(12)]
+
+
+def test_all_articles_side_by_side_are_extracted_in_order(spark):
+    got = texts(spark, [
+        f"<body><div><article class=story><p>{f's{i} ' * 300}</p></article></div><p>Beside</p><article class=analysis><p>{f'a{i} ' * 250}</p></article>"
+        f"<article class=brief>Brief {i}</article></body>" for i in range(8)
+    ])
+    assert got == [f"{(f's{i} ' * 300).strip()}\n{(f'a{i} ' * 250).strip()}\nBrief {i}" for i in range(8)]
+    got = texts(spark, [
+        f"<main><h1>Title {i}</h1><article><p>{f'b{i} ' * 300}</p></article></main>" for i in range(8)
+    ])
+    assert got == [f"Title {i}\n{(f'b{i} ' * 300).strip()}" for i in range(8)]
