@@ -12,6 +12,7 @@ repeated item or group, and slots add up. No alternatives arise (union-free).
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass, field
@@ -146,18 +147,24 @@ def parse(source: str) -> Node:
 
 
 # A pattern item is a list: [kind, optional, repeats, body]; kinds are "e" (element: [key, items]), "g" (group: items) and
-# "t" (text slot: [pages, characters, link characters, text or None if it varies]).
+# "t" (text slot: [pages, characters, link characters, fingerprint of the text or None if it varies]). The body of the root
+# has the number of pages besides.
 
 
-def pattern(node: Node) -> list:
-    """The pattern of one page's tree, its own repeats folded."""
+def fingerprint(text: str) -> str:
+    """Length and hash of a whole text."""
+    return f"{len(text)}:{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}"
+
+
+def pattern(node: Node, weight: float = 1) -> list:
+    """The pattern of one page's tree, its own repeats folded; the page counts as ``weight`` pages."""
     items = []
     for child in node.children:
         if isinstance(child, Text):
-            items.append(["t", 0, 0, [1, len(child.text), child.link, child.text[:200]]])
+            items.append(["t", 0, 0, [weight, len(child.text), child.link, fingerprint(child.text)]])
         else:
-            items.append(pattern(child))
-    return ["e", 0, 0, [node.key, fold(items)]]
+            items.append(pattern(child, weight))
+    return ["e", 0, 0, [node.key, fold(items), *([weight] if node.key == "#" else [])]]
 
 
 def shape(item: list) -> str:
@@ -176,7 +183,7 @@ def _joined(a: list, b: list) -> list:
     elif kind == "g":
         body = [_joined(x, y) for x, y in zip(a[3], b[3])]
     else:
-        body = [a[3][0], align(a[3][1], b[3][1])]
+        body = [a[3][0], align(a[3][1], b[3][1]), *(n + m for n, m in zip(a[3][2:], b[3][2:]))]
     return [kind, optional, repeats, body]
 
 

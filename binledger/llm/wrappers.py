@@ -2,13 +2,13 @@
 
 **Inference.** The block structure of every page is a pattern with its own repeats folded. Patterns of one host are
 aligned one after the other; mismatches become optional or repeated items and groups, text slots count their
-characters and whether they ever vary. Pages of equal structure are added up before the shuffle; a host's
+characters and whether they ever vary, and copies of one html count as one page. Pages of equal structure are added up before the shuffle; a host's
 structures are dealt to ``SALTS`` streams, each aligned in constant memory, whose few results are aligned
 again. So a host of any size is split, and every page counts.
 
 **Choice.** In a host's wrapper, menus, headers, footers, sidebars, notices, adverts, forms and comments are marked by
 element and by words in class, id and role; so are slots outside an article that never vary over
-``CONSTANT_PAGES`` pages. The main elements are all articles (or mains) that are not inside one another, a main that
+``CONSTANT_PAGES`` distinct pages and stand on a share of ``CONSTANT_SHARE`` of the host's. The main elements are all articles (or mains) that are not inside one another, a main that
 has articles giving way to them if nothing else in it varies; else the deepest element beside which
 no free text of the site varies.
 
@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binledger.llm.markup import Node, Text, merge, parse, pattern
+from binledger.llm.markup import Node, Text, fingerprint, merge, parse, pattern
 from binledger.llm.words import map_slices
 from binledger.session import cut
 
 SALTS = 16
-CONSTANT_PAGES = 5
+CONSTANT_PAGES, CONSTANT_SHARE = 5, 0.9
+#: Hashes of pages that have copies are broadcast up to this many, and joined beyond.
+BROADCAST_COPIES = 200_000
 #: Wrappers are broadcast up to this many bytes in all, and joined by host beyond.
 BROADCAST_BYTES = 16 << 20
 
@@ -70,19 +72,24 @@ def _is_boiler(key: str, in_article: bool) -> bool:
     return False
 
 
-def _free(item: list, in_article: bool) -> tuple[float, float]:
+def _least(wrapper: list) -> float:
+    """On how many pages a slot must stand to be constant; copies add up to whole pages but for rounding."""
+    return max(CONSTANT_PAGES, CONSTANT_SHARE * wrapper[3][2]) - 1e-6
+
+
+def _free(item: list, in_article: bool, least: float) -> tuple[float, float]:
     """Characters outside links of the slots under an item that are no boilerplate: varying ones, and all."""
     if item[0] == "t":
         n, chars, link, text = item[3]
         free = max(0, chars - link)
-        return (free if text is None or n < CONSTANT_PAGES else 0.0), float(free)
+        return (free if text is None or n < least else 0.0), float(free)
     if item[0] == "g":
-        parts = [_free(i, in_article) for i in item[3]]
+        parts = [_free(i, in_article, least) for i in item[3]]
     else:
-        key, items = item[3]
+        key, items = item[3][:2]
         if _is_boiler(key, in_article):
             return 0.0, 0.0
-        parts = [_free(i, in_article or key.split(" ")[0] in _MAIN) for i in items]
+        parts = [_free(i, in_article or key.split(" ")[0] in _MAIN, least) for i in items]
     return sum(p[0] for p in parts), sum(p[1] for p in parts)
 
 
@@ -97,6 +104,7 @@ def _elements(item: list) -> Iterator[list]:
 
 def main_paths(wrapper: list) -> tuple[list[list[str]], bool]:
     """Keys from the root to each main element, and whether they are articles (else constant slots are dropped)."""
+    least = _least(wrapper)
 
     def articles(item: list, path: list[str]) -> Iterator[tuple[list[str], list]]:
         """Outermost article and main elements with free text."""
@@ -104,7 +112,7 @@ def main_paths(wrapper: list) -> tuple[list[list[str]], bool]:
             key = child[3][0]
             if _is_boiler(key, False):
                 continue
-            if key.split(" ")[0] in _MAIN and _free(child, True)[1] > 0:
+            if key.split(" ")[0] in _MAIN and _free(child, True, least)[1] > 0:
                 yield [*path, key], child
             else:
                 yield from articles(child, [*path, key])
@@ -112,8 +120,8 @@ def main_paths(wrapper: list) -> tuple[list[list[str]], bool]:
     def narrowed(path: list[str], item: list) -> Iterator[list[str]]:
         """Articles inside an article or main instead of it, if nothing beside them varies."""
         inner = list(articles(item, path))
-        held = sum(_free(i, True)[0] for _, i in inner)
-        if held > 0 and held >= _free(item, True)[0] and not any(i[1] for _, i in inner):
+        held = sum(_free(i, True, least)[0] for _, i in inner)
+        if held > 0 and held >= _free(item, True, least)[0] and not any(i[1] for _, i in inner):
             for found in inner:
                 yield from narrowed(*found)
         else:
@@ -125,11 +133,11 @@ def main_paths(wrapper: list) -> tuple[list[list[str]], bool]:
     path, item = [], wrapper
     while True:
         children = [c for c in _elements(item) if not _is_boiler(c[3][0], False) and c[3][0].split(" ")[0] not in ("p", "ul", "ol", "table")]
-        top = max(children, key=lambda c: _free(c, False), default=None)
+        top = max(children, key=lambda c: _free(c, False, least), default=None)
         if top is None or top[2] or not any(True for _ in _elements(top)):
             return [path], False
-        held = _free(top, False)[0]
-        if held <= 0 or held < _free(item, False)[0]:  # beside it stands text that varies
+        held = _free(top, False, least)[0]
+        if held <= 0 or held < _free(item, False, least)[0]:  # beside it stands text that varies
             return [path], False
         path.append(top[3][0])
         item = top
@@ -148,12 +156,13 @@ def _matched(node: Node, paths: list[list[str]]) -> Iterator[Node]:
 
 
 def _constants(wrapper: list) -> set[tuple[tuple[str, ...], str]]:
-    """Slots of a site that never vary, as (keys down to the slot, text)."""
+    """Slots of a site that never vary, as (keys down to the slot, fingerprint of the text)."""
     found: set = set()
+    least = _least(wrapper)
 
     def walk(item: list, keys: tuple[str, ...], repeats: bool) -> None:
         if item[0] == "t":
-            if item[3][3] is not None and item[3][0] >= CONSTANT_PAGES and not repeats:
+            if item[3][3] is not None and item[3][0] >= least and not repeats:
                 found.add((keys, item[3][3]))
         elif item[0] == "g":
             for i in item[3]:
@@ -178,7 +187,7 @@ def extract(tree: Node, wrapper: list) -> str | None:
     def walk(node: Node, keys: tuple[str, ...]) -> None:
         for child in node.children:
             if isinstance(child, Text):
-                if (keys, child.text[:200]) not in constants:
+                if not constants or (keys, fingerprint(child.text)) not in constants:
                     blocks.append(child.text)
             elif not _is_boiler(child.key, article):
                 walk(child, (*keys, child.key))
@@ -204,8 +213,8 @@ def structures(pages: DataFrame) -> DataFrame:
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[tuple[str, str], list] = {}
-        for host, source in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
-            _added(found, host, pattern(parse(source)))
+        for host, source, copies in zip(*(piece.column(c).to_pylist() for c in ("host", "html", "copies"))):
+            _added(found, host, pattern(parse(source), 1 / copies if copies else 1))
         return pa.RecordBatch.from_pydict({
             "host": pa.array([h for h, _ in found], pa.string()),
             "outline": pa.array([o for _, o in found], pa.string()),
@@ -213,7 +222,11 @@ def structures(pages: DataFrame) -> DataFrame:
         })
 
     rows = pages.select(host_of().alias("host"), "html").where("html <> ''")
-    return map_slices(rows, "html", work, "host string, outline string, wrapper string", 8 << 20)
+    key = [F.xxhash64("host", "html").alias("h"), F.octet_length("html").alias("n")]
+    copied = cut(rows.select(*key).groupBy("h", "n").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    rows = rows.select("*", *key)
+    rows = rows.join(F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied, ["h", "n"], "left")
+    return map_slices(rows.select("host", "html", "copies"), "html", work, "host string, outline string, wrapper string", 8 << 20)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,3 +89,29 @@ def test_all_articles_side_by_side_are_extracted_in_order(spark):
         f"<main><h1>Title {i}</h1><article><p>{f'b{i} ' * 300}</p></article></main>" for i in range(8)
     ])
     assert got == [f"Title {i}\n{(f'b{i} ' * 300).strip()}" for i in range(8)]
+
+
+def test_long_blocks_that_differ_late_are_kept(spark):
+    start = "The same opening words of every story of this site " * 5
+    got = texts(spark, [f"<div class=content><h2>Title {i}</h2><p>Same line</p><div>{start}{i}</div></div>" for i in range(30)])
+    assert got == [f"Title {i}\n{start}{i}" for i in range(30)]
+    both = [f"{start}a", f"{start}b"]  # one opening, two endings, each on many pages
+    got = texts(spark, [f"<div class=content><h2>Title {i}</h2><div>{both[i % 2]}</div></div>" for i in range(30)])
+    assert got == [f"Title {i}\n{both[i % 2]}" for i in range(30)]
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    copy = "<div class=content><h2>Copied</h2><p>One block</p><blockquote>Only here</blockquote><pre>code</pre></div>"
+    others = [f"<div class=content><h2>Title {i}</h2><p>Text {i}</p></div>" for i in range(20)]
+    whole = "Copied\nOne block\nOnly here\ncode"
+    assert texts(spark, [copy] * 9 + others) == [whole] * 9 + [f"Title {i}\nText {i}" for i in range(20)]
+    assert texts(spark, [copy] * 7) == [whole] * 7
+    rare = [f"<div class=content><h2>Title {i}</h2><p>Text {i}</p>{'<pre>rare</pre>' if i < 6 else ''}</div>" for i in range(20)]
+    assert texts(spark, rare) == [f"Title {i}\nText {i}" + "\nrare" * (i < 6) for i in range(20)]
+
+
+def test_copies_count_once_when_joined_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "BROADCAST_COPIES", 0)
+    pages = [f"<div><h2>Slogan</h2><p>Text {i}</p></div>" for i in range(6) for _ in range(3)]
+    assert texts(spark, pages) == [f"Text {i}" for i in range(6) for _ in range(3)]
+    assert texts(spark, pages[:12]) == [f"Slogan\nText {i}" for i in range(4) for _ in range(3)]
