@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binledger.llm import language, mixing, neardup, neighbours, packing, passages, quality, secrets, warc, wrappers
+from binledger.llm import (
+    codes, language, mixing, neardup, neighbours, packing, passages, periods, quality, secrets, toxicity, warc, wrappers,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +56,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_report(_read(spark, sf_dir, "documents"), tailed=True)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
 _QUERIES = (
     op1_language_id,
     op2_html_extraction,
@@ -65,6 +79,9 @@ _QUERIES = (
     op8_best_fit_packing,
     op9_substring_dedup,
     op10_quality_rules,
+    op11_toxicity,
+    op12_periodic_runs,
+    op13_vector_codes,
 )
 
 
@@ -73,4 +90,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": neardup.CHECK_SQL, "op4_warc_capture_index": warc.CHECK_SQL, "op6_mixing_sources": mixing.CHECK_SQL}
+    return {
+        "op3_minhash_near_dedup": neardup.CHECK_SQL,
+        "op4_warc_capture_index": warc.CHECK_SQL,
+        "op6_mixing_sources": mixing.CHECK_SQL,
+        "op12_periodic_runs": periods.CHECK_SQL,
+        "op13_vector_codes": codes.CHECK_SQL,
+    }
