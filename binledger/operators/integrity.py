@@ -191,14 +191,32 @@ def cascade_delete(t: Tables, header: str, ids: DataFrame) -> dict[str, DataFram
     }
 
 
-def ledger_chain_check(log: DataFrame, span: int = CHUNK_ROWS) -> DataFrame:
-    """Log rows that do not add up, or do not start where their slot's last row ended."""
-    slot = ["product_id", "warehouse_id", "location_id"]
-    chained = previous_value(
-        log.select("transaction_id", *slot, "qty_change", "qty_before", "qty_after"),
-        slot, "transaction_id", "qty_after", "previous_after", span,
-    )
+_SLOT = ("product_id", "warehouse_id", "location_id")
+
+
+def ledger_chain_check(log: DataFrame, span: int = CHUNK_ROWS, carried: DataFrame | None = None) -> DataFrame:
+    """Log rows that do not add up, or do not start where their slot's last row ended.
+
+    With ``carried``, the last balances of a log checked before (``ledger_balances``), ``log`` is what came after it
+    and nothing older is read.
+    """
+    rows = log.select("transaction_id", *_SLOT, "qty_change", "qty_before", "qty_after").withColumn("__old", F.lit(False))
+    if carried is not None:
+        ends = carried.select(
+            "transaction_id", *_SLOT, F.lit(None).alias("qty_change"), F.lit(None).alias("qty_before"), "qty_after"
+        )
+        rows = rows.unionAll(ends.withColumn("__old", F.lit(True)))
+    chained = previous_value(rows, [*_SLOT], "transaction_id", "qty_after", "previous_after", span)
     fault = F.when(
         F.col("qty_before") + F.col("qty_change") != F.col("qty_after"), "ARITHMETIC"
     ).when(F.col("previous_after") != F.col("qty_before"), "CHAIN")
-    return chained.withColumn("fault", fault).where(F.col("fault").isNotNull())
+    return chained.where(~F.col("__old")).drop("__old").withColumn("fault", fault).where(F.col("fault").isNotNull())
+
+
+def ledger_balances(log: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Each slot's last log row and balance: of ``carried`` balances and the log rows that came after them."""
+    rows = log.select(*_SLOT, "transaction_id", "qty_after")
+    if carried is not None:
+        rows = rows.unionByName(carried)
+    last = rows.groupBy(*_SLOT).agg(F.max(F.struct("transaction_id", "qty_after")).alias("last"))
+    return last.select(*_SLOT, "last.transaction_id", "last.qty_after")

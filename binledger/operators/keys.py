@@ -34,16 +34,28 @@ def assign_surrogate_keys(
     return given.unionByName(filled)
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str, now: Column) -> DataFrame:
-    """Replace or add rows by key; rows that differ get ``updated_at = now``.
+def upsert(
+    base: DataFrame, changes: DataFrame, key: str, now: Column, order: str | None = None, deleted: str | None = None
+) -> DataFrame:
+    """Merge changes into rows by key; rows that differ get ``updated_at = now``.
 
-    ``changes`` holds the key and the columns to set. Other columns keep their value.
+    ``changes`` holds the key and the columns to set. Other columns keep their value. Of several changes of one key
+    the one with the highest ``order`` counts, of equal ones the greatest by its values; without ``order`` a repeated key is an
+    error, as is a NULL key, and no row is ever multiplied. A change marked in the boolean column ``deleted`` takes the row away, or adds none.
+    The changes are reduced by the key they are joined on, so that costs no shuffle of its own.
     """
-    values = [c for c in changes.columns if c != key]
-    renamed = changes.select(
-        F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in values]
+    values = [c for c in changes.columns if c not in (key, order, deleted)]
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    ranked = F.struct(*([F.col(order).alias("__order")] if order else []), gone.alias("__gone"), *[F.col(c).alias(f"__{c}") for c in values])
+    newest = changes.groupBy(key).agg(F.max(ranked).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"a change without {key}")).cast("bigint"))
+    if order is None:
+        text = F.concat(F.lit(f"several changes of {key} "), F.col(key).cast("string"), F.lit(" and no order"))
+        checked = checked.when(F.col("__n") > 1, F.raise_error(text).cast("bigint"))
+    renamed = newest.select(
+        F.coalesce(checked, F.col(key)).alias("__key"), "__row.__gone", *[F.col(f"__row.__{c}").alias(f"__{c}") for c in values]
     ).withColumn("__given", F.lit(True))
-    joined = base.join(renamed, base[key] == renamed["__key"], "full")
+    joined = base.join(renamed, base[key] == renamed["__key"], "full").where(~F.coalesce("__gone", F.lit(False)))
     differs = F.lit(False)
     for c in values:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"__{c}"))

@@ -1,7 +1,8 @@
 """Keyed look-ups: equality on a few columns, newest or oldest first where dated.
 
-Each is a pushed-down filter. Tables laid out by these columns (the log is
-partitioned by transaction type) also skip files.
+Each is a pushed-down filter. Tables laid out by these columns also skip files: the log lies in folders by
+type and month, and where it is read with its ``transaction_month`` (``Snapshots.log_months``) a date
+range also asks for its months, so that other folders aren't read.
 """
 
 from __future__ import annotations
@@ -65,9 +66,12 @@ def lookup(
     for key, value in zip(path.keys, values, strict=True):
         rows = rows.where(F.col(key) == value)
     if path.date is None:
-        return rows
-    if start is not None:
-        rows = rows.where(F.col(path.date) >= F.lit(start))
-    if end is not None:
-        rows = rows.where(F.col(path.date) < F.lit(end))
-    return rows.orderBy(path.date)
+        return rows.drop("transaction_month")
+    for bound, test in ((start, F.col(path.date) >= F.lit(start)), (end, F.col(path.date) < F.lit(end))):
+        if bound is None:
+            continue
+        rows = rows.where(test)
+        if "transaction_month" in rows.columns:
+            month = F.date_format(F.lit(bound).cast("timestamp"), "yyyy-MM")
+            rows = rows.where(F.col("transaction_month") >= month if bound is start else F.col("transaction_month") <= month)
+    return rows.drop("transaction_month").orderBy(path.date)

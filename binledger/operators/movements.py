@@ -2,15 +2,8 @@
 
 A movement touches slots and order lines of one product only, so products are
 independent of each other. Within a product the order of ``seq`` decides: a
-rejected movement leaves no trace for the later ones.
-
-All movements are first decided by bounds: running sums, cut into chunks, give the
-lowest and highest balance a movement can meet whatever happens to the undecided
-ones before it. Where both bounds agree the movement is decided, which narrows the
-bounds of others, so this is repeated while it settles a fair share. What stays undecided
-hangs together in order through the slots and lines it touches; it is dealt by connected
-slots and folded. There is one route for all sizes, so a product that holds a third
-of all movements is no single task.
+rejected movement leaves no trace for the later ones. ``deciding`` folds products in parallel and
+cuts those with very many movements in time.
 
 ``seq`` has to be given and unique: movements without one, and all that share one, are
 rejected as MALFORMED.
@@ -25,32 +18,24 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from binledger import schemas
-from binledger.functions import fold
-from binledger.functions.components import connected_components
-from binledger.functions.fold import CODE, FIELDS, KINDS, REASONS, fold_sorted
+from binledger.functions.fold import CODE, FIELDS, KINDS, REASONS
 from binledger.functions.scan import (
     CHUNK_ROWS,
     id_levels,
     number_rows,
     running_sums,
 )
+from binledger.operators import deciding
+from binledger.operators.deciding import kind_is
 from binledger.operators.keys import highest
 from binledger.session import cut
+from binledger.sources.snapshots import DECISIONS, Snapshots, touched_buckets
 from binledger.sources.tables import Tables, write_tables
 
-# The helper travels with the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(fold)
-
-#: Bounds are tightened again while a round settles at least this share of the undecided.
-SETTLES = 0.1
-_SLOT = ["product_id", "warehouse_id", "location_id"]
-
 
 def _milli(column: str) -> Column:
     return (F.col(column) * 1000).cast("bigint")
@@ -110,10 +95,13 @@ def _with_flag(df: DataFrame, keys: dict[str, str], parent: DataFrame, flag: str
     marked = parent.select(
         *[F.col(p).alias(f"__p_{p}") for p in keys.values()], F.lit(True).alias(flag)
     )
+    # NULL would send all of them to one task; spread keys may match anything, but nobody asks for the flag of a NULL.
+    spread = {c: F.coalesce(c, -F.col("seq") - 1) if c != "cmd" else F.col(c) for c in keys}
+    df = df.withColumns({f"__k_{c}": value for c, value in spread.items()})
     same = reduce(
-        lambda a, b: a & b, (F.col(c) == F.col(f"__p_{p}") for c, p in keys.items())
+        lambda a, b: a & b, (F.col(f"__k_{c}") == F.col(f"__p_{p}") for c, p in keys.items())
     )
-    joined = df.join(marked, same, "left").drop(*[f"__p_{p}" for p in keys.values()])
+    joined = df.join(marked, same, "left").drop(*[f"__p_{p}" for p in keys.values()], *[f"__k_{c}" for c in keys])
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
@@ -132,9 +120,7 @@ def _with_document_flag(c: DataFrame, commands: DataFrame, t: Tables) -> DataFra
             t["shipment"].select(F.lit("SHIP").alias("cmd"), F.col("shipment_id").alias("header_id"))
         )
     )
-    # NULL would send all of them to one task; the spread keys match nothing.
-    c = c.withColumn("__header", F.coalesce("header_id", -F.col("seq") - 1))
-    return _with_flag(c, {"cmd": "cmd", "__header": "header_id"}, documents, "header_ok")
+    return _with_flag(c, {"cmd": "cmd", "header_id": "header_id"}, documents, "header_ok")
 
 
 def prepare(commands: DataFrame, t: Tables, faulty: Column | None = None) -> DataFrame:
@@ -146,7 +132,7 @@ def prepare(commands: DataFrame, t: Tables, faulty: Column | None = None) -> Dat
     that are malformed for reasons of their own.
     """
     faulty = F.lit(False) if faulty is None else faulty
-    kinds = F.create_map(*[x for i, k in enumerate(KINDS[1:], 1) for x in (F.lit(k), F.lit(i))])
+    kinds = F.create_map(*[x for i, k in enumerate(KINDS[1:5], 1) for x in (F.lit(k), F.lit(i))])
     on_line = F.col("cmd").isin("RECEIVE", "SHIP")
     c = commands.withColumns(
         {
@@ -238,51 +224,6 @@ def prepare(commands: DataFrame, t: Tables, faulty: Column | None = None) -> Dat
     )
 
 
-def _as_rows(opening: DataFrame, like: T.StructType) -> DataFrame:
-    """Opening balances in the shape of prepared commands."""
-    given = {
-        "seq": F.lit(-1),
-        "cmd": F.lit("OPEN"),
-        "product_id": F.col("product_id"),
-        "src_wh": F.col("warehouse_id"),
-        "src_loc": F.col("location_id"),
-        "src_on_hand": _milli("qty_on_hand"),
-        "src_reserved": _milli("qty_reserved"),
-        **{n: F.lit(-1) for n in ("line", "dst_wh", "dst_loc")},
-    }
-    return opening.select(
-        *[
-            given.get(f.name, F.lit(0 if f.name in FIELDS else None)).cast(f.dataType).alias(f.name)
-            for f in like.fields
-        ]
-    )
-
-
-_DECISION = [
-    T.StructField("code", T.LongType()),
-    T.StructField("src_before", T.LongType()),
-    T.StructField("dst_before", T.LongType()),
-]
-
-
-def _fold(rows: DataFrame) -> DataFrame:
-    ordered = rows.repartition("product_id").sortWithinPartitions("product_id", "seq")
-    return ordered.mapInArrow(fold_sorted, T.StructType([*rows.schema.fields, *_DECISION]))
-
-
-# -- deciding by bounds ------------------------------------------------------------
-
-_ACCEPTED, _REJECTED, _UNDECIDED = 0, 1, 2
-
-
-def _is(status: int) -> Column:
-    return F.col("status") == status
-
-
-def _kind(*names: str) -> Column:
-    return F.col("kind").isin(*[KINDS.index(n) for n in names])
-
-
 def _counted(condition: Column, value: Column) -> Column:
     return F.when(condition, value).otherwise(F.lit(0)).cast("bigint")
 
@@ -301,190 +242,29 @@ def _legs(rows: DataFrame) -> DataFrame:
 
     q = F.col("milli")
     signed = (
-        F.when(_kind("OPEN"), F.col("src_on_hand")).when(_kind("SHIP", "TRANSFER"), -q).otherwise(q)
+        F.when(kind_is("OPEN"), F.col("src_on_hand")).when(kind_is("SHIP", "TRANSFER"), -q).otherwise(q)
     )
-    source = leg(0, "src_wh", "src_loc", signed, _counted(_kind("SHIP"), q))
+    source = leg(0, "src_wh", "src_loc", signed, _counted(kind_is("SHIP"), q))
     target = leg(1, "dst_wh", "dst_loc", q, F.lit(0))
-    pairs = F.when(_kind("TRANSFER"), F.array(source, target)).otherwise(F.array(source))
+    pairs = F.when(kind_is("TRANSFER"), F.array(source, target)).otherwise(F.array(source))
     return rows.select("*", F.explode(pairs).alias("__leg")).select(*rows.columns, "__leg.*")
 
 
-_BALANCES = (
-    "settled", "may_fall", "may_rise", "settled_shipped", "may_ship", "at_start", "opened", "exists",
-)
-
-
-def _with_balances(rows: DataFrame, opening: DataFrame, span: int) -> DataFrame:
-    """Commands as legs, with what lies before each: settled sums and possible ones."""
-    on_line = rows.where(_kind("RECEIVE", "SHIP"))
-    q = F.col("milli")
-    sums = {"line_settled": _counted(_is(_ACCEPTED), q), "line_may": _counted(_is(_UNDECIDED), q)}
-    lines = running_sums(on_line, ["cmd", "line"], ["seq"], sums, span=span).withColumns(
-        {name: F.col(name) - own for name, own in sums.items()}
-    )
-    others = rows.where(~_kind("RECEIVE", "SHIP")).withColumns(
-        {name: F.lit(0).cast("bigint") for name in sums}
-    )
-    both = lines.unionByName(others)
-    start = _as_rows(opening, rows.drop("status").schema).withColumns(
-        {"status": F.lit(_ACCEPTED), **{name: F.lit(0).cast("bigint") for name in sums}}
-    )
-    legs = _legs(both.unionByName(start))
-    change, shipped = F.col("change"), F.col("shipped")
-    own = {
-        "settled": _counted(_is(_ACCEPTED), change),
-        "may_fall": _counted(_is(_UNDECIDED) & (change < 0), change),
-        "may_rise": _counted(_is(_UNDECIDED) & (change > 0), change),
-        "settled_shipped": _counted(_is(_ACCEPTED), shipped),
-        "may_ship": _counted(_is(_UNDECIDED), shipped),
-        "at_start": _counted(_kind("OPEN"), F.col("src_reserved")),
-        "opened": _counted(_kind("OPEN"), F.lit(1)),
-        "exists": _counted(_is(_ACCEPTED) & ((change > 0) | _kind("OPEN")), F.lit(1)),
-    }
-    scanned = running_sums(
-        legs, ["product_id", "wh", "loc"], ["seq", "leg"], own, span=span
-    )
-    return scanned.withColumns({n: F.col(n) - own[n] for n in _BALANCES}).where(~_kind("OPEN"))
-
-
-def _reserved(shipped: Column) -> Column:
-    return F.greatest(F.lit(0), F.col("at_start") - shipped)
-
-
-def _bounded(legs: DataFrame) -> DataFrame:
-    """Settle the undecided commands whose lower and upper balance give one answer."""
-    q, change = F.col("milli"), F.col("change")
-    low, high = F.col("settled") + F.col("may_fall"), F.col("settled") + F.col("may_rise")
-    reserved_high = _reserved(F.col("settled_shipped"))
-    reserved_low = _reserved(F.col("settled_shipped") + F.col("may_ship"))
-    line_low = F.col("line_done") + F.col("line_settled") + q
-    line_high = line_low + F.col("line_may")
-    on_line, ship = _kind("RECEIVE", "SHIP"), _kind("SHIP")
-    creatable = (F.col("opened") > 0) | (F.col("may_create") > 0)
-    fits_line = ~on_line | (line_high <= F.col("line_ordered"))
-    breaks_line = on_line & (line_low > F.col("line_ordered"))
-    has_stock = (
-        F.when(change > 0, creatable)
-        .when(ship, low + change >= 0)
-        .otherwise(low + change >= reserved_high)
-    )
-    lacks_stock = (
-        F.when(change > 0, ~creatable)
-        .when(ship, high + change < 0)
-        .otherwise((high + change < 0) | (high + change < reserved_low))
-    )
-    settled = (
-        F.when(breaks_line | lacks_stock, F.lit(_REJECTED))
-        .when(fits_line & has_stock, F.lit(_ACCEPTED))
-        .otherwise(F.lit(_UNDECIDED))
-    )
-    return legs.where(F.col("leg") == 0).withColumn(
-        "status", F.when(_is(_UNDECIDED), settled).otherwise(F.col("status"))
-    )
-
-
-def _connected(undecided: DataFrame) -> DataFrame:
-    """The undecided with a key that slots and lines coupled by them share, in place of the product."""
-
-    def slot(wh: str, loc: str) -> Column:
-        return F.concat_ws("/", "product_id", wh, loc)
-
-    own = slot("src_wh", "src_loc")
-    far = F.when(_kind("TRANSFER"), slot("dst_wh", "dst_loc")).otherwise(F.concat_ws("/", F.lit("line"), "kind", "line"))
-    coupled = undecided.where(_kind("TRANSFER", "RECEIVE", "SHIP"))
-    roots = connected_components(coupled.select(own.alias("u"), far.alias("v")))
-    roots = roots.select(F.col("node").alias("__slot"), "root")
-    keyed = undecided.withColumn("__slot", own).join(roots, "__slot", "left")
-    return keyed.withColumn("product_id", F.xxhash64(F.coalesce("root", "__slot"))).select(*undecided.columns)
-
-
-def _decide(prepared: DataFrame, inventory: DataFrame, span: int) -> DataFrame:
-    products = prepared.select("product_id").distinct()
-    opening = cut(inventory.join(products, "product_id", "left_semi"), "movement-opening")
-    faulty = (F.col("early") > 0) | (F.col("middle") > 0) | (F.col("late") > 0)
-    rows = prepared.withColumn(
-        "status", F.when(faulty, F.lit(_REJECTED)).otherwise(F.lit(_UNDECIDED))
-    )
-    columns = rows.columns
-    left, before = None, None
-    while left is None or left and (before is None or left <= (1 - SETTLES) * before):
-        rows = cut(
-            _bounded(_with_balances(rows, opening, span)).select(*columns), "movement-bounds"
-        )
-        before, left = left, rows.where(_is(_UNDECIDED)).count()
-    if left:
-        legs = _with_balances(rows, opening, span).where(F.col("leg") == 0)
-        undecided = legs.where(_is(_UNDECIDED)).withColumns(
-            {
-                "src_on_hand": F.col("settled"),
-                "src_shipped": F.col("settled_shipped"),
-                "src_reserved": F.col("at_start"),
-                "src_exists": (F.col("exists") > 0).cast("bigint"),
-                "line_done": F.col("line_done") + F.col("line_settled"),
-            }
-        )
-        undecided = cut(undecided.select(*prepared.columns), "movement-undecided")
-        decided = _fold(_connected(undecided)).select(
-            "seq", F.when(F.col("code") == 0, _ACCEPTED).otherwise(_REJECTED).alias("folded")
-        )
-        rows = cut(
-            rows.join(decided, "seq", "left")
-            .withColumn("status", F.coalesce("folded", "status"))
-            .select(*columns),
-            "movement-final",
-        )
-    return _explained(_with_balances(rows, opening, span)).select(
-        *prepared.columns, "code", "src_before", "dst_before"
-    )
-
-
-def _explained(legs: DataFrame) -> DataFrame:
-    """Settled commands with their code and the balances before them."""
-    q, change, before = F.col("milli"), F.col("change"), F.col("settled")
-    after = before + change
-    done = F.col("line_done") + F.col("line_settled")
-    reserved = _reserved(
-        F.col("settled_shipped") + _counted(_kind("SHIP"), q)
-    )
-    missing = F.col("exists") == 0
-    code = (
-        F.when(F.col("early") > 0, F.col("early"))
-        .when(
-            _kind("RECEIVE", "SHIP") & (done + q > F.col("line_ordered")),
-            F.lit(CODE["EXCEEDS_OUTSTANDING"]),
-        )
-        .when(F.col("middle") > 0, F.col("middle"))
-        .when(missing & (change < 0), F.lit(CODE["NO_INVENTORY_ROW"]))
-        .when(missing & (F.col("may_create") == 0), F.lit(CODE["UNKNOWN_REFERENCE"]))
-        .when(after < 0, F.lit(CODE["INSUFFICIENT_STOCK"]))
-        .when(reserved > after, F.lit(CODE["BELOW_RESERVED"]))
-        .otherwise(F.col("late"))
-        .cast("bigint")
-    )
-    sources = legs.where(F.col("leg") == 0).withColumns({"code": code, "src_before": before})
-    targets = legs.where((F.col("leg") == 1) & _is(_ACCEPTED)).select(
-        "seq", before.alias("dst_before")
-    )
-    moved = sources.where(_kind("TRANSFER") & _is(_ACCEPTED)).join(targets, "seq")
-    rest = sources.where(~(_kind("TRANSFER") & _is(_ACCEPTED)))
-    return moved.unionByName(rest.withColumn("dst_before", F.lit(0).cast("bigint")))
-
-
 # -- the operator ------------------------------------------------------------------
 
 
-def outcomes(commands: DataFrame, t: Tables, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def outcomes(commands: DataFrame, t: Tables, chunk_rows: int = deciding.CHUNK_ROWS) -> DataFrame:
     """Decide every command: ``code`` 0 or a reject reason, and the balances before it.
 
-    Commands, prepared commands and every round of bounds are written to the shared
-    folder. ``chunk_rows`` is the span of a scan's chunk.
+    Commands, prepared commands and every round of decisions are written to the shared
+    folder. ``chunk_rows`` is the least size of a stretch, see ``deciding``.
     """
     commands = cut(commands, "movement-commands")
     again = commands.groupBy("seq").count().where("count > 1").select(F.col("seq").alias("__again"))
     marked = commands.join(again, F.col("seq") == F.col("__again"), "left")
     faulty = F.col("seq").isNull() | F.col("__again").isNotNull()
     prepared = cut(prepare(marked, t, faulty), "movement-prepared")
-    return _decide(prepared, t["inventory"], chunk_rows)
+    return deciding.decide(prepared, t["inventory"], chunk_rows)
 
 
 def reason_name() -> Column:
@@ -524,14 +304,14 @@ class Replay:
         Receipts, shipments and transfers each count on from the highest id in use.
         """
         t = self.tables
-        opens = _kind("RECEIVE", "SHIP", "TRANSFER") & F.col("header_id").isNull()
+        opens = kind_is("RECEIVE", "SHIP", "TRANSFER") & F.col("header_id").isNull()
         counted = self._numbered(
             self.accepted().withColumn("opens", opens), ["seq"], "nth", ["cmd", "opens"]
         )
         base = (
-            F.when(_kind("RECEIVE"), highest(t["goods_receipt"], "receipt_id"))
-            .when(_kind("SHIP"), highest(t["shipment"], "shipment_id"))
-            .when(_kind("TRANSFER"), highest(t["stock_transfer"], "transfer_id"))
+            F.when(kind_is("RECEIVE"), highest(t["goods_receipt"], "receipt_id"))
+            .when(kind_is("SHIP"), highest(t["shipment"], "shipment_id"))
+            .when(kind_is("TRANSFER"), highest(t["stock_transfer"], "transfer_id"))
         )
         named = cut(
             counted.withColumn(
@@ -540,8 +320,8 @@ class Replay:
             ),
             "movement-counted",
         )
-        moved = named.where(_kind("TRANSFER"))
-        rest = named.where(~_kind("TRANSFER")).withColumn(
+        moved = named.where(kind_is("TRANSFER"))
+        rest = named.where(~kind_is("TRANSFER")).withColumn(
             "transfer_number", F.lit(None).cast("string")
         )
         return cut(
@@ -614,10 +394,10 @@ class Replay:
 
         single = leg(
             0,
-            F.when(_kind("RECEIVE"), "RECEIPT").when(_kind("SHIP"), "ISSUE").otherwise("ADJUSTMENT"),
-            "src_wh", "src_loc", F.when(_kind("SHIP"), -q).otherwise(q), "src_before",
-            F.when(_kind("RECEIVE"), F.concat(F.lit("Receipt for PO "), "order_number"))
-            .when(_kind("SHIP"), F.concat(F.lit("Shipment for SO "), "order_number"))
+            F.when(kind_is("RECEIVE"), "RECEIPT").when(kind_is("SHIP"), "ISSUE").otherwise("ADJUSTMENT"),
+            "src_wh", "src_loc", F.when(kind_is("SHIP"), -q).otherwise(q), "src_before",
+            F.when(kind_is("RECEIVE"), F.concat(F.lit("Receipt for PO "), "order_number"))
+            .when(kind_is("SHIP"), F.concat(F.lit("Shipment for SO "), "order_number"))
             .otherwise(F.col("notes")),
         )
         out = leg(0, F.lit("TRANSFER_OUT"), "src_wh", "src_loc", -q, "src_before",
@@ -628,7 +408,7 @@ class Replay:
             self.documents.select(
                 "seq", "product_id", "kind", "document_id", "employee_id", "reason_code",
                 F.explode(
-                    F.when(_kind("TRANSFER"), F.array(out, into)).otherwise(F.array(single))
+                    F.when(kind_is("TRANSFER"), F.array(out, into)).otherwise(F.array(single))
                 ).alias("entry"),
             )
             .select("*", "entry.*")
@@ -641,9 +421,9 @@ class Replay:
             _quantity("change").alias("qty_change"),
             _quantity("before").alias("qty_before"),
             _quantity(F.col("before") + F.col("change")).alias("qty_after"),
-            F.when(_kind("RECEIVE"), "GOODS_RECEIPT")
-            .when(_kind("SHIP"), "SHIPMENT")
-            .when(_kind("TRANSFER"), "TRANSFER")
+            F.when(kind_is("RECEIVE"), "GOODS_RECEIPT")
+            .when(kind_is("SHIP"), "SHIPMENT")
+            .when(kind_is("TRANSFER"), "TRANSFER")
             .otherwise(F.coalesce("reason_code", F.lit("MANUAL_ADJUSTMENT")))
             .alias("reference_type"),
             F.col("document_id").alias("reference_id"),
@@ -825,7 +605,7 @@ class Replay:
 
     def stock_transfer(self) -> DataFrame:
         return (
-            self.documents.where(_kind("TRANSFER"))
+            self.documents.where(kind_is("TRANSFER"))
             .select(
                 F.col("document_id").alias("transfer_id"),
                 "transfer_number",
@@ -898,3 +678,35 @@ def write_replay(result: Replay, folder: str) -> None:
     """
     write_tables(next_tables(result), folder)
     result.rejects().write.mode("overwrite").parquet(f"{folder}/rejects")
+
+
+def commit_replay(result: Replay, store: Snapshots, batch: str | None = None) -> int:
+    """Make a replay the store's next version: changed buckets, added documents, log rows and decisions.
+
+    The replay must have been read from the current version. A table no accepted command touches is not written.
+    ``batch`` names the version; a batch that has been committed before is left alone.
+    """
+    done = store.version_of(batch) if batch is not None else None
+    if done is not None:
+        return done
+    accepted = result.accepted()
+    received, shipped = accepted.where(kind_is("RECEIVE")), accepted.where(kind_is("SHIP"))
+    buckets = touched_buckets({
+        "inventory": accepted.select("product_id"),
+        "po_line": received.select("line_id"), "purchase_order": received.select("order_id"),
+        "so_line": shipped.select("line_id"), "sales_order": shipped.select("order_id"),
+    })
+    opened = {
+        "goods_receipt": buckets["po_line"], "goods_receipt_line": buckets["po_line"],
+        "shipment": buckets["so_line"], "shipment_line": buckets["so_line"],
+    }
+    changed = {name: (getattr(result, name)(), own) for name, own in buckets.items() if own}
+    moved = accepted.where(kind_is("TRANSFER")).isEmpty()
+    names = [n for n in _APPENDED if (opened[n] if n in opened else not moved)]
+    added = {name: getattr(result, name)() for name in names}
+    if buckets["inventory"]:
+        added["stock_transaction"] = result.ledger()
+    added[DECISIONS] = result.outcomes.select(
+        "seq", "cmd", "code", reason_name().alias("reason"), "src_before", "dst_before", F.lit(batch).cast("string").alias("batch")
+    )
+    return store.commit(changed, added, batch)

@@ -14,7 +14,9 @@ from binledger.operators import integrity, keys, lookups, movements, picking, re
 from binledger.plans.portable import portable
 from binledger.session import cut, ensure_checkpoint_dir
 from binledger.sources import tables as loading
+from binledger.sources.snapshots import DECISIONS, Snapshots
 from binledger.sources.testdata import DerivedTables, UncleanTables
+from binledger.streaming import movements as streaming
 
 AS_OF = "1998-07-01"
 NOW = "2002-01-01 00:00:00"
@@ -82,22 +84,81 @@ def _outcomes(t: DerivedTables) -> DataFrame:
 
 
 def _replayed_twice(t: DerivedTables) -> DataFrame:
-    """Half the script replayed and written, the rest replayed on the snapshot read back."""
+    """Half the script replayed and committed, the rest replayed on the version read back."""
     script = cut(t.movement_command, "script")
-    half = script.agg((F.max("seq") / 2).cast("bigint").alias("half"))
-    parts = script.crossJoin(F.broadcast(half))  # one row
-    first = movements.replay(parts.where("seq <= half").drop("half"), t, F.lit(NOW).cast("timestamp"))
-    folder = f"{ensure_checkpoint_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
-    movements.write_replay(first, folder)
-    rest = movements.outcomes(parts.where("seq > half").drop("half"), loading.load_tables(t.spark, folder))
-    columns = ("seq", "cmd", "code", "src_before")
-    decided = first.outcomes.select(*columns).unionAll(rest.select(*columns))
-    return decided.select(
+    half = script.agg((F.max("seq") / 2).cast("bigint")).scalar()
+    store = _new_store(t)
+    now = F.lit(NOW).cast("timestamp")
+    for part in (script.where(F.col("seq") <= half), script.where(F.col("seq") > half)):
+        movements.commit_replay(movements.replay(part, store.load(), now), store)
+    return _decisions(store)
+
+
+def _new_store(t: DerivedTables) -> Snapshots:
+    store = Snapshots(t.spark, f"{ensure_checkpoint_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    store.create(t)
+    return store
+
+
+def _decisions(store: Snapshots) -> DataFrame:
+    return store.load()[DECISIONS].select(
+        "seq", "cmd", F.col("reason").alias("outcome"),
+        F.when(F.col("code") == 0, F.col("src_before") / 1000).alias("qty_before"),
+    )
+
+
+def _streamed(t: DerivedTables) -> Snapshots:
+    """The script as a stream in three runs, each picking up at the checkpoint of the one before."""
+    script, store = cut(t.movement_command, "script"), _new_store(t)
+    top = script.agg(F.max("seq")).scalar()
+    source, now = f"{store.folder}/arriving", F.lit(NOW).cast("timestamp")
+    for i in range(3):
+        part = script.where((F.col("seq") * 3 > top * i) & (F.col("seq") * 3 <= top * (i + 1)))
+        part.write.mode("append").parquet(source)
+        commands = t.spark.readStream.schema(script.schema).parquet(source)
+        streaming.start(commands, store, "script", f"{store.folder}/checkpoint", now).awaitTermination()
+    return store
+
+
+def _streamed_ledger(t: DerivedTables) -> DataFrame:
+    store = _streamed(t)
+    top = t["stock_transaction"].agg(F.max("transaction_id")).scalar()
+    return store.load()["stock_transaction"].where(F.col("transaction_id") > top).select(
+        "transaction_id", "product_id", "warehouse_id", "location_id", "transaction_type", "qty_change", "qty_before",
+        "qty_after", "reference_type", "reference_id", "employee_id", "notes",
+    )
+
+
+def _hot_outcomes(t: DerivedTables) -> DataFrame:
+    return movements.outcomes(t.hot_command, t).select(
         "seq", "cmd", movements.reason_name().alias("outcome"),
         F.when(F.col("code") == 0, F.col("src_before") / 1000).alias("qty_before"),
     )
 
 
+def _chain_in_halves(t: DerivedTables) -> DataFrame:
+    """The altered log checked in two parts, the second from the balances carried over from the first."""
+    log = _altered(t["stock_transaction"])
+    half = log.agg((F.max("transaction_id") / 2).cast("bigint")).scalar()
+    old, new = log.where(F.col("transaction_id") <= half), log.where(F.col("transaction_id") > half)
+    carried = integrity.ledger_balances(old)
+    return integrity.ledger_chain_check(old).unionAll(integrity.ledger_chain_check(new, carried=carried))
+
+
+def _merged(t: DerivedTables) -> DataFrame:
+    """Three numbered changes of every product; the last deletes every seventh, and every tenth is a new product."""
+    key = F.col("product_id")
+    product = t["product"]
+    numbers = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("change_number")
+    changes = product.select("product_id", "category_id", "sku", numbers).select(
+        F.when(key % 10 == 3, key + (1 << 40)).otherwise(key).alias("product_id"), "category_id", "sku",
+        F.col("change_number").cast("decimal(12,2)").alias("unit_price"), "change_number",
+        ((F.col("change_number") == 3) & (key % 7 == 0)).alias("gone"),
+    )
+    merged = keys.upsert(product, changes, "product_id", F.lit(NOW).cast("timestamp"), "change_number", "gone")
+    return merged.select("product_id", "category_id", "sku", "unit_price", "updated_at")
+
+
 def _inbound_ledger(t: DerivedTables) -> DataFrame:
     result = movements.replay(
         t.inbound_command, t, F.lit(NOW).cast("timestamp")
@@ -122,8 +183,8 @@ def _altered(log: DataFrame) -> DataFrame:
 #: Headers asked to be deleted, for each of the five that cascade to lines.
 ASKED = {
     "purchase_order": "status IN ('CANCELLED', 'RECEIVED')",
-    "sales_order": "so_id % 3 <> 0",
-    "goods_receipt": "receipt_id % 5 = 0",
+    "sales_order": "status <> 'SHIPPED'",
+    "goods_receipt": "reason_code = 'STANDARD'",
     "shipment": "status = 'PENDING'",
     "stock_transfer": "status = 'CANCELLED'",
 }
@@ -395,14 +456,19 @@ def queries() -> dict[str, Query]:
         "q_ledger_chain_check": _on(
             lambda t: integrity.ledger_chain_check(_altered(t["stock_transaction"]))
         ),
+        "q_ledger_chain_carried": _on(_chain_in_halves),
         # keys
+        "q_upsert_repeated_keys": _on(_merged),
         "q_assign_surrogate_keys": _on(_keyed),
         "q_touch_updated_at": _on(_upserted),
         "q_resolve_natural_keys": _on(_resolved),
         "q_header_totals": _on(_totals),
         # movements
         "q_movement_outcomes": _on(_outcomes),
+        "q_movement_hot": _on(_hot_outcomes),
         "q_replay_twice": _on(_replayed_twice),
+        "q_stream_equals_batch": _on(lambda t: _decisions(_streamed(t))),
+        "q_stream_ledger": _on(_streamed_ledger),
         "q_movement_ledger": _on(_movement_ledger),
         "q_movement_inventory": _on(_movement_inventory),
         "q_movement_order_status": _on(_status_changes),

@@ -837,6 +837,9 @@ def _movements() -> dict[str, str]:
                        AND i.warehouse_id = c.warehouse_id AND i.location_id = c.location_id)""",
         ),
     }
+    cols["q_stream_equals_batch"] = cols["q_movement_outcomes"]
+    ledger, body = cols["q_movement_ledger"]
+    cols["q_stream_ledger"] = (" ".join(c for c in ledger.split() if c not in ("seq", "leg")), body)
     return {name: _shown(columns, body) for name, (columns, body) in cols.items()}
 
 
@@ -1073,8 +1076,9 @@ def statements() -> dict[str, str]:
                 SELECT 'sales_order', so_id, EXISTS (FROM w_shipment r WHERE r.so_id = a.so_id)
                        OR so_id IN (SELECT so_id FROM w_so_line WHERE so_line_id IN
                                     (SELECT so_line_id FROM w_shipment_line))
-                FROM w_sales_order a WHERE so_id % 3 IN (1, 2)
-                UNION ALL SELECT 'goods_receipt', receipt_id, FALSE FROM w_goods_receipt WHERE receipt_id % 5 = 0
+                FROM w_sales_order a WHERE status <> 'SHIPPED'
+                UNION ALL SELECT 'goods_receipt', receipt_id, FALSE FROM w_goods_receipt
+                          WHERE reason_code = 'STANDARD'
                 UNION ALL SELECT 'shipment', shipment_id, FALSE FROM w_shipment WHERE status = 'PENDING'
                 UNION ALL SELECT 'stock_transfer', transfer_id, FALSE FROM w_stock_transfer
                           WHERE status = 'CANCELLED'),
@@ -1102,6 +1106,17 @@ def statements() -> dict[str, str]:
                         FROM w_stock_transaction))
             WHERE fault IS NOT NULL""",
         ),
+        "q_upsert_repeated_keys": _shown(
+            "product_id category_id sku unit_price updated_at",
+            f"""
+            SELECT product_id, category_id, sku, CASE WHEN product_id % 10 = 3 THEN unit_price ELSE 3 END AS unit_price,
+                   CASE WHEN product_id % 10 = 3 OR unit_price IS NOT DISTINCT FROM 3 THEN updated_at
+                        ELSE TIMESTAMP '{NOW}' END AS updated_at
+            FROM w_product WHERE product_id % 10 = 3 OR product_id % 7 <> 0
+            UNION ALL
+            SELECT product_id + 1099511627776, category_id, sku, 3, TIMESTAMP '{NOW}'
+            FROM w_product WHERE product_id % 10 = 3 AND product_id % 7 <> 0""",
+        ),
         "q_assign_surrogate_keys": _shown(
             "load_position receipt_id",
             """
@@ -1149,4 +1164,5 @@ def statements() -> dict[str, str]:
             FROM w_sales_order h LEFT JOIN w_so_line l ON l.so_id = h.so_id GROUP BY h.so_id""",
         ),
     }
+    found["q_ledger_chain_carried"] = found["q_ledger_chain_check"]
     return {**found, **_integrity(), **_movements(), **_lookups()}

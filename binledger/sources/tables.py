@@ -23,6 +23,16 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: load(name) for name in schemas.TABLE_DDL}
 
 
+def laid_out_log(log: DataFrame) -> DataFrame:
+    """The log with ``transaction_month``, dealt and sorted by type, month and warehouse.
+
+    Tasks hold neighbouring ranges, so there are hardly more files than tasks and folders together.
+    """
+    split = ["transaction_type", "transaction_month", "warehouse_id"]
+    log = log.withColumn("transaction_month", F.date_format("transaction_date", "yyyy-MM"))
+    return log.repartitionByRange(*split, "transaction_date").sortWithinPartitions(*split, "transaction_date")
+
+
 def write_tables(tables: Tables, folder: str) -> None:
     """Write each table as a new parquet snapshot.
 
@@ -33,9 +43,7 @@ def write_tables(tables: Tables, folder: str) -> None:
         table = tables[name]
         if name == "stock_transaction":
             split = ["transaction_type", "transaction_month"]
-            table = table.withColumn("transaction_month", F.date_format("transaction_date", "yyyy-MM"))
-            table = table.sortWithinPartitions(*split, "warehouse_id", "transaction_date")
-            table.write.mode("overwrite").partitionBy(*split).parquet(f"{folder}/{name}")
+            laid_out_log(table).write.mode("overwrite").partitionBy(*split).parquet(f"{folder}/{name}")
         else:
             table.write.mode("overwrite").parquet(f"{folder}/{name}")
 

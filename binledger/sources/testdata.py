@@ -610,6 +610,24 @@ class DerivedTables:
         signed = F.when(F.col("cmd") == "ADJUST", -quantity).otherwise(quantity)
         return self._movements(cmd, F.when(F.col("l_orderkey") % 97 == 0, 0).otherwise(signed))
 
+    @cached_property
+    def hot_command(self) -> DataFrame:
+        """The script with a third of it on one product: adjustments up and down and transfers, near zero stock."""
+        seq, hot = F.col("seq"), F.col("seq") % 3 == 0
+        turn = whole_quotient(seq, 3)
+        warehouse, row = turn % 5, whole_quotient(turn, 5) % 5 * 5
+        transfer = hot & (seq % 12 == 0)
+        script = self.movement_command
+        size = F.abs("qty")
+        given = {
+            "cmd": F.when(transfer, "TRANSFER").otherwise("ADJUST"),
+            "line_id": F.lit(None), "product_id": F.lit(1), "warehouse_id": warehouse, "location_id": warehouse + row,
+            "to_warehouse_id": F.when(transfer, (warehouse + 1) % 5), "to_location_id": F.when(transfer, (warehouse + 1) % 5 + row),
+            "qty": F.when(~transfer & (turn % 2 == 1), -size).otherwise(size), "employee_id": F.lit(1),
+        }
+        kinds = {f.name: f.dataType for f in script.schema}
+        return script.withColumns({c: F.when(hot, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in given.items()})
+
     @cached_property
     def inbound_command(self) -> DataFrame:
         """Found-stock adjustments only: none can be rejected."""

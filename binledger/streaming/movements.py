@@ -1,117 +1,41 @@
-"""Stock movements decided as they arrive.
+"""Stock movements applied as they arrive.
 
-State is kept per product: what accepted movements have changed in its slots and
-order lines. Opening balances come from the inventory and line snapshots, which
-are joined as static tables and must stay as they are while the query's checkpoint
-lives. Within a micro-batch movements are taken in ``seq`` order; across batches
-in order of arrival, so there is no watermark. The rows of one product in one
-micro-batch meet in one task: bound the batch (``maxFilesPerTrigger``) for products
-that move very often.
+Every micro-batch is a replay on the store's current version and is committed as the next one: decisions,
+ledger, documents, inventory and order status together. The version carries the batch's number, so a batch
+that was committed before a failure is not applied again when the stream restarts, and one that was not leaves
+nothing that anyone reads. Within a micro-batch movements are taken in ``seq`` order; across batches
+in order of arrival, so there is no watermark. ``seq`` has to be unique within a micro-batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from binledger.functions import fold
-from binledger.functions.fold import FIELDS, ProductState
-from binledger.operators.movements import prepare, reason_name
-from binledger.sources.tables import Tables
-
-cloudpickle.register_pickle_by_value(fold)
-
-_STATE = ", ".join(
-    f"{name} ARRAY<BIGINT>"
-    for name in ("wh", "loc", "change", "shipped", "exists", "kind", "line", "done")
-)
-_PASSED = ("seq", "product_id", "src_wh", "src_loc", "dst_wh", "dst_loc", "milli")
-_RESULT = ", ".join(f"{n} BIGINT" for n in (*_PASSED, "code", "src_before", "dst_before"))
-
+from pyspark.sql.streaming import StreamingQuery
 
-def _advance(key: tuple, frames: Iterable[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-    state = ProductState()
-    if group.exists:
-        wh, loc, change, shipped, exists, kind, line, done = group.get
-        state.slots = {
-            (w, b): [c, s, 0, e]
-            for w, b, c, s, e in zip(wh, loc, change, shipped, exists, strict=True)
-        }
-        state.lines = {(k, n): d for k, n, d in zip(kind, line, done, strict=True)}
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
-    decided = [state.apply(*row) for row in zip(*[rows[f].tolist() for f in FIELDS], strict=True)]
-    slots = [(*k, v[0], v[1], v[3]) for k, v in state.slots.items()]
-    lines = [(*k, v) for k, v in state.lines.items()]
-    if slots or lines:  # a product nothing was accepted for needs no state
-        group.update(
-            tuple([int(s[i]) for s in slots] for i in range(5))
-            + tuple([int(n[i]) for n in lines] for i in range(3))
-        )
-    result = rows[list(_PASSED)].reset_index(drop=True)
-    result[["code", "src_before", "dst_before"]] = decided
-    yield result
+from binledger.operators import movements
+from binledger.sources.snapshots import Snapshots
 
 
-def _with_opening(prepared: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Bring each command the snapshot balances of its slots."""
+def apply_batch(commands: DataFrame, store: Snapshots, batch: str, now: Column | None = None) -> int:
+    """Replay commands on the current version and commit them, unless ``batch`` has been committed."""
+    done = store.version_of(batch)
+    if done is not None:
+        return done
+    return movements.commit_replay(movements.replay(commands, store.load(), now), store, batch)
 
-    def slots(side: str) -> DataFrame:
-        return inventory.select(
-            F.col("product_id").alias("__p"),
-            F.col("warehouse_id").alias("__w"),
-            F.col("location_id").alias("__b"),
-            (F.col("qty_on_hand") * 1000).cast("bigint").alias(f"__{side}_hand"),
-            (F.col("qty_reserved") * 1000).cast("bigint").alias(f"__{side}_held"),
-        )
 
-    def at(side: str):
-        return (
-            (F.col("product_id") == F.col("__p"))
-            & (F.col(f"{side}_wh") == F.col("__w"))
-            & (F.col(f"{side}_loc") == F.col("__b"))
-        )
+def start(commands: DataFrame, store: Snapshots, name: str, checkpoint: str, now: Column | None = None, **trigger) -> StreamingQuery:
+    """Apply a stream of commands to a store. ``name`` tells the batches of this stream from those of others.
 
-    for side in ("src", "dst"):
-        prepared = prepared.join(slots(side), at(side), "left").drop("__p", "__w", "__b")
-    zero = F.lit(0).cast("bigint")
-    return prepared.withColumns(
-        {
-            "src_on_hand": F.coalesce("__src_hand", zero),
-            "src_reserved": F.coalesce("__src_held", zero),
-            "src_exists": F.col("__src_hand").isNotNull().cast("bigint"),
-            "dst_on_hand": F.coalesce("__dst_hand", zero),
-        }
-    )
-
-
-def stream_outcomes(commands: DataFrame, t: Tables) -> DataFrame:
-    """The decision on every command of a stream, with the balances before it."""
-    rows = _with_opening(prepare(commands, t), t["inventory"])
-    return (
-        rows.select("seq", "product_id", *FIELDS)
-        .groupBy("product_id")
-        .applyInPandasWithState(
-            _advance,
-            T.StructType.fromDDL(_RESULT),
-            T.StructType.fromDDL(_STATE),
-            "append",
-            "NoTimeout",
-        )
-        .withColumn("outcome", reason_name())
-    )
+    ``checkpoint`` and ``name`` belong together: a new checkpoint counts batches from 0 again and needs a new name.
+    """
 
+    def each(batch: DataFrame, number: int) -> None:
+        apply_batch(batch, Snapshots(batch.sparkSession, store.folder), f"{name}/{number}", now)
 
-def start(decided: DataFrame, folder: str, checkpoint: str, **trigger):
-    """Append decisions to parquet; rejects and ledger entries are told by ``outcome``."""
     return (
-        decided.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", folder)
+        commands.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

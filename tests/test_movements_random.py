@@ -150,11 +150,21 @@ def test_folded(spark, case, seeded):
         assert moved.get(slot, 0) == hand - START.get(slot, [0])[0]
 
 
-@pytest.mark.parametrize("settles", [0.01, 1.0])
-def test_small_chunks(case, seeded, settles, monkeypatch):
-    monkeypatch.setattr(movements, "SETTLES", settles)
+@pytest.mark.parametrize("chunk_rows", [8, 64])
+def test_stretches(case, seeded, chunk_rows):
     commands, verdicts, _ = case
-    assert names(movements.outcomes(commands, seeded, chunk_rows=64)) == verdicts
+    decided = movements.outcomes(commands, seeded, chunk_rows=chunk_rows).cache()
+    assert names(decided) == verdicts
+    whole = movements.outcomes(commands, seeded)
+    columns = ("seq", "code", "src_before", "dst_before")
+    assert sorted(decided.select(*columns).collect()) == sorted(whole.select(*columns).collect())
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_stretches_of_a_product_near_zero(spark, seeded, seed):
+    rows = [{**r, "product_id": 1} if "product_id" in r else r for r in batch(seed, 400)]
+    commands = spark.createDataFrame([tuple(r.get(c) for c in COLUMNS) for r in rows], schemas.movement_schema())
+    assert names(movements.outcomes(commands, seeded, chunk_rows=5)) == model(rows)[0]
 
 
 def test_repeated_and_missing_positions_are_rejected(spark, seeded):

@@ -40,11 +40,15 @@ def rows_by_name(columns, rows):
     return sorted(picked, key=lambda r: [(v is None, str(type(v)), v if v is not None else 0) for v in r])
 
 
+#: Step by step in SQL takes as many rounds as one product has commands; test_movements_hot compares it with a model.
+UNCHECKED = {"q_movement_hot"}
+
+
 def test_every_query_has_a_check():
-    assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) - set(CHECKS) == UNCHECKED
 
 
-@pytest.mark.parametrize("name", chosen())
+@pytest.mark.parametrize("name", [q for q in chosen() if q not in UNCHECKED])
 def test_query(spark, duck, sf_dir, name):
     frame = QUERIES[name](spark, sf_dir)
     cursor = duck.execute(CHECKS[name])
