@@ -2,8 +2,7 @@
 
 A movement touches slots and order lines of one product, so products are independent of each other and
 most are folded in one go, dealt by product. A product with more than its share of the
-commands is cut in time: its stretches lie between quantiles of ``seq`` over the whole batch, so none
-has more than a share either, wherever its commands crowd.
+commands is cut in time, between quantiles of its own ``seq``, into as many stretches as it has shares.
 
 All stretches are folded at once, each from openings that are guessed at first. A folded stretch
 is a function of its openings, known near the one it was folded from: a slot or line that turned nothing down moves by
@@ -11,7 +10,8 @@ the same amount from nearby openings too, and one that did has met its limit, so
 functions, shifts and constants, are composed along each slot and line by prefix windows, which gives the next openings;
 stretches whose openings change are folded again. When none changes, every stretch was folded from
 exactly what the one before ended with, which is the sequential result. The functions only speed this up: the first stretch
-with a wrong opening gets its right one in the next round, so the loop ends, at worst after as many rounds as stretches.
+with a wrong opening gets its right one in the next round, so the loop ends, at worst after as many rounds as stretches:
+that is what a product takes whose slots are all near zero and coupled by transfers, where every decision hangs on the one before.
 
 Every round writes its decisions to the shared folder. The driver holds numbers of stretches and of rounds, at most
 two for each of ``STRETCHES``.
@@ -31,8 +31,8 @@ from binledger.session import cut
 # The helper travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(fold)
 
-#: A batch is cut into so many stretches at most, of about CHUNK_ROWS commands at least.
-STRETCHES = 128
+#: A share is this part of all commands, or CHUNK_ROWS commands if that is more.
+STRETCHES = 32
 CHUNK_ROWS = 1 << 14
 _KEY = ["product_id", "kind", "a", "b"]
 _DECISION = ["code", "src_before", "dst_before"]
@@ -163,16 +163,22 @@ def _with_stretches(prepared: DataFrame, chunk_rows: int) -> tuple[DataFrame, li
     """``prepared`` with ``chunk`` (-1 where the product is folded whole), and the products that are cut."""
     n = prepared.count()
     pieces = max(1, min(STRETCHES, n // chunk_rows))
-    heavy = []
+    heavy = {}
     if pieces > 1:
         counts = prepared.groupBy("product_id").count().where(F.col("count") > n / pieces)
-        heavy = [r["product_id"] for r in counts.collect()]  # fewer than pieces
+        heavy = {r["product_id"]: r["count"] for r in counts.collect()}  # fewer than pieces
     if not heavy:
-        return prepared.withColumn("chunk", F.lit(-1)), heavy
-    ends = prepared.approxQuantile("seq", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    ends = F.array(*[F.lit(int(e)) for e in sorted(set(ends)) or [0]])
-    at = F.coalesce(F.size(F.filter(ends, lambda e: e < F.col("seq"))), F.lit(0))
-    return prepared.withColumn("chunk", F.when(F.col("product_id").isin(heavy), at).otherwise(-1)), heavy
+        return prepared.withColumn("chunk", F.lit(-1)), []
+    own = prepared.where(F.col("product_id").isin(list(heavy))).groupBy("product_id")
+    places = own.agg(F.percentile_approx("seq", [i / pieces for i in range(1, pieces)], 100 * pieces).alias("places")).collect()
+    ends = []
+    for product, at in ((r["product_id"], r["places"] or []) for r in places):
+        shares = -(-heavy[product] * pieces // n)
+        ends.append((product, sorted({at[-(-i * len(at) // shares)] for i in range(1, shares)} if at else set())))
+    cuts = F.broadcast(prepared.sparkSession.createDataFrame(ends, "product_id bigint, ends array<bigint>"))  # fewer than pieces
+    after = F.coalesce(F.size(F.filter("ends", lambda e: e < F.col("seq"))), F.lit(0))
+    rows = prepared.join(cuts, "product_id", "left")
+    return rows.select(*prepared.columns, F.when(F.col("ends").isNull(), -1).otherwise(after).alias("chunk")), list(heavy)
 
 
 def decide(prepared: DataFrame, inventory: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -30,7 +30,8 @@ LOG = "stock_transaction"
 BUCKET_KEY = {
     "inventory": "product_id", "po_line": "po_line_id", "so_line": "so_line_id", "purchase_order": "po_id", "sales_order": "so_id",
 }
-BUCKETS = 64
+#: Buckets of a table. A store keeps the number it was created with; more than 32 folders a table are listed by a job.
+BUCKETS = 16
 #: What a store holds besides the stock tables: the decision on every command.
 DECISIONS = "movement_decision"
 DECISION_DDL = "seq BIGINT, cmd STRING, code BIGINT, reason STRING, src_before BIGINT, dst_before BIGINT, batch STRING"

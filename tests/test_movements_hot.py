@@ -29,7 +29,7 @@ def test_hot_product_is_cut_and_decided_in_order(derived, monkeypatch):
     monkeypatch.setattr(deciding, "_folded", counted)
     decided = movements.outcomes(derived.hot_command, derived, chunk_rows=200).where("product_id = 1").cache()
     n = derived.hot_command.count()
-    assert n > 5000 and len(stretches) > 20 and max(stretches.values()) < 0.05 * n
+    assert n > 5000 and len(stretches) > 8 and max(stretches.values()) < 0.05 * n
 
     hand = {k: v[0] for k, v in slots_of(derived, 1).items()}
     got = {r.seq: (r.code == 0, r.src_before) for r in decided.where("kind IN (3, 4) AND early = 0 AND middle = 0 AND late = 0").collect()}
