@@ -2,7 +2,8 @@
 
 A page becomes nodes ``(key, children)`` of block elements; text between block borders is a slot
 ``Text``. Inline elements leave only their text (that of links is counted apart); scripts, styles,
-comments and the head leave nothing. Missing and stray end tags are mended as browsers do.
+comments and the head leave nothing. Missing and stray end tags are mended as browsers do. Elements nested deeper than
+``MAX_DEPTH`` leave their text to the deepest one kept, in order.
 
 A *pattern* is a tree of items. Each item says whether it is optional and whether it repeats, and is an element
 (key and items), a group of items, or a text slot with counts. ``merge`` aligns two patterns
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
@@ -24,11 +26,12 @@ _NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 
 #: Names of HTML elements.
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td"
     " tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("script style noscript template head title iframe object svg textarea math canvas audio video".split())
+DROPPED = frozenset("script style noscript template title iframe object svg textarea canvas audio video".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta html head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: An opening key closes these open elements, up to the nearest element of the third column.
@@ -40,7 +43,11 @@ _CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-_IN_P = frozenset("dd dt li td th tr tbody thead tfoot caption body html option".split())
+_IN_P = frozenset("button dd dt li td th tr tbody thead tfoot caption body html option".split())
+
+
+#: Trees are no deeper; all walks over them are recursive.
+MAX_DEPTH = 200
 
 
 @dataclass
@@ -64,18 +71,20 @@ def _key(tag: str, attributes: str) -> str:
 def parse(source: str) -> Node:
     """The tree of a page. Never fails: any text has a tree."""
     root = Node("#", "#")
-    stack, buffer, links, in_link, skip = [root], [], 0, 0, None
+    stack, buffer, links, in_link, skip, in_head = [root], [], 0, 0, None, False
+    open_tags: Counter = Counter()
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(buffer)).split())
         if text:
-            stack[-1].children.append(Text(text, links))
+            stack[min(len(stack), MAX_DEPTH) - 1].children.append(Text(text, links))
         buffer.clear()
         links = 0
 
     def close(upto: int) -> None:
         flush()
+        open_tags.subtract(node.tag for node in stack[upto:])
         del stack[upto:]
 
     at, lowered = 0, None
@@ -84,24 +93,25 @@ def parse(source: str) -> Node:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             text = m[0]
-            if skip is None and not (text.startswith(("<!", "<?"))):
+            if skip is None and not (text.startswith(("<!", "<?"))) and not (in_head and text.isspace()):
+                in_head = False
                 buffer.append(text)
                 links += in_link * len(text)
             continue
         end = bool(m[1] or m[4])
+        empty = tag == "svg" and m[0].endswith("/>")
         if skip is not None:  # inside a dropped element
-            if tag == skip[0]:
+            if tag == skip[0] and not empty:
                 skip = (tag, skip[1] + (-1 if end else 1))
                 if skip[1] == 0:
                     skip = None
-            elif not end and tag == "body" and skip[0] == "head":
-                skip = None
-            if skip is not None:
-                continue
-            if end:
-                continue
+            continue
+        if tag == "head":
+            in_head = not end
+        elif in_head and not end and tag not in _IN_HEAD and tag not in DROPPED:
+            in_head = False  # the first element that can't stand in a head ends it
         if tag in DROPPED:
-            if not end:
+            if not end and not empty:
                 if tag in RAW:  # what follows is no markup up to the end tag
                     lowered = source.lower() if lowered is None else lowered
                     stop = lowered.find(f"</{tag}", at)
@@ -115,7 +125,7 @@ def parse(source: str) -> Node:
                 buffer.append(" " if tag == "br" else "")
             continue
         if end:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
@@ -139,9 +149,11 @@ def parse(source: str) -> Node:
                     close(i)
                     break
         node = Node(tag, _key(tag, m[3] or m[6] or ""))
-        stack[-1].children.append(node)
+        if len(stack) < MAX_DEPTH:
+            stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
+            open_tags[tag] += 1
     flush()
     return root
 

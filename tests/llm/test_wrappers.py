@@ -1,7 +1,7 @@
 import html as escapes
 import re
 
-from binledger.llm import catalog, wrappers
+from binledger.llm import catalog, markup, wrappers
 from binledger.llm.markup import align, fold, merge, parse, pattern, shape
 
 
@@ -115,3 +115,33 @@ def test_copies_count_once_when_joined_without_broadcast(spark, monkeypatch):
     pages = [f"<div><h2>Slogan</h2><p>Text {i}</p></div>" for i in range(6) for _ in range(3)]
     assert texts(spark, pages) == [f"Text {i}" for i in range(6) for _ in range(3)]
     assert texts(spark, pages[:12]) == [f"Slogan\nText {i}" for i in range(4) for _ in range(3)]
+
+
+def texts_of(node):
+    return [t for c in node.children for t in ([c.text] if isinstance(c, markup.Text) else texts_of(c))]
+
+
+def test_deep_pages_keep_their_text_in_order(spark):
+    html = "<article>" + "".join(f"<div>a{i} " for i in range(3000)) + "".join(f"b{i}</div> " for i in range(3000)) + "</article>after"
+    words = " ".join(texts_of(markup.parse(html))).split()
+    assert words == [f"a{i}" for i in range(3000)] + [f"b{i}" for i in range(3000)] + ["after"]
+    docs = spark.createDataFrame([(1, "http://h/x", html), (2, "http://h/y", "<div>" * 1500 + "text")], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split() for r in wrappers.main_texts(docs).collect()}
+    assert got[1] == words[:-1] and got[2] == ["text"]
+
+
+def test_optional_tags_and_foreign_elements():
+    def words(html):
+        return " ".join(texts_of(markup.parse(html)))
+
+    assert words("<html><head><title>T</title><article><p>Body text</p></article>") == "Body text"
+    assert words("<head><meta x><script>'<div>'</script><style>p</style><body>x") == "x"
+    assert words("<head><title>T</title> </head><p>x") == "x"
+    assert words("<article>a <svg class=i/> b <svg><svg/><g>no</g></svg> c</article>") == "a b c"
+    assert words("<p>for <math><mi>x</mi></math> holds") == "for x holds"
+
+
+def test_buttons_are_no_text(spark):
+    html = "<article><p>One <button>Subscribe</button></p><p>Two</p></article>"
+    docs = spark.createDataFrame([(1, "http://h/x", html)], "page_id long, url string, html string")
+    assert wrappers.main_texts(docs).first().text == "One\nTwo"
