@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
@@ -72,7 +71,7 @@ def parse(source: str) -> Node:
     """The tree of a page. Never fails: any text has a tree."""
     root = Node("#", "#")
     stack, buffer, links, in_link, skip, in_head = [root], [], 0, 0, None, False
-    open_tags: Counter = Counter()
+    open_tags: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal links
@@ -84,7 +83,8 @@ def parse(source: str) -> Node:
 
     def close(upto: int) -> None:
         flush()
-        open_tags.subtract(node.tag for node in stack[upto:])
+        for node in stack[upto:]:
+            open_tags[node.tag] -= 1
         del stack[upto:]
 
     at, lowered = 0, None
@@ -125,7 +125,7 @@ def parse(source: str) -> Node:
                 buffer.append(" " if tag == "br" else "")
             continue
         if end:
-            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
+            for i in range(len(stack) - 1, 0, -1) if open_tags.get(tag) else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
@@ -153,7 +153,7 @@ def parse(source: str) -> Node:
             stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
-            open_tags[tag] += 1
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     return root
 
