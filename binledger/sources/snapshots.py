@@ -14,7 +14,8 @@ applied again, so a job that commits by batch may be repeated after any failure.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -32,6 +33,8 @@ BUCKET_KEY = {
 }
 #: Buckets of a table. A store keeps the number it was created with; more than 32 folders a table are listed by a job.
 BUCKETS = 16
+#: Tables written at the same time; their jobs share the cluster.
+WRITERS = 6
 #: What a store holds besides the stock tables: the decision on every command.
 DECISIONS = "movement_decision"
 DECISION_DDL = "seq BIGINT, cmd STRING, code BIGINT, reason STRING, src_before BIGINT, dst_before BIGINT, batch STRING"
@@ -123,12 +126,11 @@ class Snapshots:
 
     def create(self, tables: Tables, batch: str | None = None) -> int:
         """Write whole tables as the next version, without decisions yet."""
-        parts: dict[str, list[tuple[int, str]]] = {}
-        for name in (*schemas.TABLE_DDL, DECISIONS):
+        def place(name: str) -> list[tuple[int, str]]:
             rows = self.spark.createDataFrame([], DECISION_DDL) if name == DECISIONS else tables[name]
-            rows = rows.select(*schema_of(name).fieldNames())
-            parts[name] = self._placed(name, rows, range(BUCKETS))
-        return self._commit(self.current() + 1, parts, batch)
+            return self._placed(name, rows.select(*schema_of(name).fieldNames()), range(BUCKETS))
+
+        return self._commit(self.current() + 1, _at_once(place, [*schemas.TABLE_DDL, DECISIONS]), batch)
 
     def _placed(self, table: str, rows: DataFrame, buckets) -> list[tuple[int, str]]:
         path = self._write(table, rows)
@@ -150,15 +152,17 @@ class Snapshots:
             return done
         version = self.current()
         parts = self.parts(version)
-        for name, (rows, buckets) in changed.items():
-            if not buckets:
-                continue
-            fresh = rows.select(*schema_of(name).fieldNames()).where(bucket_of(name).isin(buckets))
-            kept = [(b, p) for b, p in parts.get(name, []) if b not in set(buckets)]
-            parts[name] = kept + self._placed(name, fresh, buckets)
-        for name, rows in added.items():
-            parts[name] = [*parts.get(name, []), *self._placed(name, rows.select(*schema_of(name).fieldNames()), [])]
-        return self._commit(version + 1, parts, batch)
+
+        def place(name: str) -> list[tuple[int, str]]:
+            columns, held = schema_of(name).fieldNames(), parts.get(name, [])
+            if name in added:
+                return [*held, *self._placed(name, added[name].select(*columns), [])]
+            rows, buckets = changed[name]
+            fresh = rows.select(*columns).where(bucket_of(name).isin(buckets))
+            return [(b, p) for b, p in held if b not in set(buckets)] + self._placed(name, fresh, buckets)
+
+        written = [*(name for name, (_, buckets) in changed.items() if buckets), *added]
+        return self._commit(version + 1, parts | _at_once(place, written), batch)
 
     def compact(self, table: str) -> int:
         """The next version with the folders of a growing table rewritten as one."""
@@ -168,6 +172,11 @@ class Snapshots:
         return self._commit(self.current() + 1, parts, None)
 
 
+def _at_once(place: Callable[[str], list], names: list[str]) -> dict[str, list]:
+    with ThreadPoolExecutor(WRITERS) as pool:
+        return dict(zip(names, pool.map(place, names), strict=True))
+
+
 def touched_buckets(keys: Mapping[str, DataFrame]) -> dict[str, list[int]]:
     """For each table the buckets of some keys, in one job."""
     each = [
