@@ -12,7 +12,9 @@
   runs over short mismatches. Chains that agree in too few words are parted at their widest gaps, and each part is extended
   to both sides.
 * **Passages.** A document's aligned stretches, on either side of a link, are united; those of
-  ``MIN_WORDS`` words or more are its repeated passages. A passage whose parts have different anchors is thus found whole.
+  ``MIN_WORDS`` words or more are its repeated passages. A passage whose parts have different anchors is thus found whole,
+  however short the parts; only then are short results left out. Where every seed of a passage lies in
+  pieces that other documents hold, up to ``WINDOW`` - 1 words before the first or after the last piece may stay out.
 
 Defined results: null, empty and short texts hold no passage; rows without doc_id take no part; rows that repeat a doc_id are one document
 and no repeat of each other; repeats inside one document alone don't count; an empty table gives no rows.
@@ -32,8 +34,9 @@ from binledger.session import cut
 
 K, WINDOW = 8, 12
 MIN_WORDS = 50
-#: Stretches shorter than this say nothing; stretches this near to each other are one.
-MIN_STRETCH, JOIN_GAP = 12, 3
+#: Stretches this near to each other are one. A wider gap inside a passage of two documents holds WINDOW k-mers
+#: or more that touch it, hence a seed of its own.
+JOIN_GAP = WINDOW - K
 GAP_COST = 0.05
 MIN_IDENTITY = 0.6
 _PAD, _STEP = 48, 64
@@ -312,9 +315,8 @@ def _laid(piece: pa.RecordBatch) -> pa.RecordBatch:
             continue
         for a, b, c, d, same in aligned(x, y, xs[good], ys[good]):
             for own, s, e, other in ((doc, a + lo, b + lo, anchor), (anchor, c + anchor_lo, d + anchor_lo, doc)):
-                if e - s >= MIN_STRETCH:
-                    for name, value in zip(out, (own, s, e, other, same)):
-                        out[name].append(value)
+                for name, value in zip(out, (own, s, e, other, same)):
+                    out[name].append(value)
     return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
 

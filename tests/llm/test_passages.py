@@ -126,3 +126,22 @@ def test_later_copies_inside_the_first_document_are_found(spark):
     for d, marks in want.items():
         assert not (marks & ~got[d]).any(), d
     assert not got[31].any()
+
+
+def test_passages_whose_pieces_have_other_anchors_are_found_whole(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40_000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    pieces, wholes = [], []
+    for _ in range(150):
+        passage = text(60)
+        cuts = [0, *sorted(rng.sample(range(9, 52), rng.choice((2, 3)))), 60]
+        pieces += [text(30) + passage[a:b] + text(30) for a, b in zip(cuts, cuts[1:])]
+        wholes += [text(rng.randint(5, 40)) + passage + text(rng.randint(5, 40)) for _ in range(2)]
+    rows = [(d, " ".join(w)) for d, w in enumerate(pieces + wholes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got, want = marked(passages.repeated_passages(docs).collect(), rows), covered(rows, 50)
+    whole = [d for d, m in want.items() if m.sum() == 60]
+    missed = [int((want[d] & ~got[d]).sum()) for d in whole]
+    assert len(whole) >= 300 and max(missed) < passages.WINDOW
+    assert all(not m.any() for d, m in got.items() if not want[d].any())
