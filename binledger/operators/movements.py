@@ -41,7 +41,7 @@ def _milli(column: str) -> Column:
     return (F.col(column) * 1000).cast("bigint")
 
 
-def _quantity(column: str | Column) -> Column:
+def quantity(column: str | Column) -> Column:
     value = F.col(column) if isinstance(column, str) else column
     return (value.cast("decimal(18,0)") / F.lit(1000)).cast("decimal(12,3)")
 
@@ -418,9 +418,9 @@ class Replay:
         return numbered.select(
             (top + F.col("position")).alias("transaction_id"),
             "product_id", "warehouse_id", "location_id", "transaction_type",
-            _quantity("change").alias("qty_change"),
-            _quantity("before").alias("qty_before"),
-            _quantity(F.col("before") + F.col("change")).alias("qty_after"),
+            quantity("change").alias("qty_change"),
+            quantity("before").alias("qty_before"),
+            quantity(F.col("before") + F.col("change")).alias("qty_after"),
             F.when(kind_is("RECEIVE"), "GOODS_RECEIPT")
             .when(kind_is("SHIP"), "SHIPMENT")
             .when(kind_is("TRANSFER"), "TRANSFER")
@@ -434,14 +434,17 @@ class Replay:
 
     # -- state --
 
-    def inventory(self) -> DataFrame:
-        """The whole inventory after the batch; new slots in the order they came up."""
-        legs = _legs(self.accepted())
-        changes = legs.groupBy("product_id", "wh", "loc").agg(
+    def slot_changes(self) -> DataFrame:
+        """What the batch adds to each slot it touches, in thousandths, and its first command there."""
+        return _legs(self.accepted()).groupBy("product_id", "wh", "loc").agg(
             F.sum("change").alias("change"),
             F.sum("shipped").alias("shipped"),
             F.min("seq").alias("seq"),
         )
+
+    def inventory(self) -> DataFrame:
+        """The whole inventory after the batch; new slots in the order they came up."""
+        changes = self.slot_changes()
         old = self.tables["inventory"]
         joined = old.join(
             changes.withColumnRenamed("product_id", "__product"),
@@ -452,9 +455,9 @@ class Replay:
         )
         touched = F.col("seq").isNotNull()
         zero = F.lit(0)
-        new_hand = F.coalesce("qty_on_hand", zero) + F.coalesce(_quantity("change"), zero)
+        new_hand = F.coalesce("qty_on_hand", zero) + F.coalesce(quantity("change"), zero)
         new_reserved = F.greatest(
-            zero, F.coalesce("qty_reserved", zero) - F.coalesce(_quantity("shipped"), zero)
+            zero, F.coalesce("qty_reserved", zero) - F.coalesce(quantity("shipped"), zero)
         )
         state = joined.select(
             "inventory_id",
@@ -486,7 +489,7 @@ class Replay:
             .agg(F.sum("milli").alias("__moved"))
         )
         columns = schemas.table_schema(table).fieldNames()
-        total = F.col(done) + F.coalesce(_quantity("__moved"), F.lit(0))
+        total = F.col(done) + F.coalesce(quantity("__moved"), F.lit(0))
         return (
             self.tables[table]
             .join(moved, key, "left")

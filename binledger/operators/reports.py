@@ -19,21 +19,31 @@ PAGE_LINES = 10_000
 
 
 def dashboard_metrics(t: Tables, as_of: str | Column | None = None) -> DataFrame:
-    """One row of headline figures; sums over nothing are 0.
+    """One row of headline figures; sums over nothing are 0."""
+    count = F.count(F.lit(1))
+    return figures(
+        t,
+        views.stock_valuation(t),
+        views.low_stock(t).agg(count.alias("low_stock_count")),
+        views.pending_shipments(t).agg(count.alias("pending_shipments")),
+        views.overdue_purchase_orders(t, as_of).agg(count.alias("overdue_pos")),
+    )
+
+
+def figures(t: Tables, valuation: DataFrame, *others: DataFrame) -> DataFrame:
+    """Totals of a valuation, rows of one figure each, and what the dimensions count.
 
     Each figure is its own one-row aggregate; the rows are stacked and added up,
     so no figure waits for another and none is joined.
     """
     count = F.count(F.lit(1))
     parts = [
-        views.stock_valuation(t).agg(
+        valuation.agg(
             F.sum("total_cost_value").cast(VALUE).alias("total_cost_value"),
             F.sum("total_retail_value").cast(VALUE).alias("total_retail_value"),
             F.sum("total_units").cast(QTY).alias("total_units"),
         ),
-        views.low_stock(t).agg(count.alias("low_stock_count")),
-        views.pending_shipments(t).agg(count.alias("pending_shipments")),
-        views.overdue_purchase_orders(t, as_of).agg(count.alias("overdue_pos")),
+        *others,
         views.active(t["warehouse"]).agg(count.alias("warehouse_count")),
         views.active(t["product"]).agg(count.alias("product_count")),
     ]

@@ -60,14 +60,15 @@ def _stock_per_product(t: Tables) -> DataFrame:
     )
 
 
-def low_stock(t: Tables) -> DataFrame:
+def low_stock(t: Tables, per_product: DataFrame | None = None) -> DataFrame:
+    """Products short of stock in a warehouse; ``per_product`` takes totals kept elsewhere."""
     warehouses = active(t["warehouse"]).select("warehouse_id", "warehouse_code", "warehouse_name")
     products = active(t["product"]).select(
         "product_id", "sku", "product_name", "reorder_level"
     )
+    held = _stock_per_product(t) if per_product is None else per_product
     return (
-        _stock_per_product(t)
-        .join(warehouses, "warehouse_id")
+        held.join(warehouses, "warehouse_id")
         .join(products, "product_id")
         .where(F.col("total_on_hand") < F.col("reorder_level"))
         .select(
@@ -90,11 +91,11 @@ def _open_orders(t: Tables) -> DataFrame:
     return t["purchase_order"].where(F.col("status").isin(*OPEN_STATUSES))
 
 
-def open_purchase_orders(t: Tables) -> DataFrame:
+def open_purchase_orders(t: Tables, outstanding: DataFrame | None = None) -> DataFrame:
     """Orders still to be received. An order without lines does not appear."""
     return (
         _open_orders(t)
-        .join(_outstanding(t), "po_id")
+        .join(_outstanding(t) if outstanding is None else outstanding, "po_id")
         .join(t["supplier"].select("supplier_id", "supplier_name"), "supplier_id")
         .join(t["warehouse"].select("warehouse_id", "warehouse_code"), "warehouse_id")
         .select(
@@ -151,7 +152,7 @@ def pending_shipments(t: Tables) -> DataFrame:
     )
 
 
-def _day(as_of: str | Column | None) -> Column:
+def day_of(as_of: str | Column | None) -> Column:
     if as_of is None:
         return F.current_date()
     return F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
@@ -161,7 +162,7 @@ def overdue_purchase_orders(
     t: Tables, as_of: str | Column | None = None, ordered: bool = False
 ) -> DataFrame:
     """Open orders whose expected day lies before ``as_of`` (default: today)."""
-    day = _day(as_of)
+    day = day_of(as_of)
     late = (
         _open_orders(t)
         .where(F.col("expected_date") < day)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binledger import schemas
-from binledger.operators import integrity, keys, lookups, movements, picking, reports, views
+from binledger.operators import integrity, kept, keys, lookups, movements, picking, reports, views
 from binledger.plans.portable import portable
 from binledger.session import cut, ensure_checkpoint_dir
 from binledger.sources import tables as loading
@@ -94,6 +94,52 @@ def _replayed_twice(t: DerivedTables) -> DataFrame:
     return _decisions(store)
 
 
+def _kept_views(t: DerivedTables) -> DataFrame:
+    """Views of aggregates that two halves of the script moved on, each from what the store kept of the version before."""
+    script = cut(t.movement_command, "script")
+    half = script.agg((F.max("seq") / 2).cast("bigint")).scalar()
+    store, now = _new_store(t), F.lit(NOW).cast("timestamp")
+    held = kept.load(store)
+    for part in (script.where(F.col("seq") <= half), script.where(F.col("seq") > half)):
+        result = movements.replay(part, store.load(), now)
+        held = kept.save(kept.after_replay(held, result), store, movements.commit_replay(result, store))
+    after, empty = store.load(), F.lit(None)
+
+    def rows(view: str, df: DataFrame, place, item, count, quantity, cost=empty, retail=empty) -> DataFrame:
+        return df.select(
+            F.lit(view).alias("view"), place.alias("place"), item.alias("item"), count.cast("bigint").alias("number"),
+            quantity.cast("decimal(18,3)").alias("quantity"), cost.cast("decimal(24,5)").alias("cost"),
+            retail.cast("decimal(24,5)").alias("retail"),
+        )
+
+    low, to_come = kept.low_stock(held, after), kept.open_purchase_orders(held, after)
+    worth, figures = kept.stock_valuation(held, after), kept.dashboard_metrics(held, after, AS_OF)
+    c = F.col
+    totals = (c("total_units"), c("total_cost_value"), c("total_retail_value"))
+    return reduce(DataFrame.unionAll, [
+        rows("low stock", low, c("warehouse_code"), c("sku"), empty, c("total_on_hand")),
+        rows("to come", to_come, c("status"), c("po_number"), c("line_count"), c("qty_outstanding")),
+        rows("worth", worth, c("warehouse_code"), c("category_name"), c("product_count"), *totals),
+        rows("short", figures, empty, empty, c("low_stock_count"), *totals),
+        rows("late", figures, empty, empty, c("overdue_pos"), empty),
+        rows("on the way", figures, empty, empty, c("pending_shipments"), empty),
+    ])
+
+
+def _repriced(t: DerivedTables) -> DataFrame:
+    """Valuation after a change of products: prices, categories, reorder levels, and some no longer in use."""
+    key = F.col("product_id")
+    products = t["product"].withColumns({
+        "unit_price": (F.col("unit_price") + F.when(key % 2 == 0, 1).otherwise(0)).cast("decimal(12,2)"),
+        "category_id": F.when(key % 5 == 0, 1).otherwise(F.col("category_id")),
+        "reorder_level": F.when(key % 3 == 0, 9999).otherwise(F.col("reorder_level")).cast("decimal(10,3)"),
+        "is_active": F.when(key % 7 == 0, "N").otherwise("Y"),
+    })
+    stored = {name: cut(df, f"kept-{name}") for name, df in kept.compute(t).items()}
+    after = kept.after_products(stored, t, products)
+    return kept.dashboard_metrics(after, {**dict(t), "product": products}, AS_OF)
+
+
 def _new_store(t: DerivedTables) -> Snapshots:
     store = Snapshots(t.spark, f"{ensure_checkpoint_dir(t.spark)}/store-{uuid.uuid4().hex}")
     store.create(t)
@@ -457,6 +503,9 @@ def queries() -> dict[str, Query]:
             lambda t: integrity.ledger_chain_check(_altered(t["stock_transaction"]))
         ),
         "q_ledger_chain_carried": _on(_chain_in_halves),
+        # aggregates kept up to date
+        "q_kept_views": _on(_kept_views),
+        "q_kept_repriced": _on(_repriced),
         # keys
         "q_upsert_repeated_keys": _on(_merged),
         "q_assign_surrogate_keys": _on(_keyed),

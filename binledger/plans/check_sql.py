@@ -326,6 +326,40 @@ TABLES: dict[str, str] = {
         FROM w_documents WHERE cmd = 'TRANSFER'""",
 }
 
+# the tables a whole script changes, as they are after it
+AFTER: dict[str, str] = {
+    "w_after_inventory": """
+        SELECT product_id, warehouse_id, location_id, coalesce(qty_on_hand, 0) + coalesce(change, 0) AS qty_on_hand
+        FROM w_inventory FULL JOIN (SELECT product_id, warehouse_id, location_id, sum(change) AS change
+             FROM w_legs GROUP BY ALL) USING (product_id, warehouse_id, location_id)""",
+    "w_after_po_line": """
+        SELECT l.* REPLACE (qty_received + coalesce(qty, 0) AS qty_received)
+        FROM w_po_line l LEFT JOIN (SELECT line_id, sum(qty) AS qty FROM w_accepted WHERE cmd = 'RECEIVE' GROUP BY line_id)
+             ON line_id = po_line_id""",
+    "w_after_purchase_order": f"""
+        SELECT h.* REPLACE (CASE WHEN to_come IS NULL THEN status WHEN to_come = 0 THEN 'RECEIVED' ELSE 'PARTIAL' END AS status,
+                            CASE WHEN to_come IS NULL THEN updated_at ELSE TIMESTAMP '{NOW}' END AS updated_at)
+        FROM w_purchase_order h LEFT JOIN (
+             SELECT po_id AS moved, sum(qty_ordered - qty_received) AS to_come FROM w_after_po_line
+             WHERE po_id IN (SELECT order_id FROM w_accepted WHERE cmd = 'RECEIVE') GROUP BY po_id) ON moved = po_id""",
+    "w_after_shipment": f"""
+        SELECT shipment_id, so_id, status, shipment_number, ship_date, carrier, tracking_number, reason_code FROM w_shipment
+        UNION ALL SELECT document_id, order_id, 'PENDING', NULL, DATE '{NOW[:10]}', NULL, NULL, 'STANDARD'
+                  FROM w_documents WHERE cmd = 'SHIP'""",
+    "w_after_shipment_line": """
+        SELECT shipment_id, qty_shipped FROM w_shipment_line
+        UNION ALL SELECT document_id, qty FROM w_documents WHERE cmd = 'SHIP'""",
+}
+
+REPRICED = {
+    "w_after_product": """
+        SELECT * REPLACE (CASE WHEN product_id % 2 = 0 THEN unit_price + 1 ELSE unit_price END AS unit_price,
+                          CASE WHEN product_id % 5 = 0 THEN 1 ELSE category_id END AS category_id,
+                          CASE WHEN product_id % 3 = 0 THEN 9999 ELSE reorder_level END AS reorder_level,
+                          CASE WHEN product_id % 7 = 0 THEN 'N' ELSE 'Y' END AS is_active)
+        FROM w_product""",
+}
+
 # the same tables with faults
 UNCLEAN: dict[str, str] = {
     "w_product_all": TABLES["w_product"],
@@ -374,14 +408,14 @@ _KINDS: dict[str, str] = {
     **dict.fromkeys(
         "qty_available stock_value total_on_hand qty_shortage qty_outstanding total_units "
         "total_cost_value total_retail_value total_qty_shipped qty_still_outstanding available "
-        "remaining default_qty qty previous_after".split(),
+        "remaining default_qty qty previous_after quantity cost retail".split(),
         "DECIMAL",
     ),
     **dict.fromkeys(
         "line_count product_count days_overdue low_stock_count pending_shipments overdue_pos "
         "warehouse_count slots line_product_id request_id best_location_id default_location_id "
         "line_id header_id n_rows id seq leg document_id to_warehouse_id load_position "
-        "to_location_id".split(),
+        "to_location_id number".split(),
         "BIGINT",
     ),
 }
@@ -634,6 +668,40 @@ def _row_rules(profile: str) -> str:
     )
 
 
+_FIGURES = f"""
+    SELECT (SELECT coalesce(sum(total_cost_value), 0) FROM ({_VALUATION})) AS total_cost_value,
+           (SELECT coalesce(sum(total_retail_value), 0) FROM ({_VALUATION})) AS total_retail_value,
+           (SELECT coalesce(sum(total_units), 0) FROM ({_VALUATION})) AS total_units,
+           (SELECT count(*) FROM ({_LOW})) AS low_stock_count,
+           (SELECT count(*) FROM ({_PENDING})) AS pending_shipments,
+           (SELECT count(*) FROM ({_OVERDUE})) AS overdue_pos,
+           (SELECT count(*) FROM w_warehouse WHERE is_active = 'Y') AS warehouse_count,
+           (SELECT count(*) FROM w_product WHERE is_active = 'Y') AS product_count"""
+
+
+def _afterwards(body: str, changed: dict[str, str]) -> str:
+    """A query on the tables as they are after a change."""
+    return _WORD.sub(lambda m: name if (name := f"w_after_{m[0][2:]}") in changed else m[0], body)
+
+
+def _kept() -> dict[str, str]:
+    """Full recomputation on the changed tables."""
+    figures = ("total_cost_value total_retail_value total_units low_stock_count pending_shipments overdue_pos "
+               "warehouse_count product_count")
+    views = _all([
+        f"SELECT 'low stock' AS view, warehouse_code AS place, sku AS item, NULL AS number, total_on_hand AS quantity, "
+        f"NULL AS cost, NULL AS retail FROM ({_LOW})",
+        f"SELECT 'to come', status, po_number, line_count, qty_outstanding, NULL, NULL FROM ({_TO_COME})",
+        f"SELECT 'worth', warehouse_code, category_name, product_count, total_units, total_cost_value, total_retail_value "
+        f"FROM ({_VALUATION})",
+        f"SELECT 'short', NULL, NULL, low_stock_count, total_units, total_cost_value, total_retail_value FROM ({_FIGURES})",
+        f"SELECT 'late', NULL, NULL, overdue_pos, NULL, NULL, NULL FROM ({_FIGURES})",
+        f"SELECT 'on the way', NULL, NULL, pending_shipments, NULL, NULL, NULL FROM ({_FIGURES})",
+    ])
+    shown = _shown("view place item number quantity cost retail", _afterwards(views, AFTER), TABLES | AFTER)
+    return {"q_kept_views": shown, "q_kept_repriced": _shown(figures, _afterwards(_FIGURES, REPRICED), TABLES | REPRICED)}
+
+
 def _integrity() -> dict[str, str]:
     rules = "rule_id table_name row_key"
     pk = _all(
@@ -923,17 +991,7 @@ def statements() -> dict[str, str]:
         "q_dashboard_metrics": _shown(
             "total_cost_value total_retail_value total_units low_stock_count pending_shipments "
             "overdue_pos warehouse_count product_count",
-            f"""
-            SELECT (SELECT coalesce(sum(total_cost_value), 0) FROM ({_VALUATION}))
-                       AS total_cost_value,
-                   (SELECT coalesce(sum(total_retail_value), 0) FROM ({_VALUATION}))
-                       AS total_retail_value,
-                   (SELECT coalesce(sum(total_units), 0) FROM ({_VALUATION})) AS total_units,
-                   (SELECT count(*) FROM ({_LOW})) AS low_stock_count,
-                   (SELECT count(*) FROM ({_PENDING})) AS pending_shipments,
-                   (SELECT count(*) FROM ({_OVERDUE})) AS overdue_pos,
-                   (SELECT count(*) FROM w_warehouse WHERE is_active = 'Y') AS warehouse_count,
-                   (SELECT count(*) FROM w_product WHERE is_active = 'Y') AS product_count""",
+            _FIGURES,
         ),
         "q_recent_transactions": _shown(
             f"{log} sku product_name warehouse_code location_code", f"{_LOG_NAMED} LIMIT 10"
@@ -1165,4 +1223,4 @@ def statements() -> dict[str, str]:
         ),
     }
     found["q_ledger_chain_carried"] = found["q_ledger_chain_check"]
-    return {**found, **_integrity(), **_movements(), **_lookups()}
+    return {**found, **_integrity(), **_kept(), **_movements(), **_lookups()}

@@ -130,7 +130,7 @@ class Snapshots:
             rows = self.spark.createDataFrame([], DECISION_DDL) if name == DECISIONS else tables[name]
             return self._placed(name, rows.select(*schema_of(name).fieldNames()), range(BUCKETS))
 
-        return self._commit(self.current() + 1, _at_once(place, [*schemas.TABLE_DDL, DECISIONS]), batch)
+        return self._commit(self.current() + 1, at_once(place, [*schemas.TABLE_DDL, DECISIONS]), batch)
 
     def _placed(self, table: str, rows: DataFrame, buckets) -> list[tuple[int, str]]:
         path = self._write(table, rows)
@@ -162,7 +162,7 @@ class Snapshots:
             return [(b, p) for b, p in held if b not in set(buckets)] + self._placed(name, fresh, buckets)
 
         written = [*(name for name, (_, buckets) in changed.items() if buckets), *added]
-        return self._commit(version + 1, parts | _at_once(place, written), batch)
+        return self._commit(version + 1, parts | at_once(place, written), batch)
 
     def compact(self, table: str) -> int:
         """The next version with the folders of a growing table rewritten as one."""
@@ -172,7 +172,8 @@ class Snapshots:
         return self._commit(self.current() + 1, parts, None)
 
 
-def _at_once(place: Callable[[str], list], names: list[str]) -> dict[str, list]:
+def at_once[Made](place: Callable[[str], Made], names: list[str]) -> dict[str, Made]:
+    """Something made for each name, some names at the same time: small jobs that would wait for each other."""
     with ThreadPoolExecutor(WRITERS) as pool:
         return dict(zip(names, pool.map(place, names), strict=True))
 
