@@ -15,7 +15,7 @@ from binledger.plans.portable import portable
 from binledger.session import cut, ensure_checkpoint_dir
 from binledger.sources import tables as loading
 from binledger.sources.snapshots import DECISIONS, Snapshots
-from binledger.sources.testdata import DerivedTables, UncleanTables
+from binledger.sources.testdata import DerivedTables, FaultyTables, UncleanTables
 from binledger.streaming import movements as streaming
 
 AS_OF = "1998-07-01"
@@ -498,6 +498,12 @@ def queries() -> dict[str, Query]:
             lambda t: integrity.check_violations(t, "application"), UncleanTables
         ),
         "q_not_null_violations": _on(integrity.not_null_violations, UncleanTables),
+        "q_faulty_primary_keys": _on(integrity.primary_key_violations, FaultyTables),
+        "q_faulty_unique_keys": _on(integrity.unique_key_violations, FaultyTables),
+        "q_faulty_references": _on(integrity.foreign_key_violations, FaultyTables),
+        "q_faulty_checks": _on(integrity.check_violations, FaultyTables),
+        "q_faulty_checks_application": _on(lambda t: integrity.check_violations(t, "application"), FaultyTables),
+        "q_faulty_not_null": _on(integrity.not_null_violations, FaultyTables),
         "q_cascade_delete": _on(_cascade),
         "q_ledger_chain_check": _on(
             lambda t: integrity.ledger_chain_check(_altered(t["stock_transaction"]))

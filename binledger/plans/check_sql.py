@@ -742,6 +742,111 @@ def _integrity() -> dict[str, str]:
     }
 
 
+# The load with faults, written out by table: its key, required columns (the key first), references and breaking values.
+_FAULTY = """
+uom_lookup | uom_code uom_description | |
+department | department_id department_code department_name created_at | |
+employee | employee_id department_id employee_code first_name last_name hire_date is_active created_at | department_id>department | is_active='X'
+product_category | category_id category_code category_name | |
+product | product_id category_id sku product_name unit_of_measure unit_cost unit_price reorder_level is_active created_at updated_at | category_id>product_category unit_of_measure>uom_lookup | is_active='X' unit_cost=-1 unit_price=-1 reorder_level=-1
+supplier | supplier_id supplier_code supplier_name is_active created_at updated_at | | is_active='X'
+customer | customer_id customer_code customer_name is_active created_at updated_at | | is_active='X'
+warehouse | warehouse_id warehouse_code warehouse_name is_active created_at | manager_id>employee | is_active='X'
+warehouse_location | location_id warehouse_id location_code zone_type is_active | warehouse_id>warehouse | zone_type='ROOF' is_active='X'
+inventory | inventory_id product_id warehouse_id location_id qty_on_hand qty_reserved updated_at | product_id>product warehouse_id>warehouse location_id>warehouse_location | qty_on_hand=-1 qty_reserved=-1
+purchase_order | po_id po_number supplier_id warehouse_id order_date status total_amount created_at updated_at | supplier_id>supplier warehouse_id>warehouse created_by>employee | status='LOST'
+po_line | po_line_id po_id line_number product_id qty_ordered qty_received unit_cost | po_id>purchase_order product_id>product | line_number=0 qty_ordered=0 qty_received=-1 unit_cost=-1
+goods_receipt | receipt_id receipt_number po_id receipt_date reason_code created_at | po_id>purchase_order received_by>employee | reason_code='LOST'
+goods_receipt_line | receipt_line_id receipt_id po_line_id product_id location_id qty_received | receipt_id>goods_receipt po_line_id>po_line product_id>product location_id>warehouse_location | qty_received=0
+sales_order | so_id so_number customer_id warehouse_id order_date status total_amount created_at updated_at | customer_id>customer warehouse_id>warehouse created_by>employee | status='LOST'
+so_line | so_line_id so_id line_number product_id qty_ordered qty_shipped unit_price | so_id>sales_order product_id>product | line_number=0 qty_ordered=0 qty_shipped=-1 unit_price=-1
+shipment | shipment_id shipment_number so_id ship_date status reason_code created_at | so_id>sales_order shipped_by>employee | status='LOST' reason_code='LOST'
+shipment_line | shipment_line_id shipment_id so_line_id product_id location_id qty_shipped | shipment_id>shipment so_line_id>so_line product_id>product location_id>warehouse_location | qty_shipped=0
+stock_transfer | transfer_id transfer_number from_warehouse_id to_warehouse_id request_date status created_at updated_at | from_warehouse_id>warehouse to_warehouse_id>warehouse requested_by>employee | status='LOST' to_warehouse_id=from_warehouse_id
+stock_transfer_line | transfer_line_id transfer_id product_id from_location_id to_location_id qty_requested qty_shipped qty_received | transfer_id>stock_transfer product_id>product from_location_id>warehouse_location to_location_id>warehouse_location | to_location_id=from_location_id qty_requested=0 qty_shipped=-1 qty_received=-1
+stock_transaction | transaction_id product_id warehouse_id transaction_type qty_change transaction_date | product_id>product warehouse_id>warehouse location_id>warehouse_location employee_id>employee | transaction_type='LOST'
+"""
+_NATURAL_KEYS = """
+department department_code
+employee employee_code
+product_category category_code
+product sku
+supplier supplier_code
+customer customer_code
+warehouse warehouse_code
+warehouse_location warehouse_id location_code
+inventory product_id warehouse_id location_id
+purchase_order po_number
+po_line po_id line_number
+goods_receipt receipt_number
+sales_order so_number
+so_line so_id line_number
+shipment shipment_number
+stock_transfer transfer_number
+"""
+
+
+def _faulty() -> dict[str, str]:
+    """The integrity rules on the load with faults, each rule a query of its own."""
+    rules = "rule_id table_name row_key"
+    load, keys, pk, missing, dangling, unique = dict(TABLES), {}, [], [], [], []
+    listed = [[part.split() for part in line.split("|")] for line in _FAULTY.strip().splitlines()]
+    for (table,), required, refers, breaking in listed:
+        keys[table] = key = required[0]
+        faults = [(c, f"null {c}", "NULL") for c in required]
+        for ref in refers:
+            column, parent = ref.split(">")
+            faults.append((column, f"ref {column}", "'NONE'" if parent == "uom_lookup" else "-1"))
+        faults += [(c, f"value {c}", v) for c, v in (b.split("=") for b in breaking)]
+        names = ", ".join(
+            f"CASE WHEN {'true' if table == 'uom_lookup' else f'({key} + {len(c)}) % 5 = 0'} THEN '{name}' END"
+            for c, name, _ in faults
+        )
+        cases: dict[str, str] = {}
+        for column, name, value in faults:
+            cases[column] = cases.get(column, "") + f" WHEN '{name}' THEN {value}"
+        shown = ", ".join(f"CASE fault{when} ELSE {c} END AS {c}" for c, when in cases.items())
+        load[f"w_bad_{table}"] = (
+            f"SELECT * REPLACE ({shown}) FROM (SELECT *, unnest(list_filter(['none', {names}], lambda x: x IS NOT NULL)) AS fault "
+            f"FROM w_{table})"
+        )
+        row = f"SELECT '{{}}' AS rule_id, '{table}' AS table_name, CAST({key} AS VARCHAR) AS row_key"
+        pk.append(
+            f"SELECT 'PK {table}' AS rule_id, '{table}' AS table_name, coalesce(CAST({key} AS VARCHAR), '') AS row_key, "
+            f"count(*) AS n_rows FROM w_bad_{table} GROUP BY {key} HAVING count(*) > 1 OR {key} IS NULL"
+        )
+        missing += [f"{row.format(f'NN {table}.{c}')} FROM w_bad_{table} WHERE {c} IS NULL" for c in required]
+        for ref in refers:
+            column, parent = ref.split(">")
+            dangling.append(
+                f"{row.format(f'FK {table}.{column}')}, CAST({column} AS VARCHAR) AS value FROM w_bad_{table} AS child "
+                f"WHERE {column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w_bad_{parent} AS parent "
+                f"WHERE parent.{{{parent}}} = child.{column})"
+            )
+    for table, *natural in map(str.split, _NATURAL_KEYS.strip().splitlines()):
+        shown = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in natural)
+        unique.append(
+            f"SELECT 'UQ {table}' AS rule_id, '{table}' AS table_name, {shown} AS row_key, count(*) AS n_rows FROM w_bad_{table} "
+            f"WHERE {shown} IS NOT NULL GROUP BY {', '.join(natural)} HAVING count(*) > 1"
+        )
+
+    def checks(profile: str) -> str:
+        return _all(
+            f"SELECT '{rule}' AS rule_id, '{table}' AS table_name, CAST({keys[table]} AS VARCHAR) AS row_key "
+            f"FROM w_bad_{table} WHERE NOT ({test})"
+            for rule, (table, test) in _ROW_RULES[profile].items()
+        )
+
+    return {
+        "q_faulty_primary_keys": _shown(f"{rules} n_rows", _all(pk), load),
+        "q_faulty_unique_keys": _shown(f"{rules} n_rows", _all(unique), load),
+        "q_faulty_references": _shown(f"{rules} value", _all(dangling).format(**keys), load),
+        "q_faulty_checks": _shown(rules, checks("database"), load),
+        "q_faulty_checks_application": _shown(rules, checks("application"), load),
+        "q_faulty_not_null": _shown(rules, _all(missing), load),
+    }
+
+
 def _lookups() -> dict[str, str]:
     from binledger.operators.lookups import LOOKUPS
 
@@ -1223,4 +1328,4 @@ def statements() -> dict[str, str]:
         ),
     }
     found["q_ledger_chain_carried"] = found["q_ledger_chain_check"]
-    return {**found, **_integrity(), **_kept(), **_movements(), **_lookups()}
+    return {**found, **_integrity(), **_faulty(), **_kept(), **_movements(), **_lookups()}

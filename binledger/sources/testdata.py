@@ -680,3 +680,61 @@ class UncleanTables(DerivedTables):
                 F.lit(_START).alias("updated_at"),
             ),
         )
+
+
+# Values that break a row rule: table -> ((column, SQL value), ...)
+_BREAKING: dict[str, tuple[tuple[str, str], ...]] = {
+    "employee": (("is_active", "'X'"),),
+    "product": (("is_active", "'X'"), ("unit_cost", "-1"), ("unit_price", "-1"), ("reorder_level", "-1")),
+    "supplier": (("is_active", "'X'"),),
+    "customer": (("is_active", "'X'"),),
+    "warehouse": (("is_active", "'X'"),),
+    "warehouse_location": (("zone_type", "'ROOF'"), ("is_active", "'X'")),
+    "inventory": (("qty_on_hand", "-1"), ("qty_reserved", "-1")),
+    "purchase_order": (("status", "'LOST'"),),
+    "po_line": (("line_number", "0"), ("qty_ordered", "0"), ("qty_received", "-1"), ("unit_cost", "-1")),
+    "goods_receipt": (("reason_code", "'LOST'"),),
+    "goods_receipt_line": (("qty_received", "0"),),
+    "sales_order": (("status", "'LOST'"),),
+    "so_line": (("line_number", "0"), ("qty_ordered", "0"), ("qty_shipped", "-1"), ("unit_price", "-1")),
+    "shipment": (("status", "'LOST'"), ("reason_code", "'LOST'")),
+    "shipment_line": (("qty_shipped", "0"),),
+    "stock_transfer": (("status", "'LOST'"), ("to_warehouse_id", "from_warehouse_id")),
+    "stock_transfer_line": (
+        ("to_location_id", "from_location_id"), ("qty_requested", "0"), ("qty_shipped", "-1"), ("qty_received", "-1"),
+    ),
+    "stock_transaction": (("transaction_type", "'LOST'"),),
+}
+#: One row in so many is repeated for a fault.
+FAULT_EVERY = 5
+
+
+class FaultyTables(DerivedTables):
+    """A load in which rows are repeated with one fault each, so that every integrity rule is broken somewhere.
+
+    Every row of every table comes once as it is. Where its key and the length of a column's name add up to a multiple
+    of ``FAULT_EVERY``, it comes again for each fault that column can have: nothing in a required column, a reference to no
+    row, a value that breaks a row rule. The units have no numbers, so each of them comes with every fault.
+    """
+
+    def __getitem__(self, name: str) -> DataFrame:
+        rows = super().__getitem__(name)
+        refers = dict(schemas.FOREIGN_KEYS.get(name, ()))
+        faults = [(c, F.lit(None)) for c in schemas.required_columns(name)]
+        faults += [(c, F.lit("NONE" if parent == "uom_lookup" else -1)) for c, parent in refers.items()]
+        faults += [(c, F.expr(v)) for c, v in _BREAKING.get(name, ())]
+        key = F.col(schemas.PRIMARY_KEY[name])
+
+        def due(column: str) -> Column:
+            return F.lit(True) if name == "uom_lookup" else (key + len(column)) % FAULT_EVERY == 0
+
+        numbers = [F.when(due(column), F.lit(i)) for i, (column, _) in enumerate(faults)]
+        rows = rows.withColumn("fault", F.explode(F.array_compact(F.array(F.lit(-1), *numbers))))
+        shown = []
+        for field in schemas.table_schema(name).fields:
+            value = F.col(field.name)
+            for i, (column, fault) in enumerate(faults):
+                if column == field.name:
+                    value = F.when(F.col("fault") == i, fault.cast(field.dataType)).otherwise(value)
+            shown.append(value.alias(field.name))
+        return rows.select(*shown)
