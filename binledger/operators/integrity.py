@@ -11,11 +11,13 @@ from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from binledger import schemas
 from binledger.functions.scan import CHUNK_ROWS, previous_value
+from binledger.session import cut
 from binledger.sources.tables import Tables
 
 
@@ -60,62 +62,58 @@ def unique_key_violations(t: Tables, tables: Sequence[str] | None = None) -> Dat
     )
 
 
-def _references(t: Tables, table: str) -> DataFrame:
-    """One row per reference a row of ``table`` makes: rule, parent and value."""
-    key = F.col(schemas.PRIMARY_KEY[table]).cast("string").alias("row_key")
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(f"FK {table}.{column}").alias("rule_id"),
-                F.lit(parent).alias("parent"),
-                F.col(column).cast("string").alias("value"),
-            )
-            for column, parent in schemas.FOREIGN_KEYS[table]
-        ]
-    )
-    return (
-        t[table]
-        .select(key, F.explode(pairs).alias("ref"))
-        .where(F.col("ref.value").isNotNull())
-        .select("row_key", "ref.*")
+def _value(table: str, column: str, parent: str, rules: int) -> Column:
+    """A value that refers to a row of ``parent`` or is its key, whole numbers as such; ``rules`` has the bits it stands for."""
+    whole = isinstance(schemas.table_schema(table)[column].dataType, (T.LongType, T.IntegerType))
+    value, none = F.col(column), F.lit(None)
+    return F.struct(
+        F.lit(parent).alias("parent"),
+        (value if whole else none).cast("bigint").alias("number"),
+        (none if whole else value).cast("string").alias("text"),
+        F.lit(rules).cast("bigint").alias("rules"),
     )
 
 
 def foreign_key_violations(t: Tables, tables: Sequence[str] | None = None) -> DataFrame:
     """Rows that refer to a parent row that is not there.
 
-    The distinct referenced values of all rules, not the rows, are matched with the
-    keys of all parents, in one anti join. What remains are the dangling values, and
-    only they meet the rows again.
+    Every rule has a bit, and bit 0 stands for "the parent has it". One read of each table gives its keys and references,
+    and one aggregation ORs their bits by parent and value; what lacks bit 0 dangles and is kept as a table in the
+    shared folder (this runs at once). Only tables with a rule that something breaks are read a second time.
     """
     chosen = _chosen(tables, schemas.FOREIGN_KEYS)
-    parents = sorted({p for n in chosen for _, p in schemas.FOREIGN_KEYS[n]})
-    keys = _stack(
-        [
-            t[p].select(
-                F.lit(p).alias("parent"),
-                F.col(schemas.PRIMARY_KEY[p]).cast("string").alias("value"),
-            )
-            for p in parents
-        ]
-    )
-    rows = _stack(
-        [
-            _references(t, n).select(
-                F.lit(n).alias("table_name"), "row_key", "rule_id", "parent", "value"
-            )
-            for n in chosen
+    rules = [(n, c, p) for n in chosen for c, p in schemas.FOREIGN_KEYS[n]]
+    bit = {(n, c): 2 << i for i, (n, c, _) in enumerate(rules)}  # 41 rules fit a bigint
+    parents = {p for _, _, p in rules}
+    known = F.col("number").isNotNull() | F.col("text").isNotNull()
+
+    values = []
+    for name in sorted(parents.union(chosen)):
+        made = [_value(n, c, p, bit[n, c]) for n, c, p in rules if n == name]
+        if name in parents:
+            made.append(_value(name, schemas.PRIMARY_KEY[name], name, 1))
+        values.append(t[name].select(F.explode(F.array(*made)).alias("made")).select("made.*").where(known))
+    met = _stack(values).groupBy("parent", "number", "text").agg(F.bit_or("rules").alias("broken"))
+    dangling = cut(met.where(F.col("broken") % 2 == 0), "dangling")
+
+    found = dangling.agg(F.bit_or("broken")).first()[0] or 0  # one number
+    rows = []
+    for name in chosen:
+        made = [
+            F.struct(F.lit(f"FK {n}.{c}").alias("rule_id"), _value(n, c, p, bit[n, c]).alias("made"))
+            for n, c, p in rules if n == name and found & bit[n, c]
         ]
-    )
-    dangling = (
-        rows.select("rule_id", "parent", "value")
-        .distinct()
-        .join(keys, ["parent", "value"], "left_anti")
-        .select("rule_id", "value")
-    )
-    return rows.join(dangling, ["rule_id", "value"], "left_semi").select(
-        "rule_id", "table_name", "row_key", "value"
-    )
+        if made:
+            key = F.col(schemas.PRIMARY_KEY[name]).cast("string").alias("row_key")
+            read = t[name].select(key, F.explode(F.array(*made)).alias("ref")).select("row_key", "ref.rule_id", "ref.made.*")
+            rows.append(read.where(known).withColumn("table_name", F.lit(name)))
+    if not rows:
+        return dangling.where("false").select(*[F.lit("").alias(c) for c in ("rule_id", "table_name", "row_key", "value")])
+    row, gone = _stack(rows).alias("row"), dangling.alias("gone")
+    same = [F.col(f"row.{c}").eqNullSafe(F.col(f"gone.{c}")) for c in ("parent", "number", "text")]
+    hit = F.col("row.rules").bitwiseAND(F.col("gone.broken")) != 0
+    value = F.coalesce(F.col("number").cast("string"), F.col("text")).alias("value")
+    return row.join(gone, reduce(lambda a, b: a & b, same, hit), "left_semi").select("rule_id", "table_name", "row_key", value)
 
 
 def _flagged(t: Tables, table: str, flags: Sequence) -> DataFrame:

@@ -28,3 +28,8 @@ BROKEN = {
 def test_every_rule_fires(spark, sf_dir, kind):
     found = BROKEN[kind](FaultyTables(spark, sf_dir)).select("rule_id").distinct().collect()
     assert {r.rule_id for r in found} == RULES[kind]()
+
+
+def test_nothing_dangles_on_the_derived_tables(spark, derived):
+    none = integrity.foreign_key_violations(derived, ["product", "employee"])
+    assert none.isEmpty() and none.columns == ["rule_id", "table_name", "row_key", "value"]
