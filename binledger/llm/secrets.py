@@ -10,7 +10,8 @@ A token is taken for a secret if that p reaches the threshold of its encoding an
 Short tokens give weak tests, so thresholds are set per band: over *all* documents the p-values of a band are
 counted; random tokens spread evenly over (0, 1), structured ones pile up near 0, so the upper half
 tells how many are random, and the threshold is the least one at which the estimated share of
-structured tokens among those taken is at most ``FALSE_SHARE``. The counts are a table of fixed size.
+structured tokens among those taken is at most ``FALSE_SHARE``. Bands of few tokens are pooled with their
+neighbours, and where no threshold does, nothing is taken. The counts are a table of fixed size.
 
 Defined results: a null text is empty; a row without spans has zero counts, the digest of the empty string
 and empty ``spans``; repeated rows and null doc_ids are judged row by row. Whole texts are scanned.
@@ -36,6 +37,8 @@ FALSE_SHARE = 0.05
 #: Upper ends of the length bands; longer tokens form the last band.
 BANDS = (24, 32, 40, 64, 128)
 P_BINS = 40
+#: Bands with fewer tokens than this share their threshold with neighbours.
+MIN_POOL = 100
 
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -114,6 +117,16 @@ def _base(data: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
+def _overlapped(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the tokens share a byte with a span."""
+    if not spans:
+        return np.zeros(len(starts), bool)
+    spans = np.array(sorted(spans))
+    before = np.searchsorted(spans[:, 0], ends)  # spans that begin before the token ends
+    reach = np.concatenate([[-1], np.maximum.accumulate(spans[:, 1])])
+    return reach[before] > starts
+
+
 def _scan(texts: pa.Array):
     """For each text of a slice: base spans, and tokens with battery results, all in bytes of the slice."""
     data, offsets = text_bytes(texts)
@@ -130,12 +143,11 @@ def _scan(texts: pa.Array):
             for i, s, e in zip(text_of.tolist(), starts.tolist(), ends.tolist()):
                 base[i].append((s, 2, e))
     tokens: list[list[tuple[int, int, int, float]]] = [[] for _ in base]
-    for i, s, e in zip(text_of.tolist(), starts.tolist(), ends.tolist()):
+    free = ~_overlapped(starts, ends, [(s, e) for spans in base for s, _, e in spans])
+    for i, s, e in zip(text_of[free].tolist(), starts[free].tolist(), ends[free].tolist()):
         token = data[s:e]
         if not (_IS_DIGIT[token].any() and _IS_LETTER[token].any()):
             continue
-        if any(s < end and start < e for start, _, end in base[i]):
-            continue
         if (told := battery(token)) is not None:
             tokens[i].append((s, e, told[0] * (len(BANDS) + 1) + band_of(e - s), told[1]))
     return data, offsets, base, tokens
@@ -160,15 +172,38 @@ def token_counts(documents: DataFrame) -> np.ndarray:
     return out.reshape(groups, P_BINS)
 
 
+def _pools(counts: np.ndarray, least: int = MIN_POOL) -> list[list[int]]:
+    """Neighbouring length bands of an encoding, together until they hold ``least`` tokens; encodings that never do are one pool."""
+    bands, pools, rest = len(BANDS) + 1, [], []
+    sizes = counts.sum(axis=1)
+    for first in range(0, len(counts), bands):
+        own: list[list[int]] = [[]]
+        for group in range(first, first + bands):
+            own[-1].append(group)
+            if sizes[own[-1]].sum() >= least:
+                own.append([])
+        short = own.pop()
+        if own:
+            own[-1] += short
+            pools += own
+        else:
+            rest += short
+    return pools + [rest] if rest else pools
+
+
 def thresholds(counts: np.ndarray, false_share: float = FALSE_SHARE) -> np.ndarray:
-    """The least p taken for random, for each encoding and length band."""
-    out = np.full(len(counts), 0.5)
-    for group, row in enumerate(counts):
+    """The least p taken for random, for each encoding and length band; above 1 where none is taken.
+
+    One is added to the estimated number of structured tokens, so that a handful of tokens decides nothing.
+    """
+    out = np.full(len(counts), 2.0)
+    for pool in _pools(counts):
+        row = counts[pool].sum(axis=0)
         random = 2.0 * row[P_BINS // 2 :].sum()
         for b in range(P_BINS // 2 + 1):
             taken = row[b:].sum()
-            if taken and 1 - random * (1 - b / P_BINS) / taken <= false_share:
-                out[group] = max(b / P_BINS, 1e-3)
+            if 1 + max(0.0, taken - random * (1 - b / P_BINS)) <= false_share * taken:
+                out[pool] = max(b / P_BINS, 1e-3)
                 break
     return out
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from binledger.llm import catalog, secrets
 
@@ -61,3 +62,27 @@ def test_battery_tells_random_from_text():
     hexes = [secrets.battery(rng.choice(np.frombuffer(b"0123456789abcdef", np.uint8), 40)) for _ in range(200)]
     assert all(w == 0 for w, _ in hexes) and sum(p > 0.05 for _, p in hexes) > 170
     assert secrets.battery(np.frombuffer(b"aaaaaaaaaaaaaaaaaaaaaaa1", np.uint8))[1] < 1e-3
+
+
+def test_overlap_with_base_spans_in_a_text_of_many_hashes():
+    rng = np.random.default_rng(3)
+    starts = np.sort(rng.choice(5000, 300, replace=False))
+    ends = starts + rng.integers(1, 30, 300)
+    spans = [(int(s), int(s + n)) for s, n in zip(rng.choice(5000, 200), rng.integers(1, 40, 200))]
+    want = [any(s < e2 and s2 < e for s2, e2 in spans) for s, e in zip(starts, ends)]
+    assert secrets._overlapped(starts, ends, spans).tolist() == want
+    assert not secrets._overlapped(starts, ends, []).any()
+    text = " ".join(f"{i:024x}" for i in range(60_000))
+    _, _, base, tokens = secrets._scan(pa.array([text, None, "a" * 30 + "1"]))
+    assert [len(b) for b in base] == [60_000, 0, 1] and not any(tokens)
+
+
+def test_few_tokens_share_a_threshold():
+    bands = len(secrets.BANDS) + 1
+    counts = np.zeros((len(secrets.ENCODINGS) * bands, secrets.P_BINS), np.int64)
+    assert (secrets.thresholds(counts) > 1).all()
+    counts[0, 0], counts[0, -1] = 6, 1  # seven tokens alone decide nothing
+    assert (secrets.thresholds(counts) > 1).all()
+    counts[1:3] = 10  # 800 random tokens in the next two bands, of which one is enough
+    out = secrets.thresholds(counts)
+    assert len(set(out[:2])) == 1 and (out[:bands] <= 0.05).all() and (out[bands:] > 1).all()
