@@ -2,7 +2,7 @@
 
 The regression is fitted on labelled rows (``labels.quality``), at most ``FIT_ROWS`` of
 them: those with the smallest hash of their doc_id, a bounded sample whose bound is a
-parameter. Its inputs are shares of hashed single words, word pairs and byte
+parameter. Its inputs are shares of hashed single words, word pairs and character
 trigrams of the whole text, so a text's score is three means of weights plus a bias.
 One fifth of the sample calibrates the score to a probability (Platt). Documents are
 scored in Arrow batches against a fixed threshold.
@@ -84,35 +84,54 @@ def base_counts(w: Words) -> dict[str, np.ndarray]:
     }
 
 
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code point begins, and a number for each, the same for the same code point."""
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    value = data[begin].astype(np.uint32)
+    if len(begin) < len(data):
+        end = np.append(begin[1:], len(data))
+        for k in (1, 2, 3):
+            more = np.flatnonzero(end - begin > k)
+            value[more] = value[more] << np.uint32(8) | data[begin[more] + k]
+    return begin, value
+
+
 def _inputs(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of n-gram: the bucket of every occurrence, and the offsets of the texts."""
     top = np.uint64(64 - 11)
     pair, _, before = windows(w.hashes, w.first, 2)
-    if len(w.data) > 2:
-        d = w.data.astype(np.uint32)
-        gram = (d[:-2] | d[1:-1] << np.uint32(8) | d[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
-        gram = (gram >> np.uint32(32 - 12)).astype(np.int64)
+    begin, c = _characters(w.data)
+    if len(c) > 2:
+        gram = c[:-2] + c[1:-1] * np.uint32(0x9E3779B1) + c[2:] * np.uint32(0x85EBCA77)
+        gram ^= gram >> np.uint32(15)
+        gram = (gram * np.uint32(0xC2B2AE3D) >> np.uint32(32 - 12)).astype(np.int32)
     else:
-        gram = np.zeros(0, np.int64)
+        gram = np.zeros(0, np.int32)
     return [
         ((w.hashes >> top).astype(np.int64), w.first),
         ((pair >> top).astype(np.int64) + WORD_BUCKETS, before),
-        (gram + WORD_BUCKETS + PAIR_BUCKETS, w.offsets),
+        (gram + np.int32(WORD_BUCKETS + PAIR_BUCKETS), np.searchsorted(begin, w.offsets)),
     ]
 
 
+def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sum of ``values[lo:hi]`` for each text by itself, so that it does not depend on the texts beside it."""
+    out, some = np.zeros(len(lo)), hi > lo
+    if some.any():
+        ends = np.stack([lo[some], hi[some]], axis=1).ravel()
+        out[some] = np.add.reduceat(np.append(values, 0.0), ends)[::2]
+    return out
+
+
 def _means(w: Words, weights: np.ndarray) -> np.ndarray:
     """Sum over the three kinds of the mean weight of a text's n-grams."""
     out = np.zeros(len(w.offsets) - 1)
     for k, (bucket, offsets) in enumerate(_inputs(w)):
-        if k < 2:
-            total, n = text_sums(weights[bucket], offsets), np.diff(offsets)
-        else:  # trigrams must not reach into the next text
-            lo = np.minimum(offsets[:-1], len(bucket))
-            hi = np.clip(offsets[1:] - 2, lo, len(bucket))
-            run = np.concatenate([[0.0], np.cumsum(weights[bucket])])
-            total, n = run[hi] - run[lo], hi - lo
-        out += total / np.maximum(n, 1)
+        lo, hi = offsets[:-1], offsets[1:]
+        if k == 2:  # trigrams must not reach into the next text
+            lo = np.minimum(lo, len(bucket))
+            hi = np.clip(hi - 2, lo, len(bucket))
+        out += _sums(weights[bucket], lo, hi) / np.maximum(hi - lo, 1)
     return out
 
 

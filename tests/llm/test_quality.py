@@ -1,9 +1,12 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from binledger.llm import catalog, quality
+from binledger.llm.words import find_words
 
 
 def brute(text):
@@ -56,3 +59,18 @@ def test_odd_rows(spark):
     one_kind = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.fit(docs, one_kind) is None
     assert quality.quality_rules(docs.limit(0), none).count() == 0
+
+
+def test_trigrams_are_of_characters_and_scores_of_a_text_alone():
+    texts = ["héllo wörld", "日本語の文章です 日本語", None, "", "ab", "🙂🙂🙂 x🙂", "plain words here and plain words there"]
+    grams = {}
+    for text in filter(None, texts):
+        bucket, offsets = quality._inputs(find_words(pa.array([text])))[2]
+        assert offsets.tolist() == [0, len(text)] and len(bucket) == max(0, len(text) - 2)
+        for i, b in enumerate(bucket.tolist()):
+            assert grams.setdefault(text[i : i + 3], b) == b
+    assert len(set(grams.values())) > 0.95 * len(grams)
+    model = quality.Model(np.random.default_rng(2).normal(size=quality.BUCKETS), 0.1)
+    together = quality.score(find_words(pa.array(texts)), model)
+    alone = [quality.score(find_words(pa.array([t], pa.string())), model)[0] for t in texts]
+    assert together.tolist() == alone
