@@ -85,17 +85,40 @@ def runs(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _raise_powers(n: int) -> None:
+    global _powers
+    if n > len(_powers):
+        _powers = np.cumprod(np.full(2 * n, _STEP | np.uint64(1), np.uint64))
+
+
+def _hash_long(word: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The hash of one word longer than a block, block by block."""
+    _raise_powers(BLOCK_BYTES)
+    low = (1 << 64) - 1
+    total, scale, step = 0, 1, int(_powers[BLOCK_BYTES - 1])
+    for i in range(0, len(word), BLOCK_BYTES):
+        part = table[word[i : i + BLOCK_BYTES]]
+        total += scale * int((part * _powers[: len(part)]).sum())
+        scale = scale * step & low
+    return mix(np.array([(total + len(word) * int(_STEP)) & low], np.uint64))
+
+
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each run's bytes; ``lower`` takes A-Z as a-z."""
-    global _powers
     table, out, i = (_LOWER if lower else _BYTE), np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK_BYTES)))
         lengths = ends[i:j] - starts[i:j]
+        if int(lengths.max()) > BLOCK_BYTES:
+            if lengths[0] > BLOCK_BYTES:
+                out[i : i + 1] = _hash_long(data[starts[i] : ends[i]], table)
+                i += 1
+                continue
+            j = i + int(np.argmax(lengths > BLOCK_BYTES))
+            lengths = lengths[: j - i]
         before = np.cumsum(lengths) - lengths
         place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-        if (longest := int(lengths.max())) > len(_powers):
-            _powers = np.cumprod(np.full(2 * longest, _STEP | np.uint64(1), np.uint64))
+        _raise_powers(int(lengths.max()))
         at = place + np.repeat(starts[i:j], lengths)
         sums = np.add.reduceat(table[data[at]] * _powers[place], before)
         out[i:j] = mix(sums + lengths.astype(np.uint64) * _STEP)

@@ -52,3 +52,10 @@ def test_slices_cover_all_rows():
     got = [r for piece in words.slices(batch, "t", 10) for r in piece.column("t").to_pylist()]
     assert got == batch.column("t").to_pylist()
     assert np.array_equal(words.mix(np.arange(3, dtype=np.uint64)), words.mix(np.arange(3, dtype=np.uint64)))
+
+
+def test_long_words_are_hashed_in_blocks_alike(monkeypatch):
+    texts = pa.array(["ab " + "xyz" * 900 + " c", "q" * 64, "tail " + "Y" * 131 + " " + "ab" * 33])
+    whole = words.find_words(texts, lower=True).hashes
+    monkeypatch.setattr(words, "BLOCK_BYTES", 64)
+    assert words.find_words(texts, lower=True).hashes.tolist() == whole.tolist()
