@@ -276,7 +276,8 @@ def near_duplicates(documents: DataFrame, k: int = 5) -> DataFrame:
         told.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes"
     )
     first = told.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    reps = first.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands").dropDuplicates(["rep", "n"])
+    first = first.dropDuplicates(["doc_id", "set_a", "set_b"])  # every text of a doc_id keeps its bands
+    reps = first.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands")
     roots = _links(reps, documents, k)
     classes = _joined_to_roots(classes.select("set_a", "set_b", "rep"), roots, "rep")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep_root", "doc_id"))

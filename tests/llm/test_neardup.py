@@ -79,3 +79,14 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r[0] or -1 for r in kept.collect()) == [-1, 5, 6, 7, 8, 11, 12]
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_every_text_of_a_repeated_id_is_linked(spark):
+    """Two texts of one doc_id with as many shingles each: near copies of both belong to it."""
+    rows = []
+    for kind, copy in (("a", 20), ("b", 30), ("c", 40)):
+        words = [f"{kind}{i}" for i in range(80)]
+        rows += [(7, " ".join(words)), (copy, " ".join([*words[:-1], "z"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in neardup.near_duplicates(docs, 4).collect()}
+    assert got == {(7, 77, 7, True), (20, 77, 7, False), (30, 77, 7, False), (40, 77, 7, False)}
