@@ -9,8 +9,8 @@
 * **Chaining.** The matches of a document with an anchor document are runs on diagonals; a Fenwick tree over anchor
   positions finds for each run the best chain before it in both texts, less a cost for the words skipped.
 * **Alignment.** Chains are laid over the words of both texts: gaps by longest common subsequence, ends by exact
-  runs over short mismatches. Chains that agree in too few words are parted at their widest gaps, and each part is extended
-  to both sides.
+  runs over short mismatches; chains of one seed, most of all, a whole batch at once. Chains that agree in too few
+  words are parted at their widest gaps, and each part is extended to both sides.
 * **Passages.** A document's aligned stretches, on either side of a link, are united; those of
   ``MIN_WORDS`` words or more are its repeated passages. A passage whose parts have different anchors is thus found whole,
   however short the parts; only then are short results left out. Where every seed of a passage lies in
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binledger.llm.words import find_words, map_slices, windows
+from binledger.llm.words import find_words, map_slices, text_bytes, windows
 from binledger.session import cut
 
 K, WINDOW = 8, 12
@@ -41,6 +41,8 @@ GAP_COST = 0.05
 MIN_IDENTITY = 0.6
 _PAD, _STEP = 48, 64
 _SKIP, _AFTER_SKIP = 12, 4
+#: Pairs of skipped words, row by row, in the order they are tried.
+_NEAREST = np.add.outer(np.arange(_SKIP + 1), np.arange(_SKIP + 1)).ravel().argsort(kind="stable")
 
 
 def seeds(documents: DataFrame) -> DataFrame:
@@ -304,20 +306,106 @@ def aligned(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> lis
     return out
 
 
+def _equal_ahead(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, step: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many words are equal from x[i] and y[j] on, by ``step`` (1 or -1), of ``room`` at most; many pairs at once."""
+    out, live, width = np.zeros(len(i), np.int64), np.flatnonzero(room > 0), _SKIP + _AFTER_SKIP
+    while len(live):
+        ahead = out[live, None] + np.arange(width)
+        inside = ahead < room[live, None]
+        ahead = np.where(inside, ahead, 0) * step[live, None]
+        equal = (x[i[live, None] + ahead] == y[j[live, None] + ahead]) & inside
+        whole = equal.all(axis=1)
+        out[live] += np.where(whole, width, equal.argmin(axis=1))
+        live = live[whole]
+    return out
+
+
+def _ahead(words: np.ndarray, at: np.ndarray, step: np.ndarray, room: np.ndarray, outside: int) -> np.ndarray:
+    """The words of each window from ``at`` on; ``outside`` where there is none."""
+    ahead = np.arange(_SKIP + _AFTER_SKIP)
+    inside = ahead < room[:, None]
+    return np.where(inside, words[at[:, None] + np.where(inside, ahead, 0) * step[:, None]].astype(np.int64), outside)
+
+
+def _extended_all(
+    x: np.ndarray, i: np.ndarray, room_x: np.ndarray, y: np.ndarray, j: np.ndarray, room_y: np.ndarray, step: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``_extended`` for many pairs at once, each from x[i] and y[j] on by ``step``: with no share asked and with MIN_IDENTITY."""
+    kept = np.zeros((2, 3, len(i)), np.int64)
+    di, dj, same, live = *np.zeros((3, len(i)), np.int64), np.arange(len(i))
+    while len(live):
+        a, b, s = i[live] + di[live] * step[live], j[live] + dj[live] * step[live], step[live]
+        left_x, left_y = room_x[live] - di[live], room_y[live] - dj[live]
+        n = _equal_ahead(x, a, y, b, s, np.minimum(left_x, left_y))
+        for moved in (di, dj, same):
+            moved[live] += n
+        good = live[same[live] >= MIN_IDENTITY * np.maximum(di[live], dj[live])]
+        for row, chosen in ((0, live), (1, good)):
+            kept[row][:, chosen] = di[chosen], dj[chosen], same[chosen]
+        more = np.minimum(left_x, left_y) - n >= _AFTER_SKIP
+        live, a, b, s, left_x, left_y = (v[more] for v in (live, a + n * s, b + n * s, s, left_x - n, left_y - n))
+        equal = _ahead(x, a, s, left_x, -1)[:, :, None] == _ahead(y, b, s, left_y, -2)[:, None, :]
+        runs = equal[:, : _SKIP + 1, : _SKIP + 1].copy()
+        for k in range(1, _AFTER_SKIP):
+            runs &= equal[:, k : k + _SKIP + 1, k : k + _SKIP + 1]
+        runs = runs.reshape(len(live), len(_NEAREST))
+        found = np.flatnonzero(runs.any(axis=1))
+        live, a, b, s = (v[found] for v in (live, a, b, s))
+        skip_x, skip_y = np.divmod(_NEAREST[runs[found][:, _NEAREST].argmax(axis=1)], _SKIP + 1)
+        for k in np.flatnonzero((skip_x > 0) & (skip_y > 0) & (skip_x + skip_y > 2)).tolist():  # the first words differ
+            p, q = a[k] + s[k] * np.arange(skip_x[k]), b[k] + s[k] * np.arange(skip_y[k])
+            same[live[k]] += _common(x[p], y[q])
+        di[live] += skip_x
+        dj[live] += skip_y
+    return kept[0], kept[1]
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of binaries and the offsets of each row's."""
+    data, offsets = text_bytes(column)
+    return data.view(kind), offsets // np.dtype(kind).itemsize
+
+
+def _lone(rows: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray, xo: np.ndarray, y: np.ndarray, yo: np.ndarray) -> np.ndarray:
+    """``aligned`` for chains of one seed, most of all, at once: x[i] meets y[j]; columns start, end, start, end, equal words."""
+    x0, x1, y0, y1, one = xo[rows], xo[rows + 1], yo[rows], yo[rows + 1], np.ones(len(rows), np.int64)
+    n = _equal_ahead(x, i, y, j, one, np.minimum(x1 - i, y1 - j))
+    both = np.concatenate
+    loose, strict = _extended_all(
+        x, both([i - 1, i + n]), both([i - x0, x1 - i - n]), y, both([j - 1, j + n]), both([j - y0, y1 - j - n]), both([-one, one])
+    )
+
+    def stretch(kept: np.ndarray) -> np.ndarray:
+        (di, dj, before), (ei, ej, after) = kept[:, : len(rows)], kept[:, len(rows) :]
+        return np.stack([i - x0 - di, i - x0 + n + ei, j - y0 - dj, j - y0 + n + ej, n + before + after])
+
+    whole = stretch(loose)
+    agrees = whole[4] >= MIN_IDENTITY * np.maximum(whole[1] - whole[0], whole[3] - whole[2])
+    return np.where(agrees, whole, stretch(strict))
+
+
 def _laid(piece: pa.RecordBatch) -> pa.RecordBatch:
-    out: dict[str, list] = {c: [] for c in ("doc_id", "start", "end", "other", "same")}
-    names = ("doc_id", "anchor", "lo", "anchor_lo", "at", "anchor_at", "words", "anchor_words")
-    for doc, anchor, lo, anchor_lo, xs, ys, x, y in zip(*(piece.column(c).to_pylist() for c in names)):
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        xs, ys = np.frombuffer(xs, np.int32) - lo, np.frombuffer(ys, np.int32) - anchor_lo
-        good = (xs < len(x)) & (ys < len(y))  # a repeated doc_id may have brought another text
-        if not good.any():
-            continue
-        for a, b, c, d, same in aligned(x, y, xs[good], ys[good]):
-            for own, s, e, other in ((doc, a + lo, b + lo, anchor), (anchor, c + anchor_lo, d + anchor_lo, doc)):
-                for name, value in zip(out, (own, s, e, other, same)):
-                    out[name].append(value)
-    return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
+    doc, anchor, lo, anchor_lo = (piece.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "anchor", "lo", "anchor_lo"))
+    (xs, first), (ys, _) = _numbers(piece.column("at"), np.int32), _numbers(piece.column("anchor_at"), np.int32)
+    (x, xo), (y, yo) = (_numbers(piece.column(c), np.uint32) for c in ("words", "anchor_words"))
+    own = np.repeat(np.arange(len(doc)), np.diff(first))
+    i, j = xo[own] + xs - lo[own], yo[own] + ys - anchor_lo[own]
+    good = (i < xo[own + 1]) & (j < yo[own + 1])  # a repeated doc_id may have brought another text,
+    good[good] = x[i[good]] == y[j[good]]  # in which a seed need not stand
+    own, i, j = own[good], i[good], j[good]
+    seeds_of = np.bincount(own, minlength=len(doc))
+    lone = seeds_of[own] == 1
+    rows, made = [own[lone]], [_lone(own[lone], i[lone], j[lone], x, xo, y, yo)]
+    begin = np.concatenate([[0], np.cumsum(seeds_of)])
+    for r in np.flatnonzero(seeds_of > 1).tolist():
+        at = slice(begin[r], begin[r + 1])
+        parts = aligned(x[xo[r] : xo[r + 1]], y[yo[r] : yo[r + 1]], i[at] - xo[r], j[at] - yo[r])
+        rows.append(np.full(len(parts), r))
+        made.append(np.array(parts, np.int64).T)
+    rows, (a, b, c, d, same) = np.concatenate(rows), np.concatenate(made, axis=1)
+    a, b, c, d = a + lo[rows], b + lo[rows], c + anchor_lo[rows], d + anchor_lo[rows]
+    seen = {"doc_id": (doc[rows], anchor[rows]), "start": (a, c), "end": (b, d), "other": (anchor[rows], doc[rows]), "same": (same, same)}
+    return pa.RecordBatch.from_pydict({name: pa.array(np.concatenate(both), pa.int64()) for name, both in seen.items()})
 
 
 def links(documents: DataFrame) -> DataFrame:

@@ -57,10 +57,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts and the offsets of each; null counts as empty."""
+    """The bytes of all texts (or binaries) and the offsets of each; null counts as empty."""
     if texts.null_count:
         texts = texts.fill_null("")
-    wide = pa.types.is_large_string(texts.type)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     kind = np.int64 if wide else np.int32
     offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1]
     offsets = offsets.astype(np.int64)

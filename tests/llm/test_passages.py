@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from binledger.llm import catalog, passages
@@ -145,3 +146,54 @@ def test_passages_whose_pieces_have_other_anchors_are_found_whole(spark):
     missed = [int((want[d] & ~got[d]).sum()) for d in whole]
     assert len(whole) >= 300 and max(missed) < passages.WINDOW
     assert all(not m.any() for d, m in got.items() if not want[d].any())
+
+
+def batch_of(chains):
+    """The batch of ``_laid`` for chains (doc, anchor, lo, anchor_lo, xs, ys, x, y)."""
+    names = ("doc_id", "anchor", "lo", "anchor_lo", "at", "anchor_at", "words", "anchor_words")
+    kinds = (None, None, None, None, np.int32, np.int32, np.uint32, np.uint32)
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    columns = zip(*chains, strict=True)
+    return pa.RecordBatch.from_pydict({
+        name: pa.array([v if kind is None else np.asarray(v, kind).tobytes() for v in values], type_)
+        for name, kind, type_, values in zip(names, kinds, types, columns)
+    })
+
+
+def test_chains_of_one_seed_are_aligned_at_once_like_one_by_one(monkeypatch):
+    rng = np.random.default_rng(12)
+    chains, want, many = [], [], 0
+    for d in range(600):
+        x = rng.integers(0, rng.choice([3, 40, 5000]), rng.integers(8, 240)).astype(np.uint32)
+        y, at = x.copy(), int(rng.integers(0, len(x) - 7))
+        for p in rng.integers(0, len(x), rng.integers(0, 40)):  # changed words, never those of the seed
+            if not at <= p < at + 8:
+                y[p] = 9000 + p
+        left, right = rng.integers(0, 4, 2)  # other words before, a few words dropped behind the seed
+        gone = slice(at + 8 + int(right), at + 8 + int(right) + int(rng.integers(0, 14)))
+        y = np.concatenate([rng.integers(0, 9, left).astype(np.uint32), np.delete(y, gone), x[:right]])
+        xs, ys = [at], [at + int(left)]
+        if d % 50 == 0 and at + 8 < len(x) and at + left + 8 < len(y) and x[at + 8] == y[at + left + 8]:
+            xs, ys, many = [at, at + 8], [at + int(left), at + int(left) + 8], many + 1
+        lo, anchor_lo = 64 * (d % 3), 64 * (d % 5)
+        chains.append((d, 1000 + d, lo, anchor_lo, np.add(xs, lo), np.add(ys, anchor_lo), x, y))
+        for a, b, c, e, same in passages.aligned(x, y, np.array(xs), np.array(ys)):
+            want.append((d, a + lo, b + lo, 1000 + d, same))
+            want.append((1000 + d, c + anchor_lo, e + anchor_lo, d, same))
+    calls, one_by_one = [], passages.aligned
+    monkeypatch.setattr(passages, "aligned", lambda *a: calls.append(len(a[2])) or one_by_one(*a))
+    batch, got = batch_of(chains), []
+    for at in range(0, len(chains), 170):
+        got += zip(*passages._laid(batch.slice(at, 170)).to_pydict().values())
+    assert sorted(got) == sorted(want) and 0 < many
+    assert len(calls) == many and min(calls) > 1  # chains of one seed cost no call of their own
+
+
+def test_seeds_that_do_not_stand_in_the_text_are_left_out():
+    x, y, z = np.arange(90), np.arange(500, 590), np.arange(40)
+    chains = [
+        (1, 2, 0, 0, [5], [5], x, y), (1, 3, 0, 0, [60], [60], x, z), (1, 6, 0, 0, [5, 9], [5, 9], x, y),
+        (1, 4, 64, 0, [70, 84], [6, 20], x, x), (1, 5, 0, 0, [9, 50], [9, 50], x, z),
+    ]
+    got = passages._laid(batch_of(chains)).to_pydict()
+    assert sorted(zip(*got.values())) == [(1, 0, 40, 5, 40), (1, 64, 154, 4, 90), (4, 0, 90, 1, 90), (5, 0, 40, 1, 40)]
