@@ -17,7 +17,8 @@
   pieces that other documents hold, up to ``WINDOW`` - 1 words before the first or after the last piece may stay out.
 
 Defined results: null, empty and short texts hold no passage; rows without doc_id take no part; rows that repeat a doc_id are one document
-and no repeat of each other; repeats inside one document alone don't count; an empty table gives no rows.
+and no repeat of each other: each of its texts, told apart by ``part``, a hash, has passages and word numbers of its own, and
+equal rows of them are one; repeats inside one document alone don't count; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,8 +46,12 @@ _SKIP, _AFTER_SKIP = 12, 4
 _NEAREST = np.add.outer(np.arange(_SKIP + 1), np.arange(_SKIP + 1)).ravel().argsort(kind="stable")
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("part"), "text").where("text IS NOT NULL")
+
+
 def seeds(documents: DataFrame) -> DataFrame:
-    """``seed, doc_id, pos``: the minimizers of every document of ``MIN_WORDS`` words or more."""
+    """``seed, doc_id, part, pos``: the minimizers of every document of ``MIN_WORDS`` words or more."""
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch | None:
         w = find_words(piece.column("text"), lower=True)
@@ -61,29 +66,31 @@ def seeds(documents: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict({
             "seed": pa.array(kmers[least].view(np.int64)),
             "doc_id": piece.column("doc_id").take(pa.array(doc)),
+            "part": piece.column("part").take(pa.array(doc)),
             "pos": pa.array((at[least] - w.first[doc]).astype(np.int32)),
         })
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return map_slices(rows, "text", work, "seed long, doc_id long, pos int")
+    rows = _texts(documents).where("doc_id IS NOT NULL")
+    return map_slices(rows, "text", work, "seed long, doc_id long, part int, pos int")
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """``doc_id, pos, anchor, anchor_pos``: every occurrence of a shared seed with the seed's first occurrence.
+    """``doc_id, part, pos, anchor, anchor_part, anchor_pos``: every occurrence of a shared seed with the seed's first occurrence.
 
     Later occurrences in the anchor document itself meet the seed's first occurrence in its last document.
     """
-    least, last = F.min(F.struct("doc_id", "pos")), F.max(F.struct("doc_id", (-F.col("pos")).alias("back")))
+    least, last = F.min(F.struct("doc_id", "part", "pos")), F.max(F.struct("doc_id", "part", (-F.col("pos")).alias("back")))
     anchors = found.groupBy("seed").agg(least.alias("a"), last.alias("b")).where("a.doc_id < b.doc_id")
     anchors = anchors.select(
-        "seed", F.col("a.doc_id").alias("first"), F.col("a.pos").alias("first_pos"),
-        F.col("b.doc_id").alias("last"), (-F.col("b.back")).alias("last_pos"),
+        "seed", F.col("a.doc_id").alias("first"), F.col("a.part").alias("first_part"), F.col("a.pos").alias("first_pos"),
+        F.col("b.doc_id").alias("last"), F.col("b.part").alias("last_part"), (-F.col("b.back")).alias("last_pos"),
     )
     anchors = cut(anchors, "anchors")  # a plain join then, of which Spark splits the partitions of common seeds
-    met = found.join(anchors, "seed").where("doc_id <> first OR pos <> first_pos")
+    met = found.join(anchors, "seed").where("doc_id <> first OR part <> first_part OR pos <> first_pos")
     other = F.col("doc_id") != F.col("first")
     return met.select(
-        "doc_id", "pos", F.when(other, F.col("first")).otherwise(F.col("last")).alias("anchor"),
+        "doc_id", "part", "pos", F.when(other, F.col("first")).otherwise(F.col("last")).alias("anchor"),
+        F.when(other, F.col("first_part")).otherwise(F.col("last_part")).alias("anchor_part"),
         F.when(other, F.col("first_pos")).otherwise(F.col("last_pos")).alias("anchor_pos"),
     )
 
@@ -131,34 +138,35 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of each (document, anchor) pair of sorted matches; holds one pair's matches at a time."""
+    """Chains of each pair of a document's and an anchor's text, of sorted matches; holds one pair's matches at a time."""
     held: list[tuple] = []
     rows: list[tuple] = []
 
     def told() -> None:
-        doc, anchor = held[0][:2]
-        x, y = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-        rows.extend((doc, anchor, *c) for c in chains(x, y))
+        x, y = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        rows.extend((*held[0][0], *c) for c in chains(x, y))
 
     def made() -> pa.RecordBatch:
-        out = {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "anchor": pa.array([r[1] for r in rows], pa.int64())}
+        out = {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(PAIR, (pa.int64(), pa.int32()) * 2))}
         for k, (name, lo, hi) in enumerate((("at", "lo", "hi"), ("anchor_at", "anchor_lo", "anchor_hi"))):
-            out[lo] = pa.array([max(0, int(r[2 + k][0]) - _PAD) // _STEP * _STEP for r in rows], pa.int32())
-            out[hi] = pa.array([-(-(int(r[2 + k][-1]) + K + _PAD) // _STEP) * _STEP for r in rows], pa.int32())
-            out[name] = pa.array([r[2 + k].astype(np.int32).tobytes() for r in rows], pa.binary())
+            out[lo] = pa.array([max(0, int(r[4 + k][0]) - _PAD) // _STEP * _STEP for r in rows], pa.int32())
+            out[hi] = pa.array([-(-(int(r[4 + k][-1]) + K + _PAD) // _STEP) * _STEP for r in rows], pa.int32())
+            out[name] = pa.array([r[4 + k].astype(np.int32).tobytes() for r in rows], pa.binary())
         rows.clear()
         return pa.RecordBatch.from_pydict(out)
 
     for batch in batches:
-        doc, pos, anchor, anchor_pos = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "anchor", "anchor_pos"))
-        if not len(doc):
+        pair = [batch.column(c).to_numpy() for c in PAIR]
+        pos, anchor_pos = (batch.column(c).to_numpy() for c in ("pos", "anchor_pos"))
+        if not len(pos):
             continue
-        border = np.flatnonzero((doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])) + 1
-        for lo, hi in zip([0, *border.tolist()], [*border.tolist(), len(doc)]):
-            if held and (held[0][0], held[0][1]) != (doc[lo], anchor[lo]):
+        border = np.flatnonzero(np.any([p[1:] != p[:-1] for p in pair], axis=0)) + 1
+        for lo, hi in zip([0, *border.tolist()], [*border.tolist(), len(pos)]):
+            own = tuple(int(p[lo]) for p in pair)
+            if held and held[0][0] != own:
                 told()
                 held.clear()
-            held.append((int(doc[lo]), int(anchor[lo]), pos[lo:hi].astype(np.int64), anchor_pos[lo:hi].astype(np.int64)))
+            held.append((own, pos[lo:hi].astype(np.int64), anchor_pos[lo:hi].astype(np.int64)))
             if len(rows) >= 2000:
                 yield made()
     if held:
@@ -167,14 +175,14 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-CHAIN = "doc_id long, anchor long, lo int, hi int, at binary, anchor_lo int, anchor_hi int, anchor_at binary"
+PAIR = ("doc_id", "part", "anchor", "anchor_part")
+CHAIN = "doc_id long, part int, anchor long, anchor_part int, lo int, hi int, at binary, anchor_lo int, anchor_hi int, anchor_at binary"
 
 
 def stretches(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """``doc_id, lo, hi, words``: hashes of the asked words of each text (four bytes a word), a row per ask."""
-    per_doc = cut(asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked")), "asked")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    rows = rows.join(per_doc.hint("merge"), "doc_id")  # one plan for all sizes: the asks grow with the texts
+    """``doc_id, part, lo, hi, words``: hashes of the asked words of each text (four bytes a word), a row per ask."""
+    per_text = cut(asked.groupBy("doc_id", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("asked")), "asked")
+    rows = _texts(documents).join(per_text.hint("merge"), ["doc_id", "part"])  # one plan for all sizes: the asks grow with the texts
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         w = find_words(piece.column("text"), lower=True)
@@ -189,11 +197,12 @@ def stretches(documents: DataFrame, asked: DataFrame) -> DataFrame:
                 out["words"].append(own[a["lo"] : a["hi"]].tobytes())
         return pa.RecordBatch.from_pydict({
             "doc_id": piece.column("doc_id").take(pa.array(out["row"], pa.int64())),
+            "part": piece.column("part").take(pa.array(out["row"], pa.int64())),
             "lo": pa.array(out["lo"], pa.int32()), "hi": pa.array(out["hi"], pa.int32()), "words": pa.array(out["words"], pa.binary()),
         })
 
-    cutouts = map_slices(rows, "text", work, "doc_id long, lo int, hi int, words binary")
-    return cut(cutouts.dropDuplicates(["doc_id", "lo", "hi"]), "stretches")
+    cutouts = map_slices(rows, "text", work, "doc_id long, part int, lo int, hi int, words binary")
+    return cut(cutouts.dropDuplicates(["doc_id", "part", "lo", "hi"]), "stretches")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -385,13 +394,13 @@ def _lone(rows: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray, xo: np.
 
 
 def _laid(piece: pa.RecordBatch) -> pa.RecordBatch:
-    doc, anchor, lo, anchor_lo = (piece.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "anchor", "lo", "anchor_lo"))
+    doc, part, anchor, anchor_part, lo, anchor_lo = (piece.column(c).to_numpy().astype(np.int64) for c in (*PAIR, "lo", "anchor_lo"))
     (xs, first), (ys, _) = _numbers(piece.column("at"), np.int32), _numbers(piece.column("anchor_at"), np.int32)
     (x, xo), (y, yo) = (_numbers(piece.column(c), np.uint32) for c in ("words", "anchor_words"))
     own = np.repeat(np.arange(len(doc)), np.diff(first))
     i, j = xo[own] + xs - lo[own], yo[own] + ys - anchor_lo[own]
-    good = (i < xo[own + 1]) & (j < yo[own + 1])  # a repeated doc_id may have brought another text,
-    good[good] = x[i[good]] == y[j[good]]  # in which a seed need not stand
+    good = (i < xo[own + 1]) & (j < yo[own + 1])  # texts of a doc_id with one hash: a seed need not stand in the one
+    good[good] = x[i[good]] == y[j[good]]
     own, i, j = own[good], i[good], j[good]
     seeds_of = np.bincount(own, minlength=len(doc))
     lone = seeds_of[own] == 1
@@ -404,40 +413,41 @@ def _laid(piece: pa.RecordBatch) -> pa.RecordBatch:
         made.append(np.array(parts, np.int64).T)
     rows, (a, b, c, d, same) = np.concatenate(rows), np.concatenate(made, axis=1)
     a, b, c, d = a + lo[rows], b + lo[rows], c + anchor_lo[rows], d + anchor_lo[rows]
-    seen = {"doc_id": (doc[rows], anchor[rows]), "start": (a, c), "end": (b, d), "other": (anchor[rows], doc[rows]), "same": (same, same)}
+    seen = {
+        "doc_id": (doc[rows], anchor[rows]), "part": (part[rows], anchor_part[rows]),
+        "start": (a, c), "end": (b, d), "other": (anchor[rows], doc[rows]), "same": (same, same),
+    }
     return pa.RecordBatch.from_pydict({name: pa.array(np.concatenate(both), pa.int64()) for name, both in seen.items()})
 
 
 def links(documents: DataFrame) -> DataFrame:
-    """``doc_id, start, end, other, same``: aligned stretches of words, seen from both documents of each link."""
+    """``doc_id, part, start, end, other, same``: aligned stretches of words, seen from both documents of each link."""
     found = matches(seeds(documents))
-    found = found.repartition("doc_id", "anchor").sortWithinPartitions("doc_id", "anchor", "pos", "anchor_pos")
-    chained = cut(found.select("doc_id", "pos", "anchor", "anchor_pos").mapInArrow(_chained, CHAIN), "chains")
-    asked = chained.select("doc_id", "lo", "hi").unionByName(
-        chained.select(F.col("anchor").alias("doc_id"), F.col("anchor_lo").alias("lo"), F.col("anchor_hi").alias("hi"))
-    )
+    found = found.repartition("doc_id", "anchor").sortWithinPartitions(*PAIR, "pos", "anchor_pos")
+    chained = cut(found.select(*PAIR, "pos", "anchor_pos").mapInArrow(_chained, CHAIN), "chains")
+    key = ("doc_id", "part", "lo", "hi")
+    anchor_key = ("anchor", "anchor_part", "anchor_lo", "anchor_hi")
+    asked = chained.select(*key).unionByName(chained.select(*(F.col(a).alias(k) for k, a in zip(key, anchor_key))))
     words = stretches(documents, asked.distinct())
-    both = chained.join(words, ["doc_id", "lo", "hi"]).join(
-        words.select(F.col("doc_id").alias("anchor"), F.col("lo").alias("anchor_lo"), F.col("hi").alias("anchor_hi"), F.col("words").alias("anchor_words")),
-        ["anchor", "anchor_lo", "anchor_hi"],
-    )
+    other = words.select(*(F.col(k).alias(a) for k, a in zip(key, anchor_key)), F.col("words").alias("anchor_words"))
+    both = chained.join(words, list(key)).join(other, list(anchor_key))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _laid(batch)
 
-    return both.mapInArrow(work, "doc_id long, start long, end long, other long, same long")
+    return both.mapInArrow(work, "doc_id long, part long, start long, end long, other long, same long")
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, n_words and other_doc_id (the smallest other holder met) of every repeated passage."""
-    laid = links(documents).groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("other").alias("other"))
-    order = Window.partitionBy("doc_id").orderBy("start")
+    laid = links(documents).groupBy("doc_id", "part", "start").agg(F.max("end").alias("end"), F.min("other").alias("other"))
+    order = Window.partitionBy("doc_id", "part").orderBy("start")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce((F.col("start") > reach + JOIN_GAP).cast("int"), F.lit(1))
     laid = laid.withColumn("opens", opens).withColumn("no", F.sum("opens").over(order))
-    united = laid.groupBy("doc_id", "no").agg(
+    united = laid.groupBy("doc_id", "part", "no").agg(
         F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other_doc_id")
     )
     united = united.withColumn("n_words", F.col("end_word") - F.col("start_word")).where(F.col("n_words") >= MIN_WORDS)
-    return united.select("doc_id", "start_word", "end_word", "n_words", "other_doc_id")
+    return united.groupBy("doc_id", "start_word", "end_word", "n_words").agg(F.min("other_doc_id").alias("other_doc_id"))

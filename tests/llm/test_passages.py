@@ -149,10 +149,11 @@ def test_passages_whose_pieces_have_other_anchors_are_found_whole(spark):
 
 
 def batch_of(chains):
-    """The batch of ``_laid`` for chains (doc, anchor, lo, anchor_lo, xs, ys, x, y)."""
-    names = ("doc_id", "anchor", "lo", "anchor_lo", "at", "anchor_at", "words", "anchor_words")
-    kinds = (None, None, None, None, np.int32, np.int32, np.uint32, np.uint32)
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    """The batch of ``_laid`` for chains (doc, anchor, lo, anchor_lo, xs, ys, x, y), of texts numbered like their documents."""
+    chains = [(c[0], c[1], *c) for c in chains]
+    names = ("part", "anchor_part", "doc_id", "anchor", "lo", "anchor_lo", "at", "anchor_at", "words", "anchor_words")
+    kinds = (None, None, None, None, None, None, np.int32, np.int32, np.uint32, np.uint32)
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
     columns = zip(*chains, strict=True)
     return pa.RecordBatch.from_pydict({
         name: pa.array([v if kind is None else np.asarray(v, kind).tobytes() for v in values], type_)
@@ -160,6 +161,12 @@ def batch_of(chains):
     })
 
 
+def told(batch):
+    got = passages._laid(batch)
+    assert got.column("part") == got.column("doc_id")
+    return list(zip(*(got.column(c).to_pylist() for c in ("doc_id", "start", "end", "other", "same"))))
+
+
 def test_chains_of_one_seed_are_aligned_at_once_like_one_by_one(monkeypatch):
     rng = np.random.default_rng(12)
     chains, want, many = [], [], 0
@@ -184,7 +191,7 @@ def test_chains_of_one_seed_are_aligned_at_once_like_one_by_one(monkeypatch):
     monkeypatch.setattr(passages, "aligned", lambda *a: calls.append(len(a[2])) or one_by_one(*a))
     batch, got = batch_of(chains), []
     for at in range(0, len(chains), 170):
-        got += zip(*passages._laid(batch.slice(at, 170)).to_pydict().values())
+        got += told(batch.slice(at, 170))
     assert sorted(got) == sorted(want) and 0 < many
     assert len(calls) == many and min(calls) > 1  # chains of one seed cost no call of their own
 
@@ -195,5 +202,23 @@ def test_seeds_that_do_not_stand_in_the_text_are_left_out():
         (1, 2, 0, 0, [5], [5], x, y), (1, 3, 0, 0, [60], [60], x, z), (1, 6, 0, 0, [5, 9], [5, 9], x, y),
         (1, 4, 64, 0, [70, 84], [6, 20], x, x), (1, 5, 0, 0, [9, 50], [9, 50], x, z),
     ]
-    got = passages._laid(batch_of(chains)).to_pydict()
-    assert sorted(zip(*got.values())) == [(1, 0, 40, 5, 40), (1, 64, 154, 4, 90), (4, 0, 90, 1, 90), (5, 0, 40, 1, 40)]
+    assert sorted(told(batch_of(chains))) == [(1, 0, 40, 5, 40), (1, 64, 154, 4, 90), (4, 0, 90, 1, 90), (5, 0, 40, 1, 40)]
+
+
+def test_every_text_of_a_repeated_doc_id_keeps_its_passages(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    rows, want = [], set()
+    for d in range(0, 60, 3):
+        one, two, short = text(70), text(80), text(60)
+        rows += [(d, text(50) + one + text(60)), (d, text(200) + two + text(90)), (d + 1, text(20) + one + text(9)), (d + 2, text(33) + two + text(70))]
+        want |= {(d, 50, 120), (d, 200, 280), (d + 1, 20, 90), (d + 2, 33, 113)}
+        # pieces under 50 words that would be one passage if the texts' words were numbered together; a copy within one doc_id
+        rows += [(d, text(300) + short[:30] + text(40)), (d, text(328) + short[30:] + text(40)), (d + 1, text(99) + short[:30] + text(9) + short[30:])]
+        inside = text(70)
+        rows += [(d, text(400) + inside), (d, text(410) + inside), (d, text(50) + one + text(9))]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    docs = spark.createDataFrame(rows + rows[:7], "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(docs).collect()]
+    assert sorted(got) == sorted(want)
