@@ -1,9 +1,9 @@
 """Ordered scans over keyed rows that stay parallel when one key is huge.
 
-A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here the rows of
-every key are cut into chunks of consecutive positions; each chunk is scanned on its
-own and a small table of per-chunk totals carries the result of the earlier chunks
-forward. There is one plan for all sizes: a key with few positions simply has one chunk.
+A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here the rows of a
+key that may have very many are cut into chunks of consecutive positions; each chunk is scanned on its
+own and a table of per-chunk totals carries the result of the earlier chunks forward. Which keys these are tells a
+count of rows per hash of the key, of which there are ``HASHES``; all others have one chunk and no totals. There is one plan for all sizes.
 Keys and chunk form one struct, in which NULLs are equal, so scan and join share a shuffle.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 20
+HASHES = 1 << 16
 _AT = "__at"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -40,9 +41,17 @@ def id_levels(value: Column, span: int = CHUNK_ROWS) -> list[Column]:
     return [whole_quotient(value, 1 << 44), whole_quotient(value, 1 << 32), whole_quotient(value, span)]
 
 
-def _placed(df: DataFrame, keys: Sequence[str], position: Column, span: int) -> DataFrame:
+def _placed(
+    df: DataFrame, keys: Sequence[str], position: Column, span: int, crowd: int | None, counted: DataFrame | None
+) -> DataFrame:
+    """``df`` with its chunk, and in ``__crowded`` whether the key may have over ``crowd`` rows and so several of them."""
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(HASHES)).alias("__hash")
+    counts = (df if counted is None else counted).select(hashed).groupBy("__hash").agg(F.count(F.lit(1)).alias("n"))
+    crowded = counts.where(F.col("n") > (span if crowd is None else crowd)).select("__hash", F.lit(True).alias("__crowded"))
     parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    return df.withColumn(_AT, F.struct(*parts, whole_quotient(position, span).alias("chunk")))
+    rows = df.withColumn("__hash", hashed).join(F.broadcast(crowded), "__hash", "left").drop("__hash")  # at most HASHES
+    chunk = F.when(F.col("__crowded"), whole_quotient(position, span))
+    return rows.withColumn(_AT, F.struct(*parts, chunk.alias("chunk")))
 
 
 def _over_chunks(keys: Sequence[str]):
@@ -56,22 +65,26 @@ def running_sums(
     sums: dict[str, Column],
     position: Column | None = None,
     span: int = CHUNK_ROWS,
+    crowd: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums per key, the current row included.
 
     ``sums`` maps each new column to the non-null expression added up. ``position``
     (default: the first order column) is a bigint that never falls along ``order``;
-    a chunk holds ``span`` consecutive positions.
+    a chunk holds ``span`` consecutive positions. Keys with up to ``crowd`` rows (default: ``span``) stay whole.
+    ``counted``, if given, has the same keys in the same number of rows as ``df`` and is cheaper to count.
     """
     names = list(sums)
     at = F.col(order[0]) if position is None else position
-    rows = _placed(df, keys, at, span).withColumns({f"__v_{n}": sums[n] for n in names})
-    totals = rows.groupBy(_AT).agg(*[F.sum(f"__v_{n}").alias(f"__o_{n}") for n in names])
+    rows = _placed(df, keys, at, span, crowd, counted).withColumns({f"__v_{n}": sums[n] for n in names})
+    totals = rows.where("__crowded").groupBy(_AT).agg(*[F.sum(f"__v_{n}").alias(f"__o_{n}") for n in names])
     earlier = _over_chunks(keys).rowsBetween(*_BEFORE)
     carried = totals.withColumns({f"__o_{n}": F.coalesce(F.sum(f"__o_{n}").over(earlier), F.lit(0)) for n in names})
     inside = Window.partitionBy(_AT).orderBy(*order).rowsBetween(*_UP_TO_HERE)
     local = rows.withColumns({n: F.sum(f"__v_{n}").over(inside) for n in names})
-    return local.join(carried, _AT).withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in names}).select(*df.columns, *names)
+    joined = local.join(carried, _AT, "left")
+    return joined.withColumns({n: F.col(n) + F.coalesce(f"__o_{n}", F.lit(0)) for n in names}).select(*df.columns, *names)
 
 
 def previous_value(
@@ -81,12 +94,12 @@ def previous_value(
 
     ``order`` is a unique bigint column.
     """
-    rows = _placed(df, keys, F.col(order), span)
-    last = rows.groupBy(_AT).agg(F.max_by(F.struct(F.col(value)), F.col(order)).alias("__last"))
+    rows = _placed(df, keys, F.col(order), span, None, None)
+    last = rows.where("__crowded").groupBy(_AT).agg(F.max_by(F.struct(F.col(value)), F.col(order)).alias("__last"))
     carried = last.withColumn("__last", F.lag("__last").over(_over_chunks(keys)))
     inside = Window.partitionBy(_AT).orderBy(order)
     local = rows.withColumn("__lagged", F.lag(F.struct(F.col(value))).over(inside))
-    joined = local.join(carried, _AT)
+    joined = local.join(carried, _AT, "left")
     return joined.withColumn(name, F.coalesce("__lagged", "__last")[value]).select(*df.columns, name)
 
 

@@ -184,7 +184,9 @@ def _hot_outcomes(t: DerivedTables) -> DataFrame:
 
 def _chain_in_halves(t: DerivedTables) -> DataFrame:
     """The altered log checked in two parts, the second from the balances carried over from the first."""
-    log = _altered(t["stock_transaction"])
+    log = cut(_altered(t["stock_transaction"]).select(
+        "transaction_id", "product_id", "warehouse_id", "location_id", "qty_change", "qty_before", "qty_after"
+    ), "altered-log")
     half = log.agg((F.max("transaction_id") / 2).cast("bigint")).scalar()
     old, new = log.where(F.col("transaction_id") <= half), log.where(F.col("transaction_id") > half)
     carried = integrity.ledger_balances(old)

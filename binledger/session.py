@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -52,13 +55,54 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Makes a statement remove its shuffle files when it ends; otherwise they stay until the driver collects garbage.
+_REMOVES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_guard = threading.Lock()
+_inside: dict[int, list] = {}  # session -> how many are inside, setting before
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Statements begun inside remove their shuffle files when they end. Several threads may be inside."""
+    session = spark._jsparkSession.hashCode()
+    with _guard:
+        held = _inside.setdefault(session, [0, spark.conf.get(_REMOVES, "false")])
+        held[0] += 1
+        spark.conf.set(_REMOVES, "true")
+    try:
+        yield
+    finally:
+        with _guard:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(_REMOVES, _inside.pop(session)[1])
+
+
+def put(df, label: str = "step") -> str:
+    """Write ``df`` as a table in the shared folder; returns its folder."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a work table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_cut(df) -> None:
+    """Remove the tables that ``df``, made of nothing but tables from ``cut``, reads."""
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def cut(df, label: str = "step"):
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has no lineage to recompute, survives lost executors, and later
     steps read only the columns they need.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(put(df, label))

@@ -54,3 +54,19 @@ def test_number_rows_keeps_null_and_sparse_positions(spark):
     rows = spark.createDataFrame([(None, 9), (5, 1), (1 << 62, 3), (-7, 0), (1 << 40, 2)], "seq long, want int")
     got = scan.number_rows(rows, scan.id_levels(F.col("seq")), ["seq"], "n").collect()
     assert [r.want for r in sorted(got, key=lambda r: r.n)] == [0, 1, 2, 3, 9] and len(got) == 5
+
+
+def test_sums_nobody_reads_cost_nothing(rows):
+    """Only keys with very many rows meet totals, by a join that goes where the sums go."""
+    got = scan.running_sums(rows, ["key"], ["seq"], {"total": F.col("value")}, span=64).select("seq")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    assert sorted(r.seq for r in got.collect()) == list(range(1, 3001))
+
+
+@pytest.mark.parametrize("crowd", [900, 1100])
+def test_keys_up_to_a_crowd_stay_whole(rows, crowd):
+    got = scan.running_sums(rows, ["key"], ["seq"], {"total": F.col("value")}, span=64, crowd=crowd, counted=rows.select("key"))
+    window = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumn("total", F.sum("value").over(window))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
