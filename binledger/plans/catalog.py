@@ -56,8 +56,9 @@ LOOKUP_VALUES: dict[str, tuple[tuple, dict]] = {
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _on(build: Callable[[DerivedTables], DataFrame], source=DerivedTables) -> Query:
-    return lambda spark, folder: portable(build(source(spark, folder)))
+def _on(build: Callable[[DerivedTables], DataFrame], source=DerivedTables, written: bool = False) -> Query:
+    """``written`` for queries that read many of the derived tables, or some of them many times."""
+    return lambda spark, folder: portable(build(source(spark, folder, written)))
 
 
 def _exploded(nested: DataFrame, *line_columns: str) -> DataFrame:
@@ -503,7 +504,7 @@ def queries() -> dict[str, Query]:
         "q_faulty_primary_keys": _on(integrity.primary_key_violations, FaultyTables),
         "q_faulty_unique_keys": _on(integrity.unique_key_violations, FaultyTables),
         "q_faulty_references": _on(integrity.foreign_key_violations, FaultyTables),
-        "q_faulty_checks": _on(integrity.check_violations, FaultyTables),
+        "q_faulty_checks": _on(integrity.check_violations, FaultyTables, written=True),
         "q_faulty_checks_application": _on(lambda t: integrity.check_violations(t, "application"), FaultyTables),
         "q_faulty_not_null": _on(integrity.not_null_violations, FaultyTables),
         "q_cascade_delete": _on(_cascade),

@@ -6,17 +6,18 @@ decimals so that other engines reproduce it exactly.
 
 from __future__ import annotations
 
+import threading
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from binledger import schemas
 from binledger.functions.scan import number_rows, running_sums, whole_quotient
+from binledger.session import cut
 
 LINES_PER_HEADER = 100_000  # line numbers have five digits
 ORDER_SPAN = 1 << 24
-PART_SPAN = 1 << 10
 
 _LINE_ORDER = [
     "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -63,12 +64,16 @@ class DerivedTables:
     """The 21 tables and a movement script over one folder of source parquet.
 
     Each attribute is a lazy DataFrame; nothing is read before it is used, and
-    columns a query does not need are pruned down to the scan.
+    columns a query does not need are pruned down to the scan. With ``written``, the numbered source lines and
+    what their orders say of them are written to the shared folder at first use: for jobs that read many tables.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, written: bool = False):
         self.spark = spark
         self.folder = folder
+        self.written = written
+        self._lines: DataFrame | None = None
+        self._writing = threading.Lock()  # tables may be asked for in several threads
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW_DDL[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -270,19 +275,36 @@ class DerivedTables:
 
     # -- order lines --------------------------------------------------------
 
-    @cached_property
-    def _numbered_lines(self) -> DataFrame:
-        """Source lines with a line number per order and the ids built on it."""
-        numbered = running_sums(
-            self.raw("lineitem"),
-            ["l_orderkey"],
-            _LINE_ORDER,
-            {"line_number": F.lit(1).cast("bigint")},
-            span=PART_SPAN,
+    def _raw_lines(self) -> DataFrame:
+        """Source lines with a line number per order, which has fewer than ``LINES_PER_HEADER``."""
+        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER))
+        return self.raw("lineitem").withColumns(
+            {"line_number": place.cast("bigint"), "ship_day": F.col("l_shipdate").cast("date")}
         )
+
+    def _sequenced(self, lines: DataFrame) -> DataFrame:
+        return number_rows(
+            lines, [F.col("ship_day"), whole_quotient(F.col("l_orderkey"), ORDER_SPAN)], ["l_orderkey", "line_number"], "seq"
+        )
+
+    def _written_lines(self) -> DataFrame:
+        """Numbered lines in shipping order with the status and priority of their order, and those of ``others`` with its key."""
+        with self._writing:
+            if self._lines is None:
+                said = F.collect_list(F.struct("o_orderstatus", "o_orderpriority")).alias("said")
+                orders = self.raw("orders").groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(said)
+                lines = self._raw_lines().join(orders, "l_orderkey", "left").select(
+                    "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "line_number", "ship_day",
+                    F.col("said").isNotNull().alias("ordered"), F.col("said")[0].alias("first"),
+                    F.when(F.size("said") > 1, F.slice("said", 2, F.size("said"))).alias("others"),
+                ).select("*", "first.*").drop("first")
+                self._lines = cut(self._sequenced(lines), "source-lines")
+            return self._lines
+
+    def _with_ids(self, lines: DataFrame) -> DataFrame:
         quantity = F.col("l_quantity").cast("bigint")
         cents = (F.col("l_extendedprice").cast("decimal(14,2)") * 100).cast("bigint")
-        return numbered.withColumns(
+        return lines.withColumns(
             {
                 "line_id": F.when(
                     F.col("line_number") < LINES_PER_HEADER,
@@ -290,15 +312,24 @@ class DerivedTables:
                 ).otherwise(F.raise_error(F.lit("an order has more lines than line numbers have digits"))),
                 "quantity": quantity,
                 "unit_cents": F.call_function("div", cents, quantity),
-                "ship_day": F.col("l_shipdate").cast("date"),
             }
         )
 
+    @cached_property
+    def _numbered_lines(self) -> DataFrame:
+        """Source lines with a line number per order and the ids built on it."""
+        return self._with_ids(self._written_lines().drop("seq") if self.written else self._raw_lines())
+
     def _money(self, cents: Column) -> Column:
         return (cents.cast("decimal(14,0)") / F.lit(100)).cast("decimal(12,2)")
 
-    def _status_of(self, column: str) -> DataFrame:
-        return self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), column)
+    def _lines_with(self, column: str) -> DataFrame:
+        """Numbered lines with a column of their orders."""
+        lines = self._numbered_lines
+        if not self.written:
+            return lines.join(self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), column), "l_orderkey")
+        others = F.coalesce(F.transform("others", lambda o: o[column]), F.array().cast("array<string>"))
+        return lines.where("ordered").withColumn(column, F.explode(F.concat(F.array(column), others)))
 
     def _done(self, all_when: Column, half_when: Column) -> Column:
         quantity = F.col("quantity")
@@ -311,7 +342,7 @@ class DerivedTables:
     @cached_property
     def so_line(self) -> DataFrame:
         status = F.col("o_orderstatus")
-        lines = self._numbered_lines.join(self._status_of("o_orderstatus"), "l_orderkey")
+        lines = self._lines_with("o_orderstatus")
         price = self._money(F.col("unit_cents"))
         return self._typed(
             "so_line",
@@ -330,7 +361,7 @@ class DerivedTables:
     @cached_property
     def po_line(self) -> DataFrame:
         rank = F.substring("o_orderpriority", 1, 1)
-        lines = self._numbered_lines.join(self._status_of("o_orderpriority"), "l_orderkey")
+        lines = self._lines_with("o_orderpriority")
         cost = self._money(whole_quotient(F.col("unit_cents"), 2))
         return self._typed(
             "po_line",
@@ -520,12 +551,7 @@ class DerivedTables:
     @cached_property
     def _sequenced_lines(self) -> DataFrame:
         """Source lines in shipping order, numbered from 1."""
-        return number_rows(
-            self._numbered_lines,
-            [F.col("ship_day"), whole_quotient(F.col("l_orderkey"), ORDER_SPAN)],
-            ["l_orderkey", "line_number"],
-            "seq",
-        )
+        return self._with_ids(self._written_lines() if self.written else self._sequenced(self._raw_lines()))
 
     @cached_property
     def stock_transaction(self) -> DataFrame:
@@ -547,8 +573,9 @@ class DerivedTables:
             F.when(F.col("l_orderkey") % 4 != 3, F.col("l_orderkey") % 3 + 1).alias("employee_id"),
             F.col("ship_day").cast("timestamp").alias("transaction_date"),
         )
+        slots = self.raw("lineitem").select(F.col("l_partkey").alias("product_id"), (F.col("l_suppkey") % 25).alias("location_id"))
         balanced = running_sums(
-            log, ["product_id", "location_id"], ["transaction_id"], {"balance": F.col("change")},
+            log, ["product_id", "location_id"], ["transaction_id"], {"balance": F.col("change")}, counted=slots,
         )
         return self._typed(
             "stock_transaction",

@@ -33,6 +33,14 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
+@pytest.mark.parametrize("name", ["po_line", "so_line", "stock_transfer_line", "stock_transaction"])
+def test_written_lines_give_the_same_tables(spark, odd, name):
+    for source in (DerivedTables, UncleanTables):
+        got, want = source(spark, odd, written=True)[name], source(spark, odd)[name]
+        assert got.dtypes == want.dtypes and want.count() > 0
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_shuffle_files_go_with_the_statement(spark):
     def held():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
