@@ -43,10 +43,14 @@ def _repeated(t: Tables, table: str, keys: Sequence[str], rule: str, nulls: bool
 
 
 def primary_key_violations(t: Tables, tables: Sequence[str] | None = None) -> DataFrame:
-    """Primary key values that repeat or are NULL, with their number of rows."""
+    """Primary key values that repeat or are NULL, with their number of rows.
+
+    Tables are tested one after the other and what breaks the rule is written to the shared folder (this runs at once), so
+    that the keys of one table only are shuffled at a time.
+    """
     return _stack(
         [
-            _repeated(t, n, [schemas.PRIMARY_KEY[n]], f"PK {n}", nulls=True)
+            cut(_repeated(t, n, [schemas.PRIMARY_KEY[n]], f"PK {n}", nulls=True), "repeated")
             for n in _chosen(tables, schemas.PRIMARY_KEY)
         ]
     )

@@ -501,7 +501,7 @@ def queries() -> dict[str, Query]:
             lambda t: integrity.check_violations(t, "application"), UncleanTables
         ),
         "q_not_null_violations": _on(integrity.not_null_violations, UncleanTables),
-        "q_faulty_primary_keys": _on(integrity.primary_key_violations, FaultyTables),
+        "q_faulty_primary_keys": _on(integrity.primary_key_violations, FaultyTables, written=True),
         "q_faulty_unique_keys": _on(integrity.unique_key_violations, FaultyTables),
         "q_faulty_references": _on(integrity.foreign_key_violations, FaultyTables),
         "q_faulty_checks": _on(integrity.check_violations, FaultyTables, written=True),
