@@ -143,8 +143,8 @@ class ProductState:
 def fold_sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decide rows that arrive sorted by product, stretch (``chunk``), openings first, and sequence.
 
-    Only the state of the current stretch is held, never its rows. All input columns pass through as they are,
-    followed by the decision. Stretches with a ``chunk`` of 0 or more end in rows that hold nothing but product, chunk and closing.
+    Only the state of the current stretch is held, never its rows. All input columns of commands pass through as they are,
+    followed by the decision; opening rows end here. Stretches with a ``chunk`` of 0 or more end in rows that hold nothing but product, chunk and closing.
     """
     current, state, schema = None, ProductState(), None
 
@@ -170,9 +170,12 @@ def fold_sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from report()
                 current, state = (product, chunk), ProductState()
             decisions.append(state.apply(*row))
-        results = np.array(decisions, dtype=np.int64).reshape(-1, 3)
+        kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+        told = (kinds != OPEN) & (kinds != OPEN_LINE)
+        results = np.array(decisions, dtype=np.int64).reshape(-1, 3)[told]
         decided = [pa.array(results[:, i]) for i in range(3)]
-        yield _result(batch.columns, schema.names, decided, pa.nulls(len(decisions), CLOSING))
+        columns = batch.filter(pa.array(told)).columns
+        yield _result(columns, schema.names, decided, pa.nulls(len(results), CLOSING))
     yield from report()
 
 

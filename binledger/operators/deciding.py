@@ -182,7 +182,7 @@ def _with_stretches(prepared: DataFrame, chunk_rows: int) -> tuple[DataFrame, li
 
 
 def decide(prepared: DataFrame, inventory: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``prepared``, a written table, with the code of every command and the balances before it."""
+    """``prepared``, read several times, with the code of every command and the balances before it."""
     spark, columns = prepared.sparkSession, prepared.columns
     rows, heavy = _with_stretches(prepared, chunk_rows)
     cold = F.col("chunk") < 0
@@ -191,9 +191,7 @@ def decide(prepared: DataFrame, inventory: DataFrame, chunk_rows: int = CHUNK_RO
     )
     openings = _opening_rows(whole, rows.schema)
     if not heavy:
-        return _folded(rows, openings, "movement-decided").select(*columns, *_DECISION, "closing").where(
-            ~kind_is("OPEN")
-        ).drop("closing")
+        return _folded(rows, openings, "movement-decided").select(*columns, *_DECISION)
 
     named = spark.createDataFrame([(p,) for p in heavy], "product_id bigint")
     stored = cut(_stored(inventory, F.broadcast(named)), "movement-stored")  # fewer than STRETCHES products
@@ -222,7 +220,7 @@ def decide(prepared: DataFrame, inventory: DataFrame, chunk_rows: int = CHUNK_RO
     for number, made in enumerate(decided):
         later = [k for k, r in last.items() if r > number] if not number else []
         own = [k for k, r in last.items() if r == number]
-        made = made.where("closing IS NULL").where(~kind_is("OPEN", "OPEN_LINE"))
+        made = made.where("closing IS NULL")
         if number and not own:
             continue
         if own or later:

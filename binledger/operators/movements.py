@@ -32,7 +32,7 @@ from binledger.functions.scan import (
 from binledger.operators import deciding
 from binledger.operators.deciding import kind_is
 from binledger.operators.keys import highest
-from binledger.session import cut
+from binledger.session import cut, put, remove, remove_cut
 from binledger.sources.snapshots import DECISIONS, Snapshots, touched_buckets
 from binledger.sources.tables import Tables, write_tables
 
@@ -123,35 +123,41 @@ def _with_document_flag(c: DataFrame, commands: DataFrame, t: Tables) -> DataFra
     return _with_flag(c, {"cmd": "cmd", "header_id": "header_id"}, documents, "header_ok")
 
 
-def prepare(commands: DataFrame, t: Tables, faulty: Column | None = None) -> DataFrame:
-    """Commands with their order line, slots and all checks that no stock level affects.
-
-    Works on a stream of commands too. ``early``, ``middle`` and ``late`` are the
-    codes of static faults by when they count: before the check of the open
-    quantity, between it and the stock checks, and after them. ``faulty`` marks commands
-    that are malformed for reasons of their own.
-    """
-    faulty = F.lit(False) if faulty is None else faulty
+def _with_lines(commands: DataFrame, t: Tables) -> DataFrame:
+    """Commands with their order line, and the product and warehouse it names."""
     kinds = F.create_map(*[x for i, k in enumerate(KINDS[1:5], 1) for x in (F.lit(k), F.lit(i))])
     on_line = F.col("cmd").isin("RECEIVE", "SHIP")
+    named = F.coalesce(on_line & F.col("line_id").isNotNull(), F.lit(False))
     c = commands.withColumns(
         {
             "kind": F.coalesce(F.try_element_at(kinds, F.col("cmd")), F.lit(-1)),
             "employee_id": F.coalesce("employee_id", F.lit(1)),
-            # Without a line the key only spreads the rows over the tasks.
-            "line_key": F.when(on_line & F.col("line_id").isNotNull(), F.col("line_id")).otherwise(
-                -F.col("seq")
-            ),
+            "line_key": F.when(named, F.col("line_id")).otherwise(-F.col("seq")),
         }
     )
-    wanted = None if commands.isStreaming else commands.where(on_line)
-    c = c.join(order_lines(t, wanted), ["cmd", "line_key"], "left")
-    c = c.withColumns(
+    wanted = None if commands.isStreaming else commands.where(named)
+    lines = order_lines(t, wanted)
+    met = c.where(named).join(lines, ["cmd", "line_key"], "left")
+    fields = {f.name: f.dataType for f in lines.schema if f.name not in c.columns}
+    # Commands that name no line don't have to meet any.
+    rest = c.where(~named).withColumns({n: F.lit(None).cast(kind) for n, kind in fields.items()})
+    return met.unionByName(rest).withColumns(
         {
             "product_id": F.when(on_line, F.col("line_product")).otherwise(F.col("product_id")),
             "warehouse_id": F.when(on_line, F.col("line_wh")).otherwise(F.col("warehouse_id")),
         }
     )
+
+
+def prepare(commands: DataFrame, t: Tables, faulty: Column | None = None) -> DataFrame:
+    """Commands with their order line, slots and all checks that no stock level affects.
+
+    Works on a stream of commands too. ``early``, ``middle`` and ``late`` are the
+    codes of static faults by when they count: before the check of the open
+    quantity, between it and the stock checks, and after them. ``faulty`` marks commands
+    that are malformed for reasons of their own.
+    """
+    c = _with_lines(commands, t)
     c = _with_flag(c, {"employee_id": "employee_id"}, t["employee"], "employee_ok")
     c = _with_flag(c, {"warehouse_id": "warehouse_id"}, t["warehouse"], "wh_ok")
     c = _with_flag(c, {"to_warehouse_id": "warehouse_id"}, t["warehouse"], "to_wh_ok")
@@ -159,6 +165,72 @@ def prepare(commands: DataFrame, t: Tables, faulty: Column | None = None) -> Dat
     c = _with_flag(c, {"to_location_id": "location_id"}, t["warehouse_location"], "to_bin_ok")
     c = _with_flag(c, {"product_id": "product_id"}, t["product"], "product_ok")
     c = _with_document_flag(c, commands, t)
+    return _checked(c, F.lit(False) if faulty is None else faulty)
+
+
+# Flags of a command: column that refers -> (flag, table, its key)
+_FLAGS = {
+    "employee_id": ("employee_ok", "employee", "employee_id"),
+    "warehouse_id": ("wh_ok", "warehouse", "warehouse_id"),
+    "to_warehouse_id": ("to_wh_ok", "warehouse", "warehouse_id"),
+    "location_id": ("bin_ok", "warehouse_location", "location_id"),
+    "to_location_id": ("to_bin_ok", "warehouse_location", "location_id"),
+    "product_id": ("product_ok", "product", "product_id"),
+}
+_DOCUMENTS = {"RECEIVE": ("goods_receipt", "receipt_id"), "SHIP": ("shipment", "shipment_id")}
+
+
+def _odd_references(commands: DataFrame, lined: DataFrame, t: Tables) -> DataFrame:
+    """``(parent, id, n)``: what commands refer to and ``n`` rows of the parent have, if that is not one.
+
+    ``seq`` stands among the parents with the numbers that repeat. References are mostly sound, so this is a small table.
+    """
+    asked, there = F.lit(1).alias("asked"), F.lit(1).alias("n")
+
+    def refers(parent: str, rows: DataFrame, *columns: str) -> DataFrame:
+        whole = [F.col(c).cast("bigint") for c in columns]
+        ids = F.explode(F.array(*whole)) if len(columns) > 1 else whole[0]
+        return rows.select(ids.alias("id")).distinct().select(F.lit(parent).alias("parent"), "id", asked, F.lit(0).alias("n"))
+
+    def has(parent: str, rows: DataFrame, key: str) -> DataFrame:
+        return rows.select(F.lit(parent).alias("parent"), F.col(key).cast("bigint").alias("id"), F.lit(0).alias("asked"), there)
+
+    parts = [commands.select(F.lit("seq").alias("parent"), F.col("seq").cast("bigint").alias("id"), asked, there)]
+    for table, key in dict.fromkeys((table, key) for _, table, key in _FLAGS.values()):
+        columns = [c for c, (_, parent, _) in _FLAGS.items() if parent == table]
+        parts += [refers(table, lined, *columns), has(table, t[table], key)]
+    given = commands.where(F.col("header_id").isNotNull())
+    if not given.isEmpty():
+        for cmd, (table, key) in _DOCUMENTS.items():
+            parts += [refers(table, given.where(F.col("cmd") == cmd), "header_id"), has(table, t[table], key)]
+    counted = reduce(DataFrame.unionAll, parts).where(F.col("id").isNotNull()).groupBy("parent", "id")
+    return counted.agg(F.max("asked").alias("asked"), F.sum("n").alias("n")).where("asked = 1 AND n <> 1").drop("asked")
+
+
+def _with_odd(lined: DataFrame, odd: DataFrame) -> DataFrame:
+    """The flags of ``prepare`` from the odd references, and ``repeated``; a command comes once for each row of its parents."""
+    c, copies = lined, F.lit(1).cast("bigint")
+    documents = F.create_map(*[F.lit(x) for cmd, (table, _) in _DOCUMENTS.items() for x in (cmd, table)])
+    looked = {column: (F.lit(table), flag) for column, (flag, table, _) in _FLAGS.items()}
+    looked |= {"header_id": (F.try_element_at(documents, F.col("cmd")), "header_ok"), "seq": (F.lit("seq"), "repeated")}
+    for column, (parent, flag) in looked.items():
+        found = odd.select(F.col("parent").alias("__parent"), F.col("id").alias("__id"), F.col("n").alias("__n"))
+        c = c.join(found, (F.col(column) == F.col("__id")) & (F.col("__parent") == parent), "left")
+        n = F.coalesce("__n", F.lit(1))
+        if flag == "repeated":
+            c = c.withColumn(flag, n > 1)
+        else:
+            c = c.withColumn(flag, F.col(column).isNotNull() & (n > 0)).withColumn(f"__n_{flag}", F.greatest(F.lit(1), n))
+            copies = copies * F.col(f"__n_{flag}")
+        c = c.drop("__parent", "__id", "__n")
+    if odd.where("n > 1 AND parent <> 'seq'").isEmpty():
+        return c
+    return c.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+
+
+def _checked(c: DataFrame, faulty: Column) -> DataFrame:
+    """Commands that have their lines and flags, in the shape of the fold, with the codes of their static faults."""
+    on_line = F.col("cmd").isin("RECEIVE", "SHIP")
     header_ok = F.col("header_ok") | F.col("header_id").isNull()
 
     transfer, adjust = F.col("cmd") == "TRANSFER", F.col("cmd") == "ADJUST"
@@ -256,15 +328,19 @@ def _legs(rows: DataFrame) -> DataFrame:
 def outcomes(commands: DataFrame, t: Tables, chunk_rows: int = deciding.CHUNK_ROWS) -> DataFrame:
     """Decide every command: ``code`` 0 or a reject reason, and the balances before it.
 
-    Commands, prepared commands and every round of decisions are written to the shared
-    folder. ``chunk_rows`` is the least size of a stretch, see ``deciding``.
+    Commands with their lines, references with no row or several, and every round of decisions are written to the
+    shared folder; the result only reads what is written. ``chunk_rows`` is the least size of a stretch, see ``deciding``.
     """
-    commands = cut(commands, "movement-commands")
-    again = commands.groupBy("seq").count().where("count > 1").select(F.col("seq").alias("__again"))
-    marked = commands.join(again, F.col("seq") == F.col("__again"), "left")
-    faulty = F.col("seq").isNull() | F.col("__again").isNotNull()
-    prepared = cut(prepare(marked, t, faulty), "movement-prepared")
-    return deciding.decide(prepared, t["inventory"], chunk_rows)
+    spark = commands.sparkSession
+    path = put(commands, "movement-commands")
+    commands = spark.read.schema(commands.schema).parquet(path)
+    lined = cut(_with_lines(commands, t), "movement-lined")
+    odd = cut(_odd_references(commands, lined, t), "movement-odd")
+    remove(spark, path)
+    faulty = F.col("seq").isNull() | F.col("repeated")
+    decided = deciding.decide(_checked(_with_odd(lined, odd), faulty), t["inventory"], chunk_rows)
+    remove_cut(lined)
+    return decided
 
 
 def reason_name() -> Column:
@@ -275,7 +351,7 @@ def reason_name() -> Column:
 class Replay:
     """Everything a decided batch changes, each as a DataFrame.
 
-    ``outcomes`` is a written table: every part below reads it again. ``now`` stamps
+    ``outcomes`` reads written tables: every part below reads it again. ``now`` stamps
     new and changed rows.
     """
 
@@ -286,6 +362,12 @@ class Replay:
 
     # -- accepted commands and their documents --
 
+    def discard(self) -> None:
+        """Remove the work tables in the shared folder. What was written elsewhere stays; nothing here can be read any more."""
+        made = [self.outcomes, *(self.__dict__[n] for n in ("documents", "_slot_changes") if n in self.__dict__)]
+        for table in made:
+            remove_cut(table)
+
     def rejects(self) -> DataFrame:
         return self.outcomes.where(F.col("code") != 0).select(
             "seq", reason_name().alias("reason")
@@ -434,24 +516,29 @@ class Replay:
 
     # -- state --
 
-    def slot_changes(self) -> DataFrame:
-        """What the batch adds to each slot it touches, in thousandths, and its first command there."""
-        return _legs(self.accepted()).groupBy("product_id", "wh", "loc").agg(
-            F.sum("change").alias("change"),
-            F.sum("shipped").alias("shipped"),
-            F.min("seq").alias("seq"),
+    @cached_property
+    def _slot_changes(self) -> DataFrame:
+        return cut(
+            _legs(self.accepted()).groupBy("product_id", "wh", "loc").agg(
+                F.sum("change").alias("change"),
+                F.sum("shipped").alias("shipped"),
+                F.min("seq").alias("seq"),
+            ),
+            "movement-slots",
         )
 
+    def slot_changes(self) -> DataFrame:
+        """What the batch adds to each slot it touches, in thousandths, and its first command there; written out once."""
+        return self._slot_changes
+
     def inventory(self) -> DataFrame:
         """The whole inventory after the batch; new slots in the order they came up."""
-        changes = self.slot_changes()
+        changes = self.slot_changes().withColumnRenamed("product_id", "__product")
         old = self.tables["inventory"]
-        joined = old.join(
-            changes.withColumnRenamed("product_id", "__product"),
+        same = (
             (old.product_id == F.col("__product"))
             & (old.warehouse_id == F.col("wh"))
-            & (old.location_id == F.col("loc")),
-            "full",
+            & (old.location_id == F.col("loc"))
         )
         touched = F.col("seq").isNotNull()
         zero = F.lit(0)
@@ -459,24 +546,31 @@ class Replay:
         new_reserved = F.greatest(
             zero, F.coalesce("qty_reserved", zero) - F.coalesce(quantity("shipped"), zero)
         )
-        state = joined.select(
-            "inventory_id",
-            F.coalesce("product_id", "__product").alias("product_id"),
-            F.coalesce("warehouse_id", "wh").alias("warehouse_id"),
-            F.coalesce("location_id", "loc").alias("location_id"),
-            new_hand.cast("decimal(12,3)").alias("qty_on_hand"),
-            F.when(touched, new_reserved)
-            .otherwise(F.col("qty_reserved"))
-            .cast("decimal(12,3)")
-            .alias("qty_reserved"),
-            "last_count_date",
-            F.when(touched, self.now).otherwise(F.col("updated_at")).alias("updated_at"),
-            "seq",
-        )
-        known = state.where(F.col("inventory_id").isNotNull())
-        fresh = self._numbered(state.where(F.col("inventory_id").isNull()), ["seq"], "nth")
+
+        def state(joined: DataFrame) -> DataFrame:
+            return joined.select(
+                "inventory_id",
+                F.coalesce("product_id", "__product").alias("product_id"),
+                F.coalesce("warehouse_id", "wh").alias("warehouse_id"),
+                F.coalesce("location_id", "loc").alias("location_id"),
+                new_hand.cast("decimal(12,3)").alias("qty_on_hand"),
+                F.when(touched, new_reserved)
+                .otherwise(F.col("qty_reserved"))
+                .cast("decimal(12,3)")
+                .alias("qty_reserved"),
+                "last_count_date",
+                F.when(touched, self.now).otherwise(F.col("updated_at")).alias("updated_at"),
+                "seq",
+            )
+
+        held = state(old.join(changes, same, "left"))
+        absent = {f.name: F.lit(None).cast(f.dataType) for f in old.schema}
+        opened = state(changes.join(old, same, "left_anti").withColumns(absent))
+        # Numbering reads its rows more than once: new slots are few beside the inventory.
+        unnumbered = cut(held.where(F.col("inventory_id").isNull()).unionByName(opened), "movement-opened")
+        fresh = self._numbered(unnumbered, ["seq"], "nth")
         top = highest(old, "inventory_id")
-        return known.drop("seq").unionByName(
+        return held.where(F.col("inventory_id").isNotNull()).drop("seq").unionByName(
             fresh.withColumn("inventory_id", top + F.col("nth")).drop("seq", "nth")
         )
 
@@ -650,8 +744,7 @@ def replay(
 ) -> Replay:
     """Decide a batch, write the decisions to the shared folder, derive all changes."""
     stamp = F.current_timestamp() if now is None else now
-    decided = cut(outcomes(commands, t, **options), "movement-outcomes")
-    return Replay(decided, t, stamp)
+    return Replay(outcomes(commands, t, **options), t, stamp)
 
 
 _APPENDED = (

@@ -522,19 +522,19 @@ def queries() -> dict[str, Query]:
         "q_resolve_natural_keys": _on(_resolved),
         "q_header_totals": _on(_totals),
         # movements
-        "q_movement_outcomes": _on(_outcomes),
-        "q_movement_hot": _on(_hot_outcomes),
+        "q_movement_outcomes": _on(_outcomes, written=True),
+        "q_movement_hot": _on(_hot_outcomes, written=True),
         "q_replay_twice": _on(_replayed_twice),
         "q_stream_equals_batch": _on(lambda t: _decisions(_streamed(t))),
         "q_stream_ledger": _on(_streamed_ledger),
-        "q_movement_ledger": _on(_movement_ledger),
-        "q_movement_inventory": _on(_movement_inventory),
-        "q_movement_order_status": _on(_status_changes),
-        "q_movement_documents": _on(_documents),
-        "q_movement_receipts": _on(_movement_receipts),
-        "q_movement_shipments": _on(_movement_shipments),
-        "q_movement_transfers": _on(_movement_transfers),
-        "q_inbound_ledger": _on(_inbound_ledger),
+        "q_movement_ledger": _on(_movement_ledger, written=True),
+        "q_movement_inventory": _on(_movement_inventory, written=True),
+        "q_movement_order_status": _on(_status_changes, written=True),
+        "q_movement_documents": _on(_documents, written=True),
+        "q_movement_receipts": _on(_movement_receipts, written=True),
+        "q_movement_shipments": _on(_movement_shipments, written=True),
+        "q_movement_transfers": _on(_movement_transfers, written=True),
+        "q_inbound_ledger": _on(_inbound_ledger, written=True),
     }
     for name, (values, dates) in LOOKUP_VALUES.items():
         found[f"q_lookup_{name}"] = _on(

@@ -53,3 +53,20 @@ def test_shuffle_files_go_with_the_statement(spark):
     while held() - before and time.time() < until:
         time.sleep(0.2)
     assert not held() - before and spark.conf.get(setting) == was
+
+
+def test_flags_of_odd_references(spark, seeded):
+    """Unknown, repeated and NULL references give what joins with the parents give, row by row."""
+    employees = seeded["employee"].where("employee_id <> 2").unionAll(seeded["employee"].where("employee_id = 1"))
+    bins = seeded["warehouse_location"].where("location_id <> 1")
+    t = {**seeded, "employee": employees, "warehouse_location": bins}
+    commands = spark.createDataFrame([tuple(r.get(c) for c in COLUMNS) for r in batch(5, 60)], schemas.movement_schema())
+    commands = cut(commands.withColumn("header_id", F.when(F.col("seq") % 5 == 0, 1).when(F.col("seq") % 7 == 0, 99).cast("bigint")))
+    lined = cut(movements._with_lines(commands, t))
+    odd = movements._odd_references(commands, lined, t)
+    faulty = F.col("seq").isNull()
+    got = movements._checked(movements._with_odd(lined, cut(odd)), faulty)
+    want = movements.prepare(commands, t, faulty)
+    columns = [c for c in want.columns if c not in ("may_create",)]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    assert odd.where("parent = 'employee' AND n = 2").count() == 1 and odd.where("parent = 'seq'").isEmpty()
