@@ -524,7 +524,7 @@ def queries() -> dict[str, Query]:
         # movements
         "q_movement_outcomes": _on(_outcomes, written=True),
         "q_movement_hot": _on(_hot_outcomes, written=True),
-        "q_replay_twice": _on(_replayed_twice),
+        "q_replay_twice": _on(_replayed_twice, written=True),
         "q_stream_equals_batch": _on(lambda t: _decisions(_streamed(t))),
         "q_stream_ledger": _on(_streamed_ledger),
         "q_movement_ledger": _on(_movement_ledger, written=True),

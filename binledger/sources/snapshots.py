@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binledger import schemas
+from binledger.session import shuffles_removed
 from binledger.sources.tables import Tables, laid_out_log
 
 LOG = "stock_transaction"
@@ -133,11 +134,13 @@ class Snapshots:
         return self._commit(self.current() + 1, at_once(place, [*schemas.TABLE_DDL, DECISIONS]), batch)
 
     def _placed(self, table: str, rows: DataFrame, buckets) -> list[tuple[int, str]]:
-        path = self._write(table, rows)
+        with shuffles_removed(rows.sparkSession):
+            path = self._write(table, rows)
         if table not in BUCKET_KEY:
             return [(-1, path)]
-        held = self.spark.read.parquet(f"{self.folder}/{path}") if not rows.isEmpty() else None
-        used = {r["bucket"] for r in held.select("bucket").distinct().collect()} if held is not None else set()  # folder names
+        schema = T.StructType([*schema_of(table).fields, T.StructField("bucket", T.IntegerType())])  # there may be no file
+        held = self.spark.read.schema(schema).parquet(f"{self.folder}/{path}")
+        used = {r["bucket"] for r in held.select("bucket").distinct().collect()}  # folder names
         return [(b, f"{path}/bucket={b}") for b in buckets if b in used]
 
     def commit(

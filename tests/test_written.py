@@ -55,6 +55,13 @@ def test_shuffle_files_go_with_the_statement(spark):
     assert not held() - before and spark.conf.get(setting) == was
 
 
+def test_a_table_is_written_without_a_second_look(spark, seeded, tmp_path, monkeypatch):
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda df: pytest.fail("rows computed again to see whether there are any"))
+    store = Snapshots(spark, str(tmp_path))
+    assert store._placed("po_line", seeded["po_line"].where("false"), range(16)) == []
+    assert store._placed("po_line", seeded["po_line"], range(16))
+
+
 def test_flags_of_odd_references(spark, seeded):
     """Unknown, repeated and NULL references give what joins with the parents give, row by row."""
     employees = seeded["employee"].where("employee_id <> 2").unionAll(seeded["employee"].where("employee_id = 1"))
