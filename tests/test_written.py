@@ -77,3 +77,14 @@ def test_flags_of_odd_references(spark, seeded):
     columns = [c for c in want.columns if c not in ("may_create",)]
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
     assert odd.where("parent = 'employee' AND n = 2").count() == 1 and odd.where("parent = 'seq'").isEmpty()
+
+
+def test_a_stream_leaves_no_work_tables(spark, seeded, tmp_path):
+    store = Snapshots(spark, str(tmp_path))
+    store.create(seeded)
+    commands = spark.createDataFrame([tuple(r.get(c) for c in COLUMNS) for r in batch(3, 40)], schemas.movement_schema())
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    streaming.apply_batch(commands, store, "s/0", F.lit("2025-05-01 00:00:00").cast("timestamp"))
+    left = {n for n in set(os.listdir(folder)) - before if n.startswith("movement-")}
+    assert all(n.startswith(("movement-odd", "movement-counted", "movement-opened")) for n in left), left
