@@ -88,3 +88,11 @@ def test_a_stream_leaves_no_work_tables(spark, seeded, tmp_path):
     streaming.apply_batch(commands, store, "s/0", F.lit("2025-05-01 00:00:00").cast("timestamp"))
     left = {n for n in set(os.listdir(folder)) - before if n.startswith("movement-")}
     assert all(n.startswith(("movement-odd", "movement-counted", "movement-opened")) for n in left), left
+
+
+def test_deltas_are_written_once(spark, seeded):
+    commands = spark.createDataFrame([tuple(r.get(c) for c in COLUMNS) for r in batch(4, 40)], schemas.movement_schema())
+    result = movements.replay(commands, seeded, F.lit("2025-05-01 00:00:00").cast("timestamp"))
+    after = kept.after_replay(kept.compute(seeded), result)
+    assert any("kept-stock-delta" in f for f in after["value"].inputFiles())
+    assert not any("movement-" in f for f in after["value"].inputFiles())
